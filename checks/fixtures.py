@@ -14,7 +14,7 @@ from sitegraph.functions import urls
 from sitegraph.functions.vectors import hash_encoder
 from sitegraph.operators import changes, links, pages as page_ops
 from sitegraph.plans.embed import CHUNK_STORE
-from sitegraph.session import write_stage
+from sitegraph.session import spread, write_stage
 from sitegraph.sources.captures import CAPTURE_SCHEMA, load_fetches
 
 DOCS_SITE = "https://www.docs.example.org"
@@ -22,7 +22,9 @@ CUTOFF = "2024-01-16 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; one that comes as a single small file is spread over the cores by its key."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, df.columns[0])
 
 
 def _as_captures(df: DataFrame) -> DataFrame:
@@ -122,7 +124,14 @@ def is_first_crawl() -> Column:
 
 
 def shop_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_ops.page_documents(load_fetches(shop_captures(spark, sf_dir)))
+    """Stored, since an upsert reads its documents more than once."""
+    return write_stage(page_ops.page_documents(load_fetches(shop_captures(spark, sf_dir))), "shop")
+
+
+def shop_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_ops.page_documents(load_fetches(shop_captures(spark, sf_dir))).select(
+        "url", "checksum", "metadata_checksum", "fetched_at"
+    )
 
 
 def empty_store(spark: SparkSession) -> DataFrame:
@@ -133,19 +142,19 @@ def empty_chunks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], StructType.fromDDL(CHUNK_STORE))
 
 
-def first_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+def first_store(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """The store after the first crawl; sign-up pages were not embedded, the others an hour later."""
-    documents = shop_documents(spark, sf_dir).filter(is_first_crawl())
     embedded = ~F.endswith("clean_text", F.lit("signup"))
-    return changes.upsert_pages(empty_store(spark), documents).withColumn(
+    return changes.upsert_pages(empty_store(spark), documents.filter(is_first_crawl())).withColumn(
         "embedded_at", F.when(embedded, F.timestamp_add("HOUR", F.lit(1), F.col("last_seen")))
     ).withColumn("page_vector", F.when(embedded, hash_encoder()(F.col("clean_text")).cast("array<float>")))
 
 
 def second_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store after both crawls."""
-    documents = shop_documents(spark, sf_dir).filter(~is_first_crawl())
-    return changes.upsert_pages(write_stage(first_store(spark, sf_dir), "first-store"), documents)
+    documents = shop_documents(spark, sf_dir)
+    first = write_stage(first_store(spark, documents), "first-store")
+    return changes.upsert_pages(first, documents.filter(~is_first_crawl()))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

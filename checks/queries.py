@@ -166,7 +166,7 @@ def pages_per_type(spark, sf):
 
 
 def detect_changes(spark, sf):
-    documents = write_stage(fx.shop_documents(spark, sf).select("url", "checksum", "metadata_checksum", "fetched_at"), "shop")
+    documents = fx.shop_checksums(spark, sf)
     return changes.detect_changes(
         changes.latest_captures(documents.filter(fx.is_first_crawl())),
         changes.latest_captures(documents.filter(~fx.is_first_crawl())),
@@ -241,7 +241,7 @@ def _indexed_vectors(spark, sf):
     """The vectors stored by cell: a search lists and reads only the cells near its queries."""
     vectors = fx.stored_vectors(spark, sf)
     path = scratch_path(spark, "cells")
-    search.with_cells(vectors).write.partitionBy("cell").parquet(path)
+    search.write_index(vectors, path)
     return vectors, spark.read.parquet(path)
 
 

@@ -70,7 +70,8 @@ def markdown_to_text(markdown: Column) -> Column:
 
 def scrub_volatile(text: Column) -> Column:
     """Removes content that differs between two visits of an unchanged page, and noise lines."""
-    scrubbed = replace_all(text, [(pattern, "") for pattern in rules.VOLATILE_PATTERNS])
+    reachable = [pattern for pattern in rules.VOLATILE_PATTERNS if pattern not in rules.UNREACHABLE]
+    scrubbed = replace_all(text, [(pattern, "") for pattern in reachable])
     noise = "|".join(f"(?:{pattern})" for pattern in rules.NOISE_LINES)
     return F.array_join(F.filter(lines(scrubbed), lambda line: ~F.rlike(line, F.lit(to_java(noise)))), "\n")
 

@@ -5,13 +5,19 @@ Everything is a native expression: a URL column of any size is rewritten inside
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitegraph import rules
+from sitegraph.functions.text import let
+
+SCHEME = r"[a-zA-Z][a-zA-Z0-9+.-]*:"
+# scheme with colon, //authority, path, ?query; the fragment is left out
+URL = rf"(?s)^({SCHEME})?(//[^/?#]*)?([^?#]*)(\?[^#]*)?"
 
-# scheme, //authority, path, ?query, #fragment
-URL = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+CONTROL_OR_SPACE = "".join(map(chr, range(33)))
 
 
 def _part(url: Column, group: int) -> Column:
@@ -20,23 +26,17 @@ def _part(url: Column, group: int) -> Column:
 
 def clean_url(url: Column) -> Column:
     """Drops tabs and line ends anywhere and control characters or blanks at the ends."""
-    return F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-
-
-def scheme(url: Column) -> Column:
-    return F.lower(_part(url, 1))
+    return F.translate(F.btrim(url, F.lit(CONTROL_OR_SPACE)), "\t\r\n", "")
 
 
 def host(url: Column) -> Column:
     """Lower-case authority without one leading ``www.``; the key for "same site"."""
-    return F.regexp_replace(F.lower(_part(url, 2)), r"^www\.", "")
+    return F.regexp_replace(F.lower(_part(url, 2)), r"^//(?:www\.)?", "")
 
 
 def is_crawlable(url: Column) -> Column:
-    first, *rest = [F.startswith(url, F.lit(prefix)) for prefix in rules.CRAWLABLE_PREFIXES]
-    for test in rest:
-        first = first | test
-    return first
+    tests = [F.startswith(url, F.lit(prefix)) for prefix in rules.CRAWLABLE_PREFIXES]
+    return reduce(Column.__or__, tests)
 
 
 def _decoded(value: Column) -> Column:
@@ -49,7 +49,7 @@ def _encoded(value: Column) -> Column:
 
 
 def canonical_query(query: Column) -> Column:
-    """Pairs with a value, ordered by key (order inside a key kept), encoded anew."""
+    """Pairs with a value, ordered by key (order inside a key kept), encoded anew; "" or "?..."."""
     pairs = F.filter(F.split(query, "&"), lambda pair: F.rlike(pair, F.lit(r"(?s)^[^=]*=.")))
     keyed = F.transform(
         pairs,
@@ -62,30 +62,45 @@ def canonical_query(query: Column) -> Column:
     encoded = F.transform(
         F.sort_array(keyed), lambda p: F.concat(_encoded(p["key"]), F.lit("="), _encoded(p["value"]))
     )
-    return F.array_join(encoded, "&")
+    return F.regexp_replace(F.array_join(encoded, "&"), "^(?=.)", "?")
 
 
 def canonical_url(raw: Column) -> Column:
     """One spelling per page: lower-case site without ``www.``, ordered query, no fragment, no
     trailing slash."""
-    url = clean_url(raw)
+    return let(clean_url(raw), _canonical)
+
+
+def _canonical(url: Column) -> Column:
     query = _part(url, 4)
-    tidy = F.when(query != "", canonical_query(query)).otherwise(F.lit(""))
     whole = F.concat(
-        F.when(scheme(url) != "", F.concat(scheme(url), F.lit(":"))).otherwise(F.lit("")),
-        F.when(F.rlike(url, F.lit(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//")), F.concat(F.lit("//"), host(url)))
-        .otherwise(F.lit("")),
-        _part(url, 3),
-        F.when(tidy != "", F.concat(F.lit("?"), tidy)).otherwise(F.lit("")),
+        F.lower(_part(url, 1)),
+        F.regexp_replace(F.lower(_part(url, 2)), r"^//www\.", "//"),
+        F.regexp_replace(_part(url, 3), r"((?:^|/)[^/;]*);\z", "$1"),  # an empty parameter of the last segment
+        F.when(F.contains(url, F.lit("?")), canonical_query(F.substring(query, 2, 2**31 - 1))).otherwise(F.lit("")),
     )
-    bare = whole.isin("/", "http://", "https://")
-    return F.when(bare, whole).otherwise(F.rtrim(whole, F.lit("/")))
+    # A bare root keeps its slashes.
+    return F.regexp_replace(whole, r"^((?:https?:/)?/)\z|/+\z", "$1")
 
 
 def without_fragment(url: Column) -> Column:
     return F.substring_index(url, "#", 1)
 
 
+def base_parts(url: Column) -> Column:
+    """What ``resolve`` needs of a page's URL, taken apart once per page."""
+    return let(
+        clean_url(url),
+        lambda u: F.named_struct(
+            F.lit("scheme"), _part(u, 1),
+            F.lit("origin"), F.concat(_part(u, 1), _part(u, 2)),
+            F.lit("path"), _part(u, 3),
+            F.lit("folder"), F.concat(F.lit("/"), F.regexp_replace(_part(u, 3), "^/|[^/]*$", "")),
+            F.lit("query"), _part(u, 4),
+        ),
+    )
+
+
 def _walk(path: Column, keep_empty: Column) -> Column:
     """Resolves ``.`` and ``..``; a relative reference also loses its empty inner segments."""
     segments = F.split(path, "/")
@@ -99,26 +114,31 @@ def _walk(path: Column, keep_empty: Column) -> Column:
         .when(s == ".", done)
         .otherwise(F.concat(done, F.array(s))),
     )
-    folder = F.when(last.isin(".", "..") & (F.size(walked) > 0), F.lit("/")).otherwise(F.lit(""))
-    return F.concat(F.lit("/"), F.array_join(walked, "/"), folder)
+    folder = F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    joined = F.concat(F.lit("/"), F.array_join(walked, "/"), folder)
+    return F.when(joined == "//", F.lit("/")).otherwise(joined)
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """The absolute URL of ``href`` found on page ``base`` (both without fragment)."""
-    ref = clean_url(href)
-    origin = F.concat(_part(base, 1), F.lit("://"), _part(base, 2))
-    query = F.when(F.contains(ref, F.lit("?")), F.concat(F.lit("?"), _part(ref, 4))).otherwise(F.lit(""))
-    path = _part(ref, 3)
-    folder = F.regexp_replace(_part(base, 3), "[^/]*$", "")
-    rooted = F.when(F.startswith(path, F.lit("/")), path).otherwise(
-        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)
-    )
-    # Most references need no walk over their segments.
-    needs_walk = F.rlike(rooted, F.lit(r"//|/\.\.?(?:/|$)"))
-    return (
-        F.when(F.rlike(ref, F.lit(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")), ref)
-        .when(F.startswith(ref, F.lit("//")), F.concat(_part(base, 1), F.lit(":"), ref))
-        .when(path == "", F.concat(origin, _part(base, 3), F.when(query != "", query).otherwise(
-            F.when(_part(base, 4) != "", F.concat(F.lit("?"), _part(base, 4))).otherwise(F.lit("")))))
-        .otherwise(F.concat(origin, F.when(needs_walk, _walk(rooted, F.startswith(path, F.lit("/")))).otherwise(rooted), query))
-    )
+    """The absolute URL of ``href`` (without fragment) found on a page with ``base_parts`` ``base``."""
+
+    def from_path(ref: Column, path: Column) -> Column:
+        rooted = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(base["folder"], path))
+        # Most references need no walk over their segments.
+        walked = let(
+            rooted,
+            lambda p: F.when(F.rlike(p, F.lit(r"//|/\.\.?(?:/|\z)")), _walk(p, F.startswith(path, F.lit("/")))).otherwise(p),
+        )
+        inherited = F.when(F.contains(ref, F.lit("?")), _part(ref, 4)).otherwise(base["query"])
+        return F.when(path == "", F.concat(base["origin"], base["path"], inherited)).otherwise(
+            F.concat(base["origin"], walked, _part(ref, 4))
+        )
+
+    def absolute(ref: Column) -> Column:
+        return (
+            F.when(F.rlike(ref, F.lit(f"^{SCHEME}")), ref)
+            .when(F.startswith(ref, F.lit("//")), F.concat(base["scheme"], ref))
+            .otherwise(let(_part(ref, 3), lambda path: from_path(ref, path)))
+        )
+
+    return let(clean_url(href), absolute)

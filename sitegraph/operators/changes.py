@@ -13,7 +13,6 @@ PAGE_STORE = (
     "page_type string, checksum string, metadata_checksum string, markdown_changed timestamp, "
     "last_seen timestamp, page_vector array<float>, embedded_at timestamp"
 )
-CONTENT = ["page_id", "title", "clean_text", "raw_html", "metadata", "page_type", "checksum", "metadata_checksum"]
 STORE_COLUMNS = [part.split()[0] for part in PAGE_STORE.split(", ")]
 
 # Captures of one URL are folded in two steps, first inside spans of this many seconds.
@@ -120,16 +119,14 @@ def _refresh_rows(store: DataFrame, documents: DataFrame, newest: DataFrame) ->
         "page_vector",
         "embedded_at",
     ).join(newest, "url", "left_semi")
-
-    state = prior.select("url", "prior_checksum", "prior_changed", "prior_seen")
-    newer = documents.join(state, "url", "left").filter(
+    newer = documents.join(prior, "url", "left").filter(
         F.col("prior_seen").isNull() | (F.col("fetched_at") > F.col("prior_seen"))
     )
+    # Two passes over the batch: the change times need narrow columns only.
     changes = _last_change(newer.select("url", "fetched_at", "checksum", "metadata_checksum", "prior_checksum"))
     return (
         latest_captures(newer)
         .join(changes, "url")
-        .join(prior.select("url", "page_vector", "embedded_at"), "url", "left")
         .withColumn("markdown_changed", F.coalesce("changed_at", "prior_changed"))
         .withColumn("last_seen", F.col("fetched_at"))
         .select(*STORE_COLUMNS)
@@ -155,7 +152,7 @@ def _outcome() -> Column:
 
 
 def crawl_report(fetches: DataFrame, changes: DataFrame) -> DataFrame:
-    """Pages per outcome and their share of all pages."""
+    """Pages per outcome, with the total of all pages."""
     counts = crawl_outcomes(fetches, changes).groupBy("outcome").agg(F.count("*").alias("pages"))
     # At most four rows reach the window.
     return counts.withColumn("total", F.sum("pages").over(Window.partitionBy()))

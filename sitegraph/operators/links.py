@@ -63,13 +63,15 @@ def page_edges(fetches: DataFrame) -> DataFrame:
 def _edges(pages: DataFrame) -> DataFrame:
     """Canonical same-host edges.
 
-    Targets are exploded before the URL rules run, so those stay in generated code and a page with
-    very many links is not one long expression; equal edges are combined before the shuffle.
+    The URL rules and the host test run inside the page's array, so that each target is worked out
+    once; only edges that remain become rows, and equal ones are combined before the shuffle.
     """
-    base = urls.without_fragment(urls.clean_url(F.col("url")))
+    base = F.col("base")
+    targets = F.transform("targets", lambda href: urls.canonical_url(urls.resolve(base, href)))
+    same_host = F.filter(targets, lambda target: urls.host(target) == F.col("host"))
     return (
-        pages.select(base.alias("base"), urls.canonical_url(F.col("url")).alias("src"), F.explode("targets").alias("href"))
-        .select("src", urls.canonical_url(urls.resolve(F.col("base"), F.col("href"))).alias("dst"))
-        .filter(urls.host(F.col("dst")) == urls.host(F.col("src")))
+        pages.withColumn("base", urls.base_parts(F.col("url")))
+        .withColumn("host", urls.host(F.col("base.origin")))
+        .select(urls.canonical_url(F.col("url")).alias("src"), F.explode(F.array_distinct(same_host)).alias("dst"))
         .distinct()
     )

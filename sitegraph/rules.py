@@ -65,6 +65,9 @@ VOLATILE_PATTERNS = [
     r"javascript:void\(0\)",
 ]
 
+# Once every run of 32 hexadecimal digits is gone, no longer run can be left: these never match.
+UNREACHABLE = {r"[a-f0-9]{40}", r"[a-f0-9]{64}"}
+
 # --- fixed values: whole lines that are noise -----------------------------------------------------
 NOISE_LINES = [
     r"^\d+$",

@@ -70,6 +70,17 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spreads an input that arrives in fewer partitions than there are cores (one small file).
+
+    Inputs with enough files or row groups are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Adds a broadcast hint when a bounded count proves the size; otherwise leaves the side to a
     shuffled join, whose skewed partitions AQE splits."""

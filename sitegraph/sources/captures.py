@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitegraph.functions import urls
+from sitegraph.session import spread
 
 CAPTURE_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
@@ -22,7 +23,7 @@ CAPTURE_SCHEMA = T.StructType([
 
 def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A folder of captures in Parquet, ORC or line-delimited JSON. The schema is given, not inferred."""
-    return spark.read.schema(CAPTURE_SCHEMA).format(fmt).load(path)
+    return spread(spark.read.schema(CAPTURE_SCHEMA).format(fmt).load(path), "url")
 
 
 def stream_captures(spark: SparkSession, path: str, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
