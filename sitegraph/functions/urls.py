@@ -25,8 +25,8 @@ def _part(url: Column, group: int) -> Column:
 
 
 def clean_url(url: Column) -> Column:
-    """Drops tabs and line ends anywhere and control characters or blanks at the ends."""
-    return F.translate(F.btrim(url, F.lit(CONTROL_OR_SPACE)), "\t\r\n", "")
+    """Drops tabs and line ends anywhere and control characters or blanks in front."""
+    return F.translate(F.ltrim(url, F.lit(CONTROL_OR_SPACE)), "\t\r\n", "")
 
 
 def host(url: Column) -> Column:
