@@ -56,19 +56,21 @@ def detect_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 def _last_change(captures: DataFrame) -> DataFrame:
     """Per URL the time of the last capture whose checksum differs from the one before it.
 
-    Input: url, fetched_at, checksum, prior_checksum (of the store; null if the URL is new). The
-    captures of a URL are ordered in two steps: inside short spans of time, which also spreads a URL
-    with very many captures over tasks, then over one summary row per span.
+    Input: url, fetched_at, checksum, metadata_checksum, prior_checksum (of the store; null if the URL
+    is new). The captures of a URL are ordered in two steps: inside short spans of time, then over one
+    summary row per span. The explicit repartition by URL and span spreads a URL with very many
+    captures, also behind a join that has brought the URL together.
     """
-    span = F.floor(F.unix_timestamp("fetched_at") / SPAN_SECONDS)
+    key = F.struct("fetched_at", "checksum", "metadata_checksum")
     inside = Window.partitionBy("url", "span").orderBy("fetched_at", "checksum", "metadata_checksum")
     spans = (
-        captures.withColumn("span", span)
+        captures.withColumn("span", F.floor(F.unix_timestamp("fetched_at") / SPAN_SECONDS))
+        .repartition("url", "span")
         .withColumn("before", F.lag("checksum").over(inside))
         .groupBy("url", "span")
         .agg(
-            F.min(F.struct("fetched_at", "checksum", "metadata_checksum")).alias("first"),
-            F.max(F.struct("fetched_at", "checksum", "metadata_checksum")).alias("last"),
+            F.min(key).alias("first"),
+            F.max(key).alias("last"),
             F.max(F.when(F.col("before") != F.col("checksum"), F.col("fetched_at"))).alias("changed"),
             F.min("prior_checksum").alias("prior_checksum"),
         )
@@ -119,14 +121,18 @@ def _refresh_rows(store: DataFrame, documents: DataFrame, newest: DataFrame) ->
         "page_vector",
         "embedded_at",
     ).join(newest, "url", "left_semi")
-    newer = documents.join(prior, "url", "left").filter(
-        F.col("prior_seen").isNull() | (F.col("fetched_at") > F.col("prior_seen"))
-    )
-    # Two passes over the batch: the change times need narrow columns only.
-    changes = _last_change(newer.select("url", "fetched_at", "checksum", "metadata_checksum", "prior_checksum"))
+    is_newer = F.col("prior_seen").isNull() | (F.col("fetched_at") > F.col("prior_seen"))
+
+    # Two passes over the batch: the change times need every capture but narrow columns only; the
+    # page bodies are cut to one per URL before they meet the store.
+    narrow = documents.select("url", "fetched_at", "checksum", "metadata_checksum")
+    state = prior.select("url", "prior_checksum", "prior_seen")
+    changes = _last_change(narrow.join(state, "url", "left").filter(is_newer))
     return (
-        latest_captures(newer)
-        .join(changes, "url")
+        latest_captures(documents)
+        .join(prior, "url", "left")
+        .filter(is_newer)
+        .join(changes, "url", "left")
         .withColumn("markdown_changed", F.coalesce("changed_at", "prior_changed"))
         .withColumn("last_seen", F.col("fetched_at"))
         .select(*STORE_COLUMNS)
@@ -158,7 +164,12 @@ def crawl_report(fetches: DataFrame, changes: DataFrame) -> DataFrame:
     return counts.withColumn("total", F.sum("pages").over(Window.partitionBy()))
 
 
+def is_due() -> Column:
+    """Never embedded, or changed after the last embedding; with text."""
+    stale = F.col("embedded_at").isNull() | (F.col("markdown_changed") > F.col("embedded_at"))
+    return F.coalesce(stale & (F.col("clean_text") != ""), F.lit(False))
+
+
 def embedding_targets(pages: DataFrame) -> DataFrame:
     """Pages with text that were never embedded or changed after the last embedding."""
-    due = F.col("embedded_at").isNull() | (F.col("markdown_changed") > F.col("embedded_at"))
-    return pages.filter(due & (F.col("clean_text") != "")).select("url", "clean_text", "markdown_changed", "embedded_at")
+    return pages.filter(is_due()).select("url", "clean_text", "markdown_changed", "embedded_at")

@@ -32,7 +32,7 @@ class Crawled:
             "fetched": self.fetches,
             "failed": self.fetches.filter(F.col("error").isNotNull()),
             "pages": self.embedded.pages,
-            "embedded": self.embedded.vectors,
+            "embedded": self.embedded.new_pages,
             "chunks": self.embedded.chunks,
         }
         counts = [df.agg(F.lit(name).alias("stage"), F.count("*").alias("n")) for name, df in stages.items()]

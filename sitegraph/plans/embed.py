@@ -18,11 +18,11 @@ CHUNK_STORE = "page_url string, chunk_index int, text string, vec array<float>"
 
 @dataclass(frozen=True)
 class Embedded:
-    """The tables after the run; ``vectors`` and ``new_chunks`` hold only what was embedded now."""
+    """The tables after the run; ``new_pages`` and ``new_chunks`` hold only what was embedded now."""
 
     pages: DataFrame
     chunks: DataFrame
-    vectors: DataFrame
+    new_pages: DataFrame
     new_chunks: DataFrame
 
 
@@ -36,24 +36,20 @@ def embed_due_pages(
 ) -> Embedded:
     """Embeds the pages that are due and nothing else.
 
-    Targets come from the page table itself, so looking their URLs up again is not needed. Vectors
-    are written once as a stage table, since both the counts and the new tables read them.
+    Due rows are taken out of the page table, embedded and stored; the others pass through. Neither
+    the page bodies nor the vectors are shuffled, and no vector is worked out twice.
     """
-    targets = changes.embedding_targets(pages).filter(text.strip(F.col("clean_text")) != "")
-    vectors = write_stage(
-        chunk_ops.embed_pages(targets, encoder).select(
-            "url", "page_vector", (F.current_timestamp() if now is None else now).alias("embedded_at")
-        ),
-        "page-vectors",
+    due = changes.is_due() & (text.strip(F.col("clean_text")) != "")
+    embedded = write_stage(
+        chunk_ops.embed_pages(pages.filter(due), encoder)
+        .withColumn("embedded_at", F.current_timestamp() if now is None else now),
+        "embedded-pages",
     )
     new_chunks = write_stage(
-        chunk_ops.embed_chunks(chunk_ops.chunk_pages(targets, max_tokens, chunker), encoder), "chunk-vectors"
+        chunk_ops.embed_chunks(chunk_ops.chunk_pages(embedded, max_tokens, chunker), encoder), "embedded-chunks"
     )
-    if vectors.isEmpty():
-        return Embedded(pages, chunks, vectors, new_chunks)
+    if embedded.isEmpty():
+        return Embedded(pages, chunks, embedded, new_chunks)
     return Embedded(
-        chunk_ops.attach_page_vectors(pages, vectors),
-        chunk_ops.replace_chunks(chunks, new_chunks),
-        vectors,
-        new_chunks,
+        pages.filter(~due).unionByName(embedded), chunk_ops.replace_chunks(chunks, new_chunks), embedded, new_chunks
     )

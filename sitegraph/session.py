@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when a count has shown that it holds at most this many (narrow) rows.
+# A side is broadcast only when a count has shown that it stays below both bounds.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def build_session(app: str = "sitegraph", master: str | None = None, **conf: str) -> SparkSession:
@@ -81,9 +83,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Adds a broadcast hint when a bounded count proves the size; otherwise leaves the side to a
-    shuffled join, whose skewed partitions AQE splits."""
-    if df.limit(max_rows + 1).count() <= max_rows:
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Adds a broadcast hint when a distributed count proves rows and bytes to be small; otherwise
+    leaves the side to a shuffled join, whose skewed partitions AQE splits.
+
+    The count reads the narrow columns of ``df`` once more, so ``df`` should be cheap or stored.
+    """
+    texts = [F.octet_length(F.col(field.name)) for field in df.schema.fields if field.dataType.typeName() == "string"]
+    width = reduce(Column.__add__, texts, F.lit(16 * len(df.columns)))
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
         return F.broadcast(df)
     return df
