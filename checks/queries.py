@@ -15,6 +15,10 @@ from sitegraph.sources import store
 from sitegraph.streaming import pages as streaming
 
 
+# Far beyond any site in the tables: the crawl ends when nothing new is found.
+UNLIMITED_DEPTH, UNLIMITED_PAGES = 12, 10**12
+
+
 def load_fetches(spark: SparkSession, sf: str) -> DataFrame:
     return cap.load_fetches(fx.captures(spark, sf)).select(
         "page_id", "url", "status_code", "content_type", "error", "has_links", "fetched_at",
@@ -86,6 +90,11 @@ def crawl_bfs_limited(spark, sf):
     return crawl.crawl_bfs(fx.seeds(spark, sf), fx.edges(spark, sf), max_pages=100)
 
 
+def crawl_bfs_whole(spark, sf):
+    """Everything that can be reached."""
+    return crawl.crawl_bfs(fx.seeds(spark, sf), fx.edges(spark, sf), UNLIMITED_DEPTH, UNLIMITED_PAGES)
+
+
 def crawl_frontier(spark, sf):
     edges = fx.edges(spark, sf)
     state = crawl.crawl_bfs(fx.seeds(spark, sf), edges, max_depth=1)
@@ -267,9 +276,10 @@ def format_hits(spark, sf):
 
 
 def crawl_run(spark, sf):
-    """Crawl, store and embed everything reachable; rows per stage."""
+    """Crawl, store and embed everything reachable, without limits in effect; rows per stage."""
     run = crawl_site(
-        fx.captures(spark, sf), fx.seeds(spark, sf), fx.empty_store(spark), fx.empty_chunks(spark), now=F.col("markdown_changed")
+        fx.captures(spark, sf), fx.seeds(spark, sf), fx.empty_store(spark), fx.empty_chunks(spark),
+        max_depth=UNLIMITED_DEPTH, max_pages=UNLIMITED_PAGES, now=F.col("markdown_changed"),
     )
     return run.stage_counts()
 
@@ -307,7 +317,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         load_fetches, failed_fetches, lookup_pages, replace_chunks, attach_page_vectors, canonical_urls, duplicate_urls,
-        html_links, page_edges, crawl_bfs, crawl_bfs_limited, crawl_frontier, crawl_progress, page_titles, main_text,
+        html_links, page_edges, crawl_bfs, crawl_bfs_limited, crawl_bfs_whole, crawl_frontier, crawl_progress, page_titles, main_text,
         quality_lines, markdown_to_text, scrub_volatile, page_documents, page_metadata, pages_per_type, detect_changes,
         upsert_pages, crawl_report, embedding_targets, chunk_pages, embed_chunks, embed_pages, mean_page_vectors,
         unit_vectors, search_pages, search_chunks, search_batch, search_approx, search_recall, format_hits, crawl_run,

@@ -355,6 +355,7 @@ def oracle() -> dict[str, str]:
         "page_edges": f"WITH {EDGES} SELECT src, dst FROM edges",
         "crawl_bfs": f"{with_recursive}{bfs()} SELECT * FROM reached",
         "crawl_bfs_limited": f"{with_recursive}{bfs(max_pages=100)} SELECT * FROM reached",
+        "crawl_bfs_whole": f"{with_recursive}{bfs(12, 10**12)} SELECT * FROM reached",
         "crawl_frontier": f"{with_recursive}{bfs(max_depth=2)} SELECT * FROM reached WHERE depth = 2",
         "crawl_progress": f"""{with_recursive}{bfs()}, good AS (SELECT DISTINCT {canonical('url')} AS url FROM fetches WHERE error IS NULL),
             counts AS (SELECT depth, count(*) AS reached, count(g.url) AS fetched, count(*) - count(g.url) AS failed
@@ -415,7 +416,7 @@ def oracle() -> dict[str, str]:
         "format_hits": f"""WITH {BATCH_HITS} SELECT query_id, rank, url, CASE WHEN split_part(url, '/', -1) <> '' THEN split_part(url, '/', -1) ELSE url END AS title,
             substring(clean_text, 1, {rules.SNIPPET_CHARS}) AS snippet, round(score, 3) AS score, count(*) OVER (PARTITION BY query_id) AS total
             FROM hits JOIN doc_pages USING (page_id)""",
-        "crawl_run": f"""{with_recursive}{bfs()},
+        "crawl_run": f"""{with_recursive}{bfs(12, 10**12)},
             crawled AS (SELECT * REPLACE ({canonical('url')} AS url) FROM fetches WHERE {canonical('url')} IN (SELECT url FROM reached)),
             {TITLED.replace('FROM fetches', 'FROM crawled')}, {PAGE_DOCUMENTS},
             latest AS (SELECT * FROM page_documents QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC) = 1),

@@ -74,5 +74,5 @@ def write_version(rows: DataFrame, path: str, key: str, touched: list[int], buck
         .partitionBy("bucket", "version")
         .parquet(f"{path}/data")
     )
-    done = spark.createDataFrame([(version, bucket) for bucket in touched], COMMIT_SCHEMA)
+    done = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.explode(F.lit(touched)).alias("bucket"))
     done.coalesce(1).write.mode("append").parquet(f"{path}/commits")
