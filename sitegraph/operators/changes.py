@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegraph.session import broadcast_if_small
+from sitegraph.session import join_side
 
 # Columns of the page store, in order.
 PAGE_STORE = (
@@ -95,7 +95,7 @@ def upsert_pages(store: DataFrame, documents: DataFrame) -> DataFrame:
     columns stay. Captures not newer than the stored row are ignored, so replaying a batch or
     receiving an old capture late changes nothing.
     """
-    newest = broadcast_if_small(_newest_captures(documents))
+    newest = join_side(_newest_captures(documents))
     untouched = store.join(newest, "url", "left").filter(
         F.col("newest").isNull() | (F.col("newest") <= F.col("last_seen"))
     )
@@ -104,7 +104,7 @@ def upsert_pages(store: DataFrame, documents: DataFrame) -> DataFrame:
 
 def refresh_rows(store: DataFrame, documents: DataFrame) -> DataFrame:
     """Only the rows that an upsert of ``documents`` adds or replaces."""
-    return _refresh_rows(store, documents, broadcast_if_small(_newest_captures(documents)))
+    return _refresh_rows(store, documents, join_side(_newest_captures(documents)))
 
 
 def _newest_captures(documents: DataFrame) -> DataFrame:
@@ -113,14 +113,16 @@ def _newest_captures(documents: DataFrame) -> DataFrame:
 
 def _refresh_rows(store: DataFrame, documents: DataFrame, newest: DataFrame) -> DataFrame:
     # Only stored rows of URLs in the batch matter; their page bodies are never read.
-    prior = store.select(
-        "url",
-        F.col("checksum").alias("prior_checksum"),
-        F.col("markdown_changed").alias("prior_changed"),
-        F.col("last_seen").alias("prior_seen"),
-        "page_vector",
-        "embedded_at",
-    ).join(newest, "url", "left_semi")
+    prior = join_side(
+        store.select(
+            "url",
+            F.col("checksum").alias("prior_checksum"),
+            F.col("markdown_changed").alias("prior_changed"),
+            F.col("last_seen").alias("prior_seen"),
+            "page_vector",
+            "embedded_at",
+        ).join(newest, "url", "left_semi")
+    )
     is_newer = F.col("prior_seen").isNull() | (F.col("fetched_at") > F.col("prior_seen"))
 
     # Two passes over the batch: the change times need every capture but narrow columns only; the

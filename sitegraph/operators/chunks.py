@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from sitegraph import rules
 from sitegraph.functions import text
 from sitegraph.functions.vectors import Encoder, hash_encoder, norm, unit
-from sitegraph.session import broadcast_if_small
+from sitegraph.session import join_side
 
 # A chunker maps a text column and a size to an array<string> column of raw chunks.
 Chunker = Callable[[Column, int], Column]
@@ -86,7 +86,7 @@ def unit_vectors(vectors: DataFrame, column: str = "vec") -> DataFrame:
 
 def replace_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     """All chunks of a page that occurs in ``new`` are replaced by the new ones."""
-    touched = broadcast_if_small(new.select("page_url").distinct())
+    touched = join_side(new.select("page_url").distinct())
     return old.join(touched, "page_url", "left_anti").unionByName(new)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitegraph import rules
 from sitegraph.functions import urls
-from sitegraph.session import broadcast_if_small, cut_lineage
+from sitegraph.session import cut_lineage, join_side
 
 STATE = ["seed", "url", "depth"]
 
@@ -21,7 +21,7 @@ def crawl_frontier(state: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     shuffled. Otherwise both sides are shuffled on the URL and AQE splits the partitions of hubs.
     """
     level = state.filter(F.col("depth") == depth).select("seed", F.col("url").alias("src"))
-    return _step(broadcast_if_small(level), edges, state, depth + 1)
+    return _step(join_side(level), edges, state, depth + 1)
 
 
 def _step(level: DataFrame, edges: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
@@ -51,9 +51,9 @@ def crawl_bfs(
     for depth in range(1, max_depth + 1):
         seen = reduce(DataFrame.unionByName, levels)
         full = seen.groupBy("seed").count().filter(F.col("count") >= max_pages).select("seed")
-        open_level = levels[-1].join(broadcast_if_small(full), "seed", "left_anti")
+        open_level = levels[-1].join(join_side(full), "seed", "left_anti")
         level = open_level.select("seed", F.col("url").alias("src"))
-        found = cut_lineage(_step(broadcast_if_small(level), edges, seen, depth))
+        found = cut_lineage(_step(join_side(level), edges, seen, depth))
         if found.isEmpty():
             break
         levels.append(found)
@@ -79,13 +79,16 @@ def crawl_progress(state: DataFrame, fetches: DataFrame) -> DataFrame:
         fetches.groupBy(urls.canonical_url(F.col("url")).alias("url"))
         .agg(F.max(F.col("error").isNull()).alias("good"))
     )
+    # Counted per URL first: a URL reached from very many seeds meets its outcome as one row per depth.
+    reached = state.groupBy("url", "depth").agg(F.count("*").alias("n"))
+    good = F.coalesce("good", F.lit(False))
     counts = (
-        state.join(outcome, "url", "left")
+        reached.join(outcome, "url", "left")
         .groupBy("depth")
         .agg(
-            F.count("*").alias("reached"),
-            F.count_if(F.coalesce("good", F.lit(False))).alias("fetched"),
-            F.count_if(~F.coalesce("good", F.lit(False))).alias("failed"),
+            F.sum("n").alias("reached"),
+            F.sum(F.when(good, F.col("n")).otherwise(0)).alias("fetched"),
+            F.sum(F.when(good, 0).otherwise(F.col("n"))).alias("failed"),
         )
     )
     # One row per depth is left here, at most max_depth + 1.

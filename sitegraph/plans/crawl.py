@@ -12,7 +12,7 @@ from sitegraph.functions import html, urls
 from sitegraph.functions.vectors import Encoder
 from sitegraph.operators import changes, crawl, links, pages as page_ops
 from sitegraph.plans.embed import Embedded, embed_due_pages
-from sitegraph.session import broadcast_if_small, write_stage
+from sitegraph.session import join_side, write_stage
 from sitegraph.sources.captures import load_fetches
 
 
@@ -58,7 +58,7 @@ def crawl_site(
     edges = write_stage(links.page_edges(fetches), "edges")
     reached = crawl.crawl_bfs(seeds, edges, max_depth, max_pages)
 
-    visited = broadcast_if_small(reached.select("url").distinct())
+    visited = join_side(reached.select("url").distinct())
     crawled = write_stage(
         fetches.withColumn("url", urls.canonical_url(F.col("url"))).join(visited, "url", "left_semi"), "fetches"
     )

@@ -83,15 +83,20 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Adds a broadcast hint when a distributed count proves rows and bytes to be small; otherwise
-    leaves the side to a shuffled join, whose skewed partitions AQE splits.
+def join_side(df: DataFrame) -> DataFrame:
+    """Prepares the smaller side of a join on its key.
 
-    The count reads the narrow columns of ``df`` once more, so ``df`` should be cheap or stored.
+    The side is stored once; a count over the stored rows decides. Below both bounds it is broadcast.
+    Beyond them it is joined by shuffling both sides, and since a stored side is shuffled as it is,
+    without an aggregate or another join in between, AQE can split a hot key of the other side.
     """
-    texts = [F.octet_length(F.col(field.name)) for field in df.schema.fields if field.dataType.typeName() == "string"]
-    width = reduce(Column.__add__, texts, F.lit(16 * len(df.columns)))
-    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
-    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
-        return F.broadcast(df)
-    return df
+    stored = write_stage(df, "join-side")
+    sizes = [F.lit(16 * len(df.columns))]
+    for field in df.schema.fields:
+        if field.dataType.typeName() == "string":
+            sizes.append(F.coalesce(F.octet_length(F.col(field.name)), F.lit(0)))
+        elif field.dataType.typeName() == "array":
+            sizes.append(F.coalesce(F.size(F.col(field.name)) * 8, F.lit(0)))
+    rows, size = stored.agg(F.count("*"), F.coalesce(F.sum(reduce(Column.__add__, sizes)), F.lit(0))).first()
+    small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    return F.broadcast(stored) if small else stored

@@ -79,7 +79,7 @@ def test_upsert_keeps_vectors_and_other_pages(spark):
 
 def test_upsert_without_broadcast(spark, monkeypatch):
     rows = feed(4)
-    monkeypatch.setattr(changes, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(changes, "join_side", lambda df: df)
     assert stored(changes.upsert_pages(empty(spark), documents(spark, rows))) == replayed(rows)
 
 
