@@ -26,7 +26,7 @@ def re2(pattern: str) -> str:
 
 
 def apply(expr: str, steps) -> str:
-    for pattern, replacement in steps:
+    for pattern, replacement, *_ in steps:
         if pattern.startswith(r"\b"):
             # No look-around here: a run between non-word characters, twice because neighbours share one.
             bounded = rf"(^|[^{WORD}]){pattern[2:-2]}($|[^{WORD}])"
@@ -56,7 +56,7 @@ def markdown(expr: str) -> str:
 
 def scrub(expr: str) -> str:
     noise = re2("|".join(f"(?:{p})" for p in rules.NOISE_LINES))
-    scrubbed = apply(expr, [(p, "") for p in rules.VOLATILE_PATTERNS])
+    scrubbed = apply(expr, rules.VOLATILE_RULES)
     return f"array_to_string(list_filter({lines(scrubbed)}, lambda x: NOT regexp_matches(x, {lit(noise)})), chr(10))"
 
 

@@ -34,13 +34,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def replace_all(text: Column, steps: list[tuple[str, str]]) -> Column:
-    """Applies ``(pattern, replacement)`` steps in order."""
-    return reduce(
-        lambda col, step: F.regexp_replace(col, F.lit(to_java(step[0])), F.lit(step[1].replace("\\1", "$1"))),
-        steps,
-        text,
-    )
+def replace_all(text: Column, steps: list[tuple[str, ...]]) -> Column:
+    """Applies ``(pattern, replacement[, literal of every match])`` steps in order."""
+    return reduce(_replace, steps, text)
+
+
+def _replace(text: Column, step: tuple[str, ...]) -> Column:
+    pattern, replacement, *literal = step
+
+    def replaced(value: Column) -> Column:
+        return F.regexp_replace(value, F.lit(to_java(pattern)), F.lit(replacement.replace("\\1", "$1")))
+
+    if not literal:
+        return replaced(text)
+    return let(text, lambda value: F.when(F.contains(value, F.lit(literal[0])), replaced(value)).otherwise(value))
 
 
 def strip(text: Column) -> Column:
@@ -70,8 +77,7 @@ def markdown_to_text(markdown: Column) -> Column:
 
 def scrub_volatile(text: Column) -> Column:
     """Removes content that differs between two visits of an unchanged page, and noise lines."""
-    reachable = [pattern for pattern in rules.VOLATILE_PATTERNS if pattern not in rules.UNREACHABLE]
-    scrubbed = replace_all(text, [(pattern, "") for pattern in reachable])
+    scrubbed = replace_all(text, [step for step in rules.VOLATILE_RULES if step[0] not in rules.UNREACHABLE])
     noise = "|".join(f"(?:{pattern})" for pattern in rules.NOISE_LINES)
     return F.array_join(F.filter(lines(scrubbed), lambda line: ~F.rlike(line, F.lit(to_java(noise)))), "\n")
 

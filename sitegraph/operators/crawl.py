@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitegraph import rules
 from sitegraph.functions import urls
-from sitegraph.session import cut_lineage, join_side
+from sitegraph.session import cut_lineage, join_side, sized_side
 
 STATE = ["seed", "url", "depth"]
 
@@ -48,15 +48,21 @@ def crawl_bfs(
     levels = [cut_lineage(start.select(F.col("url").alias("seed"), "url", F.lit(0).alias("depth")))]
     if max_pages < 1:
         return levels[0].limit(0)
+    total = levels[0].count()
+
     for depth in range(1, max_depth + 1):
         seen = reduce(DataFrame.unionByName, levels)
-        full = seen.groupBy("seed").count().filter(F.col("count") >= max_pages).select("seed")
-        open_level = levels[-1].join(join_side(full), "seed", "left_anti")
-        level = open_level.select("seed", F.col("url").alias("src"))
-        found = cut_lineage(_step(join_side(level), edges, seen, depth))
-        if found.isEmpty():
+        level = levels[-1]
+        if total >= max_pages:  # else no seed can be full yet
+            full = seen.groupBy("seed").count().filter(F.col("count") >= max_pages).select("seed")
+            level = level.join(join_side(full), "seed", "left_anti")
+        level = sized_side(level.select("seed", F.col("url").alias("src")))
+        found = cut_lineage(_step(level, edges, seen, depth))
+        new = found.count()
+        if new == 0:
             break
         levels.append(found)
+        total += new
     reached = reduce(DataFrame.unionByName, levels)
     return _cut_at_limit(reached, max_pages) if strict else reached
 

@@ -84,15 +84,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def join_side(df: DataFrame) -> DataFrame:
-    """Prepares the smaller side of a join on its key.
+    """Prepares the smaller side of a join on its key: stores it once, then as ``sized_side``."""
+    return sized_side(write_stage(df, "join-side"))
 
-    The side is stored once; a count over the stored rows decides. Below both bounds it is broadcast.
-    Beyond them it is joined by shuffling both sides, and since a stored side is shuffled as it is,
-    without an aggregate or another join in between, AQE can split a hot key of the other side.
+
+def sized_side(stored: DataFrame) -> DataFrame:
+    """Adds a broadcast hint to a stored or checkpointed side that a count proves to be small.
+
+    Beyond the bounds both sides of the join are shuffled. Since a stored side is shuffled as it is,
+    without an aggregate or another join in between, AQE can then split a hot key of the other side.
     """
-    stored = write_stage(df, "join-side")
-    sizes = [F.lit(16 * len(df.columns))]
-    for field in df.schema.fields:
+    sizes = [F.lit(16 * len(stored.columns))]
+    for field in stored.schema.fields:
         if field.dataType.typeName() == "string":
             sizes.append(F.coalesce(F.octet_length(F.col(field.name)), F.lit(0)))
         elif field.dataType.typeName() == "array":

@@ -59,7 +59,7 @@ def test_strict_limit_cuts_the_last_level(spark):
 
 def test_large_frontier_is_not_broadcast(spark, monkeypatch):
     names, graph = random_graph(True)
-    monkeypatch.setattr(crawl, "join_side", lambda df: df)
+    monkeypatch.setattr(crawl, "sized_side", lambda df: df)
     rows = crawl.crawl_bfs(*tables(spark, names, graph, names[:2]), 3, 1000).collect()
     assert {(r.seed, r.url, r.depth) for r in rows} == {
         (s, u, d) for s in names[:2] for u, d in breadth_first(graph, s, 3, 1000).items()
