@@ -95,16 +95,20 @@ def upsert_pages(store: DataFrame, documents: DataFrame) -> DataFrame:
     columns stay. Captures not newer than the stored row are ignored, so replaying a batch or
     receiving an old capture late changes nothing.
     """
+    untouched, refreshed = upsert_parts(store, documents)
+    return untouched.unionByName(refreshed)
+
+
+def upsert_parts(store: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two parts of an upsert: stored rows that stay as they are, and rows added or replaced.
+
+    Only the second part is new data; a caller that keeps intermediate results stores that one.
+    """
     newest = join_side(_newest_captures(documents))
     untouched = store.join(newest, "url", "left").filter(
         F.col("newest").isNull() | (F.col("newest") <= F.col("last_seen"))
     )
-    return untouched.select(*STORE_COLUMNS).unionByName(_refresh_rows(store, documents, newest))
-
-
-def refresh_rows(store: DataFrame, documents: DataFrame) -> DataFrame:
-    """Only the rows that an upsert of ``documents`` adds or replaces."""
-    return _refresh_rows(store, documents, join_side(_newest_captures(documents)))
+    return untouched.select(*STORE_COLUMNS), _refresh_rows(store, documents, newest)
 
 
 def _newest_captures(documents: DataFrame) -> DataFrame:

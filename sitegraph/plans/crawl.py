@@ -58,12 +58,13 @@ def crawl_site(
     edges = write_stage(links.page_edges(fetches), "edges")
     reached = crawl.crawl_bfs(seeds, edges, max_depth, max_pages)
 
+    # Page bodies are read once, for the documents; everything counted later is narrow.
     visited = join_side(reached.select("url").distinct())
-    crawled = write_stage(
-        fetches.withColumn("url", urls.canonical_url(F.col("url"))).join(visited, "url", "left_semi"), "fetches"
-    )
+    crawled = fetches.withColumn("url", urls.canonical_url(F.col("url"))).join(visited, "url", "left_semi")
+    outcomes = write_stage(crawled.select("url", "error"), "fetches")
     documents = write_stage(page_ops.page_documents(crawled, extract), "documents")
-    status = changes.detect_changes(store, changes.latest_captures(documents.select("url", "checksum", "metadata_checksum", "fetched_at")))
-    report = changes.crawl_report(crawled, status)
-    pages = write_stage(changes.upsert_pages(store, documents), "pages")
-    return Crawled(edges, reached, crawled, report, embed_due_pages(pages, chunks, now, encoder))
+    checksums = documents.select("url", "checksum", "metadata_checksum", "fetched_at")
+    report = changes.crawl_report(outcomes, changes.detect_changes(store, changes.latest_captures(checksums)))
+    untouched, refreshed = changes.upsert_parts(store, documents)
+    pages = untouched.unionByName(write_stage(refreshed, "refreshed"))
+    return Crawled(edges, reached, outcomes, report, embed_due_pages(pages, chunks, now, encoder))

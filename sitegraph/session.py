@@ -73,9 +73,9 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spreads an input that arrives in fewer partitions than there are cores (one small file).
+    """Spreads a scan that arrives in fewer partitions than there are cores (one small file).
 
-    Inputs with enough files or row groups are returned as they are, without a shuffle.
+    Scans with enough files or row groups are returned as they are, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:

@@ -59,7 +59,8 @@ def embeddings_writer(
         documents, touched = _batch_documents(batch, buckets, to_documents)
         if touched:
             current = _stored(batch, path, changes.PAGE_STORE, touched)
-            pages = write_stage(changes.upsert_pages(current, documents), "pages")
+            untouched, refreshed = changes.upsert_parts(current, documents)
+            pages = untouched.unionByName(write_stage(refreshed, "refreshed"))
             chunks = _stored(batch, chunk_path, CHUNK_STORE, touched)
             done = embed_due_pages(pages, chunks, now, encoder)
             store.write_version(done.chunks, chunk_path, "page_url", touched, buckets)

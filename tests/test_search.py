@@ -139,6 +139,10 @@ def test_encoders(spark):
     got = [r.v for r in df.select(lengths(F.col("t")).alias("v")).collect()]
     assert np.allclose(got, [np.array([n, 1.0]) / np.hypot(n, 1) for n in (7, 0, 7)])
 
+    with_null = spark.createDataFrame([("ab",), (None,)], "t string").coalesce(1)
+    assert [r.v is None for r in with_null.select(lengths(F.col("t")).alias("v")).collect()] == [False, True]
+    assert with_null.filter("t is null").select(lengths(F.col("t")).alias("v")).first().v is None
+
 
 def test_mean_and_unit_vectors(spark):
     df = spark.createDataFrame([("p", 0, [0.1, 0.2]), ("p", 1, [0.3, 0.4]), ("p", 2, [0.5, 0.6])], "page_url string, chunk_index int, vec array<float>")
