@@ -82,8 +82,8 @@ def entities(expr: str) -> str:
 
 def main_text(expr: str) -> str:
     plain = rx(rx(rx(rx(expr, f"[{BLANKS}]+", " "), DROPPED), BREAKS, "\n"), r"(?s)</?[a-zA-Z!][^>]*>")
-    joined = rx(entities(plain), rf"[{BLANKS}]*\n[{BLANKS}]*", "\n")
-    return strip(rx(joined, r"[ \x{A0}]+", " "))
+    line_blanks = BLANKS.replace(r"\n", "")
+    return strip(rx(rx(entities(plain), f"[{line_blanks}]+", " "), r" ?\n[ \n]*", "\n"))
 
 
 def html_title(expr: str) -> str:
@@ -312,7 +312,7 @@ def zero_safe(a: str, b: str) -> str:
 BATCH_HITS = f"""{DOC_PAGES}, {DOC_VECTORS}, {QUESTIONS},
 hits AS ({top_k(f"SELECT query_id, page_id, {zero_safe('q.vec', 'p.vec')} AS score FROM questions q, doc_vectors p", score="score")})"""
 
-BITS, RADIUS = 8, 2
+BITS, RADIUS = 8, 3
 SELF = f"""vectors AS (SELECT vec_id AS page_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings),
 planes AS (SELECT j, list(CASE WHEN substr(md5(j || ':' || i), 1, 1) >= '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY i) AS plane
   FROM range({BITS}) a(j), (SELECT unnest(range(len(vec))) AS i FROM (SELECT vec FROM vectors LIMIT 1)) GROUP BY j),

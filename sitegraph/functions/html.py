@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitegraph.functions.text import BLANKS, let, strip
+from sitegraph.functions.text import BLANKS, LINE_BLANKS, let, strip
 
 DROPPED_TAGS = ["script", "style", "head", "nav", "footer", "aside", "form", "table"]
 BLOCK_TAGS = ["p", "div", "section", "article", "main", "header", "h[1-6]", "ul", "ol", "li", "dl", "dt",
@@ -66,9 +66,9 @@ def main_text(html: Column) -> Column:
     kept = F.regexp_replace(flat, DROPPED_BLOCKS, "")
     broken = F.regexp_replace(kept, BLOCK_BREAKS, "\n")
     plain = decode_entities(F.regexp_replace(broken, ANY_TAG, ""))
-    # Blanks around line ends go with the line end; runs of other blanks become one space.
-    joined = F.regexp_replace(plain, rf"[{BLANKS}]*\n[{BLANKS}]*", "\n")
-    return strip(F.regexp_replace(joined, r"[ \xA0]+", " "))
+    # Runs of blanks become one space first, so that the blanks around a line end are few.
+    spaced = F.regexp_replace(plain, f"[{LINE_BLANKS}]+", " ")
+    return strip(F.regexp_replace(spaced, r" ?\n[ \n]*", "\n"))
 
 
 def html_title(html: Column) -> Column:

@@ -2,11 +2,14 @@
 
 A write adds a new version of the buckets it touches and then one row per bucket to a small commit
 table. Readers take the newest committed version of each bucket, so a crash between the two steps
-leaves the old state, a replay overwrites its own version only, and nothing being read is replaced.
+leaves the old state and folders that no one reads, and nothing being read is replaced. One writer at a
+time.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,7 @@ from pyspark.sql import types as T
 COMMIT_SCHEMA = T.StructType([
     T.StructField("version", T.LongType()),
     T.StructField("bucket", T.IntegerType()),
+    T.StructField("filled", T.BooleanType()),
 ])
 
 
@@ -21,34 +25,42 @@ def bucket_of(url: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def _found(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in any file system Spark can read."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    statuses = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return [status.getPath().toString() for status in statuses or []]
 
 
 def commits(spark: SparkSession, path: str) -> DataFrame:
     log = f"{path}/commits"
-    if not _exists(spark, log):
+    if not _found(spark, log):
         return spark.createDataFrame([], COMMIT_SCHEMA)
     return spark.read.schema(COMMIT_SCHEMA).parquet(log)
 
 
 def next_version(spark: SparkSession, path: str) -> int:
+    """Larger than every committed version, and never one that a crashed write has used."""
     newest = commits(spark, path).agg(F.max("version")).first()[0]
-    return 0 if newest is None else newest + 1
+    return max(int(time.time() * 1000), 0 if newest is None else newest + 1)
 
 
 def read_store(spark: SparkSession, path: str, schema: T.StructType, buckets: list[int] | None = None) -> DataFrame:
-    """The current rows, or those of some buckets only (other partitions are not listed or read)."""
-    if not _exists(spark, f"{path}/data"):
-        return spark.createDataFrame([], schema)
-    full = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())])
-    data = spark.read.schema(full).parquet(f"{path}/data")
-    newest = commits(spark, path).groupBy("bucket").agg(F.max("version").alias("version"))
+    """The current rows, or those of some buckets only.
+
+    Only the folders of current versions are listed, never the superseded ones. Their number is
+    bounded by the bucket count of the store.
+    """
+    log = commits(spark, path)
     if buckets is not None:
-        data, newest = data.filter(F.col("bucket").isin(buckets)), newest.filter(F.col("bucket").isin(buckets))
-    # One row per bucket: the bucket count of the store bounds this side.
-    return data.join(F.broadcast(newest), ["bucket", "version"], "left_semi").select(*schema.fieldNames())
+        log = log.filter(F.col("bucket").isin(buckets))
+    current = log.groupBy("bucket").agg(F.max(F.struct("version", "filled")).alias("newest")).collect()
+    folders = [
+        f"{path}/data/bucket={row['bucket']}/version={row['newest']['version']}" for row in current if row["newest"]["filled"]
+    ]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*sorted(folders))
 
 
 def touched_buckets(rows: DataFrame, key: str, buckets: int) -> list[int]:
@@ -74,5 +86,9 @@ def write_version(rows: DataFrame, path: str, key: str, touched: list[int], buck
         .partitionBy("bucket", "version")
         .parquet(f"{path}/data")
     )
-    done = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.explode(F.lit(touched)).alias("bucket"))
+    # A touched bucket may have become empty; then it has no folder.
+    written = _found(spark, f"{path}/data/bucket=*/version={version}")
+    filled = {int(folder.split("/bucket=")[1].split("/")[0]) for folder in written}
+    entries = F.array(*[F.struct(F.lit(bucket).alias("bucket"), F.lit(bucket in filled).alias("filled")) for bucket in touched])
+    done = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.inline(entries))
     done.coalesce(1).write.mode("append").parquet(f"{path}/commits")

@@ -135,3 +135,16 @@ def test_stream_of_files(spark, tmp_path):
         stream = spark.readStream.schema(StructType.fromDDL(DOCUMENT)).parquet(source)
         streaming.run_available(stream, write, str(tmp_path / "progress")).awaitTermination()
     assert stored(page_store.read_store(spark, path, StructType.fromDDL(changes.PAGE_STORE))) == replayed(rows)
+
+
+def test_store_bucket_that_became_empty(spark, tmp_path):
+    path, schema = str(tmp_path / "store"), StructType.fromDDL(changes.PAGE_STORE)
+    rows = changes.upsert_pages(empty(spark), documents(spark, [capture("a", 1, "A"), capture("b", 1, "B")]))
+    touched = page_store.touched_buckets(rows, "url", 4)
+    page_store.write_version(rows, path, "url", touched, 4)
+    assert page_store.read_store(spark, path, schema).count() == 2
+    page_store.write_version(rows.filter("url = 'a'"), path, "url", touched, 4)
+    assert [r.url for r in page_store.read_store(spark, path, schema).collect()] == ["a"]
+    page_store.write_version(rows.filter("false"), path, "url", touched, 4)
+    assert page_store.read_store(spark, path, schema).collect() == []
+    assert page_store.read_store(spark, path, schema, buckets=[0]).schema == schema
