@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm import license_scan, sharding
+from sitegraph.llm import license_scan, sharding, weighted_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_weighted_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return weighted_dedup.near_duplicate_classes(docs).select("doc_id", "class_id", "kept")
+
+
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -33,5 +39,6 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
+    "op5_weighted_near_dedup": op5_weighted_near_dedup,
     "op9_vector_packing": op9_vector_packing,
 }
