@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm import license_scan, sharding, weighted_dedup
+from sitegraph.llm import license_scan, sharding, spaced_seeds, weighted_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it leaks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = spaced_seeds.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", F.col("item").alias("item_id"), "item_words", "n_windows", "best_matches", "n_covered")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences named in every document, by recognised sentences."""
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -38,6 +45,7 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spaced_seeds": op1_spaced_seeds,
     "op3_license_scan": op3_license_scan,
     "op5_weighted_near_dedup": op5_weighted_near_dedup,
     "op9_vector_packing": op9_vector_packing,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sitegraph.llm import spaced_seeds as seeds
 from sitegraph.llm.license_rules import CUES, RULES, SENTENCES
 from sitegraph.llm.license_scan import sentence_pattern
 
@@ -38,5 +39,31 @@ def license_scan() -> str:
     """
 
 
+def spaced_seeds() -> str:
+    pairs = [(w, m, at) for w in range(seeds.SHORTEST, seeds.WIDTH + 1) for m, at in enumerate(seeds.masks(w))]
+    rows = ", ".join(f"({w}, {m}, {at})" for w, m, at in pairs)
+    tokens = "regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '[\\p{L}\\p{M}\\p{N}]+')"
+    return f"""
+    WITH d AS (SELECT doc_id, {tokens} AS t FROM documents),
+    b AS (SELECT item_id, t, len(t) AS n, least(len(t), {seeds.WIDTH}) AS w FROM (SELECT item_id, {tokens} AS t FROM benchmark)),
+    masks AS (SELECT * FROM (VALUES {rows}) AS v(w, m, places) WHERE w IN (SELECT w FROM b)),
+    bw AS (
+      SELECT item_id, n, b.w, m, q, t[q + 1 : q + b.w] AS win, array_to_string(list_transform(places, lambda i: t[q + 1 + i]), ' ') AS key
+      FROM (SELECT *, unnest(range(n - w + 1)) AS q FROM b WHERE n >= {seeds.SHORTEST}) b JOIN masks USING (w)
+    ), dp AS (SELECT doc_id, t, w, unnest(range(greatest(len(t) - w + 1, 0))) AS p FROM d, (SELECT DISTINCT w FROM masks)),
+    dw AS (
+      SELECT doc_id, dp.w, m, t[p + 1 : p + dp.w] AS win, array_to_string(list_transform(places, lambda i: t[p + 1 + i]), ' ') AS key
+      FROM dp JOIN masks USING (w)
+    ), hits AS (
+      SELECT doc_id, item_id, n, bw.w, q, len(list_filter(range(bw.w), lambda i: dw.win[i + 1] = bw.win[i + 1])) AS matches
+      FROM dw JOIN bw ON dw.w = bw.w AND dw.m = bw.m AND dw.key = bw.key
+    ), found AS (SELECT * FROM hits WHERE matches >= w - CASE WHEN w = {seeds.WIDTH} THEN {seeds.SUBSTITUTIONS} ELSE 0 END)
+    SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS item_words, CAST(count(DISTINCT q) AS INTEGER) AS n_windows,
+           CAST(max(matches) AS INTEGER) AS best_matches,
+           CAST(len(list_distinct(flatten(list(range(q, q + w))))) AS INTEGER) AS n_covered
+    FROM found GROUP BY doc_id, item_id
+    """
+
+
 def oracle() -> dict[str, str]:
-    return {"op3_license_scan": license_scan()}
+    return {"op1_spaced_seeds": spaced_seeds(), "op3_license_scan": license_scan()}
