@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm import language, license_scan, sharding, spaced_seeds, weighted_dedup
+from sitegraph.llm import bpe, language, license_scan, sharding, spaced_seeds, weighted_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,10 +53,20 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_streaming_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Digests of the tokens of every document and of the text decoded from them."""
+    words = bpe.Vocabulary.read(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), words)
+    return encoded.select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op3_license_scan": op3_license_scan,
     "op4_byte_network": op4_byte_network,
     "op5_weighted_near_dedup": op5_weighted_near_dedup,
     "op9_vector_packing": op9_vector_packing,
+    "op10_streaming_bpe": op10_streaming_bpe,
 }
