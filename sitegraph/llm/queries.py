@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm import bpe, language, license_scan, sharding, spaced_seeds, weighted_dedup
+from sitegraph.llm import bpe, language, license_scan, personal_data, sharding, spaced_seeds, weighted_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,19 @@ def op5_weighted_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_dedup.near_duplicate_classes(docs).select("doc_id", "class_id", "kept")
 
 
+def op8_skip_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; the counts and the digest are those of the base spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data.find_personal_data(docs, personal_data.fit(docs))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("pii", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_byte_network": op4_byte_network,
     "op5_weighted_near_dedup": op5_weighted_near_dedup,
+    "op8_skip_chain_field": op8_skip_chain_field,
     "op9_vector_packing": op9_vector_packing,
     "op10_streaming_bpe": op10_streaming_bpe,
 }
