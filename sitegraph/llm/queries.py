@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm import bpe, language, license_scan, personal_data, sharding, spaced_seeds, weighted_dedup
+from sitegraph.llm import bpe, language, license_scan, personal_data, sharding, spaced_seeds, url_lists, weighted_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,39 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", F.col("item").alias("item_id"), "item_words", "n_windows", "best_matches", "n_covered")
 
 
+def dated_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a fetch time, a day of 2024 that follows from the URL."""
+    day = F.conv(F.substring(F.md5("url"), 1, 4), 16, 10).cast("int") % 360
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), day).cast("timestamp").alias("fetched_at"))
+
+
+def dated_entries(captures: DataFrame) -> DataFrame:
+    """List entries as reports would give them: what a page's URL looks like says which list changes on its day."""
+    host = url_lists.url_host(F.col("url"))
+    site = F.array_join(F.slice(F.split(host, r"\."), -2, 2), ".")
+    section = F.concat_ws("/", host, F.element_at(url_lists.url_segments(F.col("url")), 1))
+
+    def entry(pattern, name, action, key):
+        return F.when(F.col("url").rlike(pattern), F.struct(F.lit(name).alias("list"), F.lit(action).alias("action"), key.alias("key")))
+
+    reports = F.array(
+        entry("utm_source=", "block", "add", host), entry("#top$", "block", "remove", host),
+        entry("[.]html$", "block", "add", section), entry("/$", "block", "remove", section),
+        entry("[?]page=", "allow", "add", section), entry("//m[.].*[.]html$", "allow", "remove", section),
+        entry("//blog[.].*/$", "allow", "add", host), entry("//blog[.].*[.]html$", "block", "add", site),
+    )
+    found = captures.select(F.to_date("fetched_at").alias("day"), F.explode(F.array_compact(reports)).alias("e"))
+    return found.select("e.list", "e.key", "e.action", "day")
+
+
+def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the lists, as they were on the day of the fetch, for every page."""
+    captures = dated_captures(spark, sf_dir)
+    return url_lists.judge_captures(captures, dated_entries(captures)).select(
+        "page_id", "url", F.to_date("fetched_at").cast("string").alias("fetched_on"), "verdict", "rule_key", F.col("rule_since").cast("string").alias("rule_since"),
+    )
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences named in every document, by recognised sentences."""
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -81,6 +114,7 @@ def op10_streaming_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seeds": op1_spaced_seeds,
+    "op2_url_lists": op2_url_lists,
     "op3_license_scan": op3_license_scan,
     "op4_byte_network": op4_byte_network,
     "op5_weighted_near_dedup": op5_weighted_near_dedup,

@@ -65,5 +65,38 @@ def spaced_seeds() -> str:
     """
 
 
+URL_LISTS = """
+WITH captures AS (
+  SELECT row_number() OVER () AS row, page_id, url, DATE '2024-01-01' + CAST(('0x' || substr(md5(url), 1, 4))::INT % 360 AS INT) AS day,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segs
+  FROM pages
+), named AS (SELECT *, string_split(host, '.') AS labels, host || CASE WHEN len(segs) > 0 THEN '/' || segs[1] ELSE '' END AS section FROM captures),
+reports AS (
+  SELECT 'block' AS list, 'add' AS action, host AS key, day FROM named WHERE url LIKE '%utm_source=%'
+  UNION ALL SELECT 'block', 'remove', host, day FROM named WHERE regexp_matches(url, '#top$')
+  UNION ALL SELECT 'block', 'add', section, day FROM named WHERE regexp_matches(url, '[.]html$')
+  UNION ALL SELECT 'block', 'remove', section, day FROM named WHERE regexp_matches(url, '/$')
+  UNION ALL SELECT 'allow', 'add', section, day FROM named WHERE regexp_matches(url, '[?]page=')
+  UNION ALL SELECT 'allow', 'remove', section, day FROM named WHERE regexp_matches(url, '//m[.].*[.]html$')
+  UNION ALL SELECT 'allow', 'add', host, day FROM named WHERE regexp_matches(url, '//blog[.].*/$')
+  UNION ALL SELECT 'block', 'add', array_to_string(labels[-2:], '.'), day FROM named WHERE regexp_matches(url, '//blog[.].*[.]html$')
+), daily AS (SELECT list, key, day, max(action) AS action FROM reports GROUP BY ALL),
+intervals AS (SELECT *, lead(day) OVER (PARTITION BY list, key ORDER BY day) AS until FROM daily),
+keyed AS (
+  SELECT row, day, unnest(keys) AS key, generate_subscripts(keys, 1) AS rank
+  FROM (SELECT row, day, list_concat(list_transform(range(len(segs), 0, -1), lambda n: host || '/' || array_to_string(segs[1:n], '/')),
+                                     list_transform(range(1, greatest(len(labels) - 1, 1) + 1), lambda i: array_to_string(labels[i:], '.'))) AS keys
+        FROM named WHERE host <> '')
+), best AS (
+  SELECT row, k.key, i.list, i.day AS since
+  FROM keyed k JOIN intervals i ON i.key = k.key AND i.action = 'add' AND k.day >= i.day AND (i.until IS NULL OR k.day < i.until)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY rank, i.list DESC) = 1
+)
+SELECT page_id, url, CAST(c.day AS VARCHAR) AS fetched_on, coalesce(list, 'none') AS verdict, key AS rule_key, CAST(since AS VARCHAR) AS rule_since
+FROM captures c LEFT JOIN best USING (row)
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op1_spaced_seeds": spaced_seeds(), "op3_license_scan": license_scan()}
+    return {"op1_spaced_seeds": spaced_seeds(), "op2_url_lists": URL_LISTS, "op3_license_scan": license_scan()}
