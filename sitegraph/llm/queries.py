@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm import bpe, language, license_scan, personal_data, sharding, spaced_seeds, url_lists, weighted_dedup
+from sitegraph.llm import bpe, language, license_scan, personal_data, separator_scan, sharding, spaced_seeds, url_lists, weighted_dedup
+from sitegraph.session import write_stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +79,15 @@ def op5_weighted_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_dedup.near_duplicate_classes(docs).select("doc_id", "class_id", "kept")
 
 
+def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents from flat token files that were written of them, without an index."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        ranks = file.read()
+    docs = table(spark, sf_dir, "documents")
+    files = write_stage(separator_scan.token_files(docs, ranks, public_tokenizers.PATTERN, separator=50256), "token-files")
+    return separator_scan.document_lengths(files, separator=50256)
+
+
 def op8_skip_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document; the counts and the digest are those of the base spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -118,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_byte_network": op4_byte_network,
     "op5_weighted_near_dedup": op5_weighted_near_dedup,
+    "op6_separator_scan": op6_separator_scan,
     "op8_skip_chain_field": op8_skip_chain_field,
     "op9_vector_packing": op9_vector_packing,
     "op10_streaming_bpe": op10_streaming_bpe,
