@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm import bpe, language, license_scan, personal_data, separator_scan, sharding, spaced_seeds, url_lists, weighted_dedup
+from sitegraph.llm import bpe, language, license_scan, nn_descent, personal_data, separator_scan, sharding, spaced_seeds, url_lists, weighted_dedup
 from sitegraph.session import write_stage
 
 
@@ -88,6 +88,11 @@ def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.document_lengths(files, separator=50256)
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with equal labels."""
+    return nn_descent.embedding_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op8_skip_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document; the counts and the digest are those of the base spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -129,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_network": op4_byte_network,
     "op5_weighted_near_dedup": op5_weighted_near_dedup,
     "op6_separator_scan": op6_separator_scan,
+    "op7_nn_descent": op7_nn_descent,
     "op8_skip_chain_field": op8_skip_chain_field,
     "op9_vector_packing": op9_vector_packing,
     "op10_streaming_bpe": op10_streaming_bpe,
