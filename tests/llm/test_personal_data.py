@@ -1,0 +1,101 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sitegraph.llm import personal_data as pd_
+
+CARD, CARD_CUT = "4465758382889437", "4465/7583/8288/9437"
+
+
+def plain_spans(text):
+    """The patterns as they are written, with the tests for each match."""
+    found = [("email", m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    ips = re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+    found += [("ip", m.span()) for m in ips if max(map(int, m.group().split("."))) <= 255]
+    for kind, pattern in (("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m.group() if c.isdigit()]
+            checksum = sum(d if i % 2 == 0 else (2 * d if 2 * d < 10 else 2 * d - 9) for i, d in enumerate(reversed(digits)))
+            if (kind == "card" and 16 <= len(digits) <= 19 and checksum % 10 == 0) or (kind == "phone" and 8 <= len(digits) <= 15):
+                found.append((kind, m.span()))
+    return [(pd_.LABELS.index(kind), *span) for kind, span in found]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="aB1234567890@.+-() \n%é", max_size=60))
+def test_base_spans(text):
+    assert pd_.base_spans(text) == plain_spans(text)
+
+
+def test_base_spans_of_dense_texts():
+    draw = random.Random(3)
+    parts = ["1.2.3.4", "256.1.1.1", "0.0.0.0.0", CARD, "4465 7583 8288 9437", "+1 (743) 555-3824", "a@b.c", "a@b", "x.y@z.w.v", "+", "@", ".", " ", "-", "12", "١٢"]
+    for _ in range(2000):
+        text = "".join(draw.choices(parts, k=draw.randint(1, 12)))
+        assert pd_.base_spans(text) == plain_spans(text)
+
+
+@pytest.fixture(scope="module")
+def field():
+    draw = random.Random(11)
+    rows = []
+    for _ in range(300):
+        kind = draw.choice([f"+1 ({draw.randint(200, 999)}) 555-{draw.randint(1000, 9999)}", f"{draw.randint(1, 255)}.0.0.7", f"n.{draw.randint(1, 99)}@mail.org", CARD])
+        rows += pd_.training_rows(f"words {kind} more words {draw.randint(0, 99999)} and {draw.randint(0, 9)}.5 but {kind} again, in 2024")
+    return pd_.train(rows)
+
+
+def run(field, text):
+    spans = pd_.base_spans(text)
+    nodes = pd_.nodes_of(text, spans)
+    return [(pd_.LABELS[k], text[a:b]) for k, a, b in pd_.added_spans(text, nodes, field.marginals([nodes]))]
+
+
+def test_labels_are_consistent_across_a_document(field):
+    filler = "plain words " * 500
+    assert run(field, f"card {CARD} {filler} or {CARD_CUT} once more") == [("card", CARD_CUT)]
+    assert run(field, f"no card at all {filler}, only {CARD_CUT[:9]} once and 2024 or 17.5") == []
+
+
+def test_skip_edges_carry_labels():
+    field = pd_.Field(np.zeros((pd_.FEATURES, 5)), np.zeros((5, 5)), 4 * np.eye(5))
+    texts = ["x 1234567 y", "tell +12345678 z 12345678 q 555"]
+    graphs = [pd_.nodes_of(t, pd_.base_spans(t)) for t in texts]
+    marginals = field.marginals(graphs)
+    assert marginals.shape == (4, 5) and np.allclose(marginals[0], 0.2) and np.allclose(marginals[3], 0.2)
+    assert marginals[2].argmax() == pd_.LABELS.index("phone") and marginals[2].max() > 0.9
+
+
+def test_marginals_of_trees_are_exact():
+    draw = np.random.default_rng(2)
+    field = pd_.Field(draw.normal(size=(pd_.FEATURES, 5)), draw.normal(size=(5, 5)), draw.normal(size=(5, 5)))
+    nodes = pd_.Nodes([(0, 1)] * 3, [[0], [1], [2]], [-1, -1, -1], [(0, 1)], [(1, 2)])
+    joint = np.exp(field.single[0][:, None, None] + field.single[1][None, :, None] + field.single[2][None, None, :]
+                   + field.chain[:, :, None] + field.skip[None, :, :])
+    want = [joint.sum(axis=tuple(k for k in range(3) if k != i)) / joint.sum() for i in range(3)]
+    assert np.allclose(field.marginals([nodes]), want, atol=1e-2)
+
+
+def test_documents(spark):
+    rows = [(1, f"mail a.b@x.org or {CARD}, not {CARD_CUT}", "k"), (1, f"mail a.b@x.org or {CARD}, not {CARD_CUT}", "k"), (2, None, None), (3, "", "e"),
+            (None, "call +1 (743) 555-3824", "p"), (4, "clean text 12", "c"), (5, "x" * 2_000_000 + "@" + "1." * 200_000, "long")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, pii string")
+    found = pd_.find_personal_data(frame, pd_.fit(frame), mask=True)
+    assert found.columns == ["doc_id", "text", "pii"]
+    got = found.collect()
+    assert [r.text for r in got if r.doc_id in (2, 3, 4)] == [None, "", "clean text 12"]
+    assert [r.text for r in got if r.doc_id is None] == ["call [phone]"]
+    assert {r.text.split(",")[0] for r in got if r.doc_id == 1} == {"mail [email] or [card]"}
+    assert {sum(s.base for s in r.pii) for r in got if r.doc_id == 1} == {2}
+    empty = frame.where(F.lit(False))
+    assert pd_.find_personal_data(empty, pd_.fit(empty)).count() == 0
+
+
+def test_masks_of_overlapping_spans():
+    assert pd_.masked("ab 1234 cd", [(3, 3, 6), (4, 5, 7)]) == "ab [card] cd"
+    assert pd_.masked("none", []) == "none"
