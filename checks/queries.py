@@ -15,10 +15,6 @@ from sitegraph.sources import store
 from sitegraph.streaming import pages as streaming
 
 
-# Far beyond any site in the tables: the crawl ends when nothing new is found.
-UNLIMITED_DEPTH, UNLIMITED_PAGES = 12, 10**12
-
-
 def load_fetches(spark: SparkSession, sf: str) -> DataFrame:
     return cap.load_fetches(fx.captures(spark, sf)).select(
         "page_id", "url", "status_code", "content_type", "error", "has_links", "fetched_at",
@@ -34,12 +30,8 @@ def failed_fetches(spark, sf):
 
 
 def lookup_pages(spark, sf):
-    known, missing = chunks.lookup_pages(
-        fx.edges(spark, sf).select(F.col("dst").alias("url")), fx.page_index(spark, sf)
-    )
-    return known.withColumn("found", F.lit(True)).unionByName(
-        missing.select("url", F.lit(-1).cast("long").alias("page_id"), F.lit(False).alias("found"))
-    )
+    found = chunks.lookup_pages(fx.edges(spark, sf).select(F.col("dst").alias("url")), fx.page_index(spark, sf))
+    return found.withColumn("page_id", F.coalesce("page_id", F.lit(-1)))
 
 
 def replace_chunks(spark, sf):
@@ -92,7 +84,7 @@ def crawl_bfs_limited(spark, sf):
 
 def crawl_bfs_whole(spark, sf):
     """Everything that can be reached."""
-    return crawl.crawl_bfs(fx.seeds(spark, sf), fx.edges(spark, sf), UNLIMITED_DEPTH, UNLIMITED_PAGES)
+    return crawl.crawl_bfs(fx.seeds(spark, sf), fx.edges(spark, sf), max_depth=None, max_pages=None)
 
 
 def crawl_frontier(spark, sf):
@@ -182,7 +174,7 @@ def detect_changes(spark, sf):
     )
 
 
-STORE_VIEW = ["url", "title", "checksum", "metadata_checksum", "markdown_changed", "last_seen", "embedded_at"]
+STORE_VIEW = ["page_id", "url", "title", "clean_text", "markdown", "checksum", "metadata_checksum", "markdown_changed", "last_seen", "embedded_at"]
 
 
 def upsert_pages(spark, sf):
@@ -190,8 +182,9 @@ def upsert_pages(spark, sf):
 
 
 def crawl_report(spark, sf):
-    second = cap.load_fetches(fx.shop_captures(spark, sf)).filter(~fx.is_first_crawl())
-    return changes.crawl_report(second, detect_changes(spark, sf))
+    """The second crawl reaches all URLs of the feed; some were not captured by it, some several times."""
+    fetches = cap.load_fetches(fx.shop_captures(spark, sf))
+    return changes.crawl_report(fetches.select("url"), fetches.filter(~fx.is_first_crawl()), detect_changes(spark, sf))
 
 
 def embedding_targets(spark, sf):
@@ -279,7 +272,7 @@ def crawl_run(spark, sf):
     """Crawl, store and embed everything reachable, without limits in effect; rows per stage."""
     run = crawl_site(
         fx.captures(spark, sf), fx.seeds(spark, sf), fx.empty_store(spark), fx.empty_chunks(spark),
-        max_depth=UNLIMITED_DEPTH, max_pages=UNLIMITED_PAGES, now=F.col("markdown_changed"),
+        max_depth=None, max_pages=None, now=F.col("markdown_changed"),
     )
     return run.stage_counts()
 

@@ -221,6 +221,16 @@ edges AS ({edge_rows(f'''
 seeds AS (SELECT {canonical('u')} AS seed FROM (SELECT arg_min(url, page_id) AS u FROM captures GROUP BY {host('url')}))"""
 
 
+# The whole walk: a URL that was reached from a seed is not reached again, so the walk ends by itself.
+WHOLE_WALK = f"""{EDGES},
+walk(seed, url, depth) USING KEY (seed, url) AS (
+  SELECT DISTINCT seed, seed, 0 FROM seeds
+  UNION
+  SELECT DISTINCT w.seed, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.url
+    ANTI JOIN recurring.walk r ON r.seed = w.seed AND r.url = e.dst),
+reached AS (SELECT seed, url, CAST(depth AS INTEGER) AS depth FROM walk)"""
+
+
 def bfs(max_depth: int = rules.MAX_DEPTH, max_pages: int = rules.MAX_PAGES) -> str:
     return f"""{EDGES},
 walk(seed, url, depth) AS (
@@ -271,7 +281,7 @@ def stored(name: str, condition: str = "true") -> str:
     """The store after the captures that meet a condition."""
     order = "ORDER BY ts, checksum, metadata_checksum"
     return f"""{name} AS (
-  SELECT url, last(title {order}) AS title, last(clean_text {order}) AS clean_text, last(checksum {order}) AS checksum,
+  SELECT url, first(event_id {order}, event_id) AS page_id, last(body {order}) AS markdown, last(title {order}) AS title, last(clean_text {order}) AS clean_text, last(checksum {order}) AS checksum,
     last(metadata_checksum {order}) AS metadata_checksum,
     max(CASE WHEN prev IS DISTINCT FROM checksum THEN ts END) AS markdown_changed, max(ts) AS last_seen
   FROM (SELECT *, lag(checksum) OVER (PARTITION BY url {order}) AS prev FROM shop WHERE {condition}) GROUP BY url)"""
@@ -326,7 +336,7 @@ exact AS ({top_k('SELECT * FROM pairs')})"""
 EMBEDDED_STORE = f"""{STORES},
 embedded AS (SELECT *, embedded_at IS NULL OR markdown_changed > embedded_at AS due FROM second_store)"""
 
-STORE_VIEW = "url, title, checksum, metadata_checksum, markdown_changed, last_seen, embedded_at"
+STORE_VIEW = "page_id, url, title, clean_text, markdown, checksum, metadata_checksum, markdown_changed, last_seen, embedded_at"
 
 
 def oracle() -> dict[str, str]:
@@ -355,7 +365,7 @@ def oracle() -> dict[str, str]:
         "page_edges": f"WITH {EDGES} SELECT src, dst FROM edges",
         "crawl_bfs": f"{with_recursive}{bfs()} SELECT * FROM reached",
         "crawl_bfs_limited": f"{with_recursive}{bfs(max_pages=100)} SELECT * FROM reached",
-        "crawl_bfs_whole": f"{with_recursive}{bfs(12, 10**12)} SELECT * FROM reached",
+        "crawl_bfs_whole": f"{with_recursive}{WHOLE_WALK} SELECT * FROM reached",
         "crawl_frontier": f"{with_recursive}{bfs(max_depth=2)} SELECT * FROM reached WHERE depth = 2",
         "crawl_progress": f"""{with_recursive}{bfs()}, good AS (SELECT DISTINCT {canonical('url')} AS url FROM fetches WHERE error IS NULL),
             counts AS (SELECT depth, count(*) AS reached, count(g.url) AS fetched, count(*) - count(g.url) AS failed
@@ -385,9 +395,10 @@ def oracle() -> dict[str, str]:
         "pages_per_type": "SELECT CASE WHEN event_type = 'click' THEN 'product' ELSE 'other' END AS page_type, count(*) AS pages FROM events GROUP BY ALL",
         "detect_changes": f"WITH {CHANGES} SELECT * FROM changes",
         "upsert_pages": f"WITH {STORES} SELECT {STORE_VIEW} FROM second_store",
-        "crawl_report": f"""WITH {CHANGES}, o AS (SELECT CASE WHEN event_type = 'error' THEN 'fail: fetch' WHEN content_changed IS NULL THEN 'fail: store'
+        "crawl_report": f"""WITH {CHANGES}, o AS (SELECT CASE WHEN NOT coalesce(good, false) THEN 'fail: fetch' WHEN content_changed IS NULL THEN 'fail: store'
               WHEN content_changed OR metadata_changed THEN 'pass' ELSE 'pass: no changes' END AS outcome
-              FROM shop_fetches LEFT JOIN (SELECT * FROM changes WHERE status <> 'not seen') USING (url) WHERE ts >= {CUTOFF})
+              FROM (SELECT url, bool_or(event_type <> 'error' AND ts >= {CUTOFF}) AS good FROM shop_fetches GROUP BY url)
+              LEFT JOIN (SELECT * FROM changes WHERE status <> 'not seen') USING (url))
             SELECT outcome, count(*) AS pages, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM o GROUP BY outcome""",
         "embedding_targets": f"WITH {EMBEDDED_STORE} SELECT url, clean_text, markdown_changed, embedded_at FROM embedded WHERE due",
         "chunk_pages": f"WITH {doc_chunks} SELECT * FROM chunks",
@@ -416,7 +427,7 @@ def oracle() -> dict[str, str]:
         "format_hits": f"""WITH {BATCH_HITS} SELECT query_id, rank, url, CASE WHEN split_part(url, '/', -1) <> '' THEN split_part(url, '/', -1) ELSE url END AS title,
             substring(clean_text, 1, {rules.SNIPPET_CHARS}) AS snippet, round(score, 3) AS score, count(*) OVER (PARTITION BY query_id) AS total
             FROM hits JOIN doc_pages USING (page_id)""",
-        "crawl_run": f"""{with_recursive}{bfs(12, 10**12)},
+        "crawl_run": f"""{with_recursive}{WHOLE_WALK},
             crawled AS (SELECT * REPLACE ({canonical('url')} AS url) FROM fetches WHERE {canonical('url')} IN (SELECT url FROM reached)),
             {TITLED.replace('FROM fetches', 'FROM crawled')}, {PAGE_DOCUMENTS},
             latest AS (SELECT * FROM page_documents QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC) = 1),
@@ -428,7 +439,7 @@ def oracle() -> dict[str, str]:
         "embed_run": f"""WITH {EMBEDDED_STORE}, texts AS (SELECT url, CASE WHEN due THEN markdown_changed ELSE embedded_at END AS embedded_at,
               CASE WHEN due THEN clean_text ELSE first_text END AS t FROM embedded)
             SELECT url, embedded_at, {micros('vec')} AS vec FROM ({hash_vectors('texts', 'url, embedded_at', 't')})""",
-        "stream_pages": f"""WITH {SHOP}, {stored('s')} SELECT url, title, checksum, metadata_checksum, markdown_changed, last_seen,
+        "stream_pages": f"""WITH {SHOP}, {stored('s')} SELECT page_id, url, title, clean_text, markdown, checksum, metadata_checksum, markdown_changed, last_seen,
             CAST(NULL AS TIMESTAMP) AS embedded_at FROM s""",
         "stream_embeddings": f"""WITH {SHOP}, {stored('s')}, c AS ({chunk_rows('s', rules.CHUNK_TOKENS)})
             SELECT page_url, chunk_index, text, {micros('vec')} AS vec FROM ({hash_vectors('c', 'page_url, chunk_index, text', 'text')})""",

@@ -9,7 +9,7 @@ from sitegraph.session import join_side
 
 # Columns of the page store, in order.
 PAGE_STORE = (
-    "page_id long, url string, title string, clean_text string, raw_html string, metadata string, "
+    "page_id long, url string, title string, clean_text string, raw_html string, markdown string, metadata string, "
     "page_type string, checksum string, metadata_checksum string, markdown_changed timestamp, "
     "last_seen timestamp, page_vector array<float>, embedded_at timestamp"
 )
@@ -19,8 +19,13 @@ STORE_COLUMNS = [part.split()[0] for part in PAGE_STORE.split(", ")]
 SPAN_SECONDS = 60
 
 
+def dated_documents(documents: DataFrame) -> DataFrame:
+    """Documents with a URL; one without a time counts as older than all others."""
+    return documents.where(F.col("url").isNotNull()).withColumn("fetched_at", F.coalesce("fetched_at", F.timestamp_seconds(F.lit(0))))
+
+
 def latest_captures(documents: DataFrame) -> DataFrame:
-    """The newest capture of every URL.
+    """The newest capture of every URL, for rows without page bodies.
 
     The rank filter becomes a group limit before the shuffle, so a URL with very many captures
     sends one row per task.
@@ -102,17 +107,34 @@ def upsert_pages(store: DataFrame, documents: DataFrame) -> DataFrame:
 def upsert_parts(store: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The two parts of an upsert: stored rows that stay as they are, and rows added or replaced.
 
-    Only the second part is new data; a caller that keeps intermediate results stores that one.
+    Only the second part is new data; a caller that keeps intermediate results stores that one. ``documents`` is
+    read three times, twice for narrow columns only: pass a stored table. A stored row without a time is
+    replaced by any capture.
     """
+    documents = dated_documents(documents)
     newest = join_side(_newest_captures(documents))
-    untouched = store.join(newest, "url", "left").filter(
-        F.col("newest").isNull() | (F.col("newest") <= F.col("last_seen"))
-    )
+    batch = newest.select("url", "newest.fetched_at")
+    stays = F.col("fetched_at").isNull() | F.coalesce(F.col("fetched_at") <= F.col("last_seen"), F.lit(False))
+    untouched = store.join(batch, "url", "left").filter(stays)
     return untouched.select(*STORE_COLUMNS), _refresh_rows(store, documents, newest)
 
 
 def _newest_captures(documents: DataFrame) -> DataFrame:
-    return documents.groupBy("url").agg(F.max("fetched_at").alias("newest"))
+    """(url, newest, first_id): what tells the newest capture of a URL from the others, and the id of its first one.
+
+    Only narrow columns are shuffled, combined per task. ``newest.n`` counts captures that cannot be told apart.
+    """
+    key = ["fetched_at", "checksum", "metadata_checksum"]
+    alike = documents.groupBy("url", *key).agg(F.count("*").alias("n"), F.min("page_id").alias("page_id"))
+    return alike.groupBy("url").agg(F.max(F.struct(*key, "n")).alias("newest"), F.min(F.struct(*key, "page_id"))["page_id"].alias("first_id"))
+
+
+def _newest_documents(documents: DataFrame, newest: DataFrame) -> DataFrame:
+    """The newest document of every URL. Older page bodies are filtered out before any shuffle of bodies."""
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"n.newest.{c}")) for c in ("fetched_at", "checksum", "metadata_checksum")]
+    found = documents.alias("d").join(newest.alias("n"), [F.col("d.url") == F.col("n.url"), *same])
+    one, several = (found.filter(f"n.newest.n {test} 1").select("d.*", "n.first_id") for test in ("=", ">"))
+    return one.unionByName(several.dropDuplicates(["url"]))
 
 
 def _refresh_rows(store: DataFrame, documents: DataFrame, newest: DataFrame) -> DataFrame:
@@ -120,6 +142,7 @@ def _refresh_rows(store: DataFrame, documents: DataFrame, newest: DataFrame) ->
     prior = join_side(
         store.select(
             "url",
+            F.col("page_id").alias("prior_id"),
             F.col("checksum").alias("prior_checksum"),
             F.col("markdown_changed").alias("prior_changed"),
             F.col("last_seen").alias("prior_seen"),
@@ -129,43 +152,47 @@ def _refresh_rows(store: DataFrame, documents: DataFrame, newest: DataFrame) ->
     )
     is_newer = F.col("prior_seen").isNull() | (F.col("fetched_at") > F.col("prior_seen"))
 
-    # Two passes over the batch: the change times need every capture but narrow columns only; the
-    # page bodies are cut to one per URL before they meet the store.
+    # The change times need every capture but narrow columns only; page bodies are read for the newest captures.
     narrow = documents.select("url", "fetched_at", "checksum", "metadata_checksum")
     state = prior.select("url", "prior_checksum", "prior_seen")
     changes = _last_change(narrow.join(state, "url", "left").filter(is_newer))
     return (
-        latest_captures(documents)
+        _newest_documents(documents, newest)
         .join(prior, "url", "left")
         .filter(is_newer)
         .join(changes, "url", "left")
+        # A page keeps the id it was first stored with.
+        .withColumn("page_id", F.coalesce("prior_id", "first_id"))
         .withColumn("markdown_changed", F.coalesce("changed_at", "prior_changed"))
         .withColumn("last_seen", F.col("fetched_at"))
         .select(*STORE_COLUMNS)
     )
 
 
-def crawl_outcomes(fetches: DataFrame, changes: DataFrame) -> DataFrame:
-    """Outcome of every fetch: failed fetch, not stored, pass, or pass without changes.
+def crawl_outcomes(reached: DataFrame, fetches: DataFrame, changes: DataFrame) -> DataFrame:
+    """Outcome of every reached URL: failed fetch, not stored, pass, or pass without changes.
 
-    ``changes`` holds one row per stored URL; the fetch side may hold many per URL.
+    A URL was fetched if any capture of it is good, as in the progress of a crawl; one that was never captured
+    is a failed fetch. ``changes`` holds one row per URL.
     """
+    good = fetches.groupBy("url").agg(F.max(F.col("error").isNull()).alias("good"))
     stored = changes.filter(F.col("status") != "not seen").select("url", "content_changed", "metadata_changed")
-    return fetches.select("url", "error").join(stored, "url", "left").select("url", _outcome().alias("outcome"))
+    urls = reached.select("url").distinct()
+    return urls.join(good, "url", "left").join(stored, "url", "left").select("url", _outcome().alias("outcome"))
 
 
 def _outcome() -> Column:
     return (
-        F.when(F.col("error").isNotNull(), "fail: fetch")
+        F.when(~F.coalesce("good", F.lit(False)), "fail: fetch")
         .when(F.col("content_changed").isNull(), "fail: store")
         .when(F.col("content_changed") | F.col("metadata_changed"), "pass")
         .otherwise("pass: no changes")
     )
 
 
-def crawl_report(fetches: DataFrame, changes: DataFrame) -> DataFrame:
-    """Pages per outcome, with the total of all pages."""
-    counts = crawl_outcomes(fetches, changes).groupBy("outcome").agg(F.count("*").alias("pages"))
+def crawl_report(reached: DataFrame, fetches: DataFrame, changes: DataFrame) -> DataFrame:
+    """Reached URLs per outcome, with the total of all of them."""
+    counts = crawl_outcomes(reached, fetches, changes).groupBy("outcome").agg(F.count("*").alias("pages"))
     # At most four rows reach the window.
     return counts.withColumn("total", F.sum("pages").over(Window.partitionBy()))
 

@@ -91,22 +91,26 @@ def replace_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def attach_page_vectors(pages: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Sets ``page_vector`` and ``embedded_at`` on the pages that have a row in ``vectors``."""
-    fresh = vectors.select("url", F.col("page_vector").alias("vector_"), F.col("embedded_at").alias("at_"))
+    """Sets ``page_vector`` and ``embedded_at`` on the pages that have a row in ``vectors``, the newest one per URL.
+
+    Pages stay one row each. The vectors are one narrow row per URL, so page bodies are shuffled only
+    where there are too many of them to broadcast.
+    """
+    newest = vectors.groupBy("url").agg(F.max(F.struct("embedded_at", "page_vector")).alias("new_"))
     return (
-        pages.join(fresh, "url", "left")
-        .withColumn("page_vector", F.coalesce("vector_", "page_vector"))
-        .withColumn("embedded_at", F.coalesce("at_", "embedded_at"))
-        .drop("vector_", "at_")
+        pages.join(join_side(newest), "url", "left")
+        .withColumn("page_vector", F.coalesce("new_.page_vector", "page_vector"))
+        .withColumn("embedded_at", F.coalesce("new_.embedded_at", "embedded_at"))
+        .drop("new_")
     )
 
 
-def lookup_pages(targets: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Targets whose exact URL is stored, with the page id, and the targets that are missing.
+def lookup_pages(targets: DataFrame, pages: DataFrame) -> DataFrame:
+    """(url, page_id, found) of every distinct target; the id is null where the exact URL is not stored.
 
     The store has one row per URL; a URL that is asked for very often sits on the side that AQE may
     split.
     """
-    known = pages.select("url", "page_id")
+    known = pages.select("url", "page_id", F.lit(True).alias("found"))
     wanted = targets.select("url").distinct()
-    return wanted.join(known, "url"), wanted.join(known, "url", "left_anti")
+    return wanted.join(known, "url", "left").withColumn("found", F.coalesce("found", F.lit(False)))

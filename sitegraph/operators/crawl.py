@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +12,8 @@ from sitegraph.functions import urls
 from sitegraph.session import cut_lineage, join_side, sized_side
 
 STATE = ["seed", "url", "depth"]
+# So many levels are united before what was seen becomes one checkpoint, so that deep walks keep small plans.
+LEVELS_IN_PLAN = 20
 
 
 def crawl_frontier(state: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
@@ -34,37 +36,39 @@ def _step(level: DataFrame, edges: DataFrame, seen: DataFrame, depth: int) -> Da
 def crawl_bfs(
     seeds: DataFrame,
     edges: DataFrame,
-    max_depth: int = rules.MAX_DEPTH,
-    max_pages: int = rules.MAX_PAGES,
+    max_depth: int | None = rules.MAX_DEPTH,
+    max_pages: int | None = rules.MAX_PAGES,
     strict: bool = False,
 ) -> DataFrame:
     """All URLs reached from each seed with their least depth.
 
     The page limit holds per seed and is tested before a level, so the last level may exceed it;
-    ``strict`` cuts that level in URL order. At most ``max_depth`` rounds, each checkpointed.
+    ``strict`` cuts that level in URL order. ``None`` is no limit: the walk ends when nothing new is
+    found. Each level is checkpointed.
     ``edges`` is read once per round: pass a stored table, not a plan that parses pages.
     """
     start = seeds.select(urls.canonical_url(F.col("url")).alias("url")).distinct()
-    levels = [cut_lineage(start.select(F.col("url").alias("seed"), "url", F.lit(0).alias("depth")))]
-    if max_pages < 1:
-        return levels[0].limit(0)
-    total = levels[0].count()
-
-    for depth in range(1, max_depth + 1):
-        seen = reduce(DataFrame.unionByName, levels)
-        level = levels[-1]
-        if total >= max_pages:  # else no seed can be full yet
+    level = seen = cut_lineage(start.select(F.col("url").alias("seed"), "url", F.lit(0).alias("depth")))
+    if max_pages is not None and max_pages < 1:
+        return seen.limit(0)
+    total = seen.count()
+
+    for depth in count(1):
+        if max_depth is not None and depth > max_depth:
+            break
+        if max_pages is not None and total >= max_pages:  # else no seed can be full yet
             full = seen.groupBy("seed").count().filter(F.col("count") >= max_pages).select("seed")
             level = level.join(join_side(full), "seed", "left_anti")
         level = sized_side(level.select("seed", F.col("url").alias("src")))
-        found = cut_lineage(_step(level, edges, seen, depth))
-        new = found.count()
+        level = cut_lineage(_step(level, edges, seen, depth))
+        new = level.count()
         if new == 0:
             break
-        levels.append(found)
+        seen = seen.unionByName(level)
+        if depth % LEVELS_IN_PLAN == 0:
+            seen = cut_lineage(seen)
         total += new
-    reached = reduce(DataFrame.unionByName, levels)
-    return _cut_at_limit(reached, max_pages) if strict else reached
+    return _cut_at_limit(seen, max_pages) if strict and max_pages is not None else seen
 
 
 def _cut_at_limit(reached: DataFrame, max_pages: int) -> DataFrame:

@@ -92,6 +92,7 @@ def page_documents(fetches: DataFrame, extract: Extractor = html.main_text) -> D
             "title",
             "clean_text",
             F.col("content").alias("raw_html"),
+            "markdown",
             metadata.alias("metadata"),
             page_type.alias("page_type"),
             F.sha2("clean_text", 256).alias("checksum"),

@@ -47,8 +47,8 @@ def crawl_site(
     seeds: DataFrame,
     store: DataFrame,
     chunks: DataFrame,
-    max_depth: int = rules.MAX_DEPTH,
-    max_pages: int = rules.MAX_PAGES,
+    max_depth: int | None = rules.MAX_DEPTH,
+    max_pages: int | None = rules.MAX_PAGES,
     now: Column | None = None,
     encoder: Encoder | None = None,
     extract: page_ops.Extractor = html.main_text,
@@ -64,7 +64,10 @@ def crawl_site(
     outcomes = write_stage(crawled.select("url", "error"), "fetches")
     documents = write_stage(page_ops.page_documents(crawled, extract), "documents")
     checksums = documents.select("url", "checksum", "metadata_checksum", "fetched_at")
-    report = changes.crawl_report(outcomes, changes.detect_changes(store, changes.latest_captures(checksums)))
+    # Stored pages that were not reached have no part in the report.
+    before = store.select("url", "checksum", "metadata_checksum").join(visited, "url", "left_semi")
+    status = changes.detect_changes(before, changes.latest_captures(checksums))
+    report = changes.crawl_report(reached, outcomes, status)
     untouched, refreshed = changes.upsert_parts(store, documents)
     pages = untouched.unionByName(write_stage(refreshed, "refreshed"))
     return Crawled(edges, reached, outcomes, report, embed_due_pages(pages, chunks, now, encoder))

@@ -72,17 +72,6 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spreads a scan that arrives in fewer partitions than there are cores (one small file).
-
-    Scans with enough files or row groups are returned as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
 def join_side(df: DataFrame) -> DataFrame:
     """Prepares the smaller side of a join on its key: stores it once, then as ``sized_side``."""
     return sized_side(write_stage(df, "join-side"))

@@ -4,19 +4,19 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql.types import StructType
 
-from sitegraph.operators import changes
+from sitegraph.operators import changes, crawl
 from sitegraph.sources import store as page_store
 from sitegraph.streaming import pages as streaming
 
 START = datetime(2024, 1, 1)
 DOCUMENT = (
     "page_id long, url string, title string, clean_text string, raw_html string, metadata string, page_type string, "
-    "checksum string, metadata_checksum string, fetched_at timestamp"
+    "checksum string, metadata_checksum string, fetched_at timestamp, markdown string"
 )
 
 
 def capture(url, minute, text, meta="m"):
-    return (1, url, "t", text, "<p>", "{}", "other", f"c-{text}", f"m-{meta}", START + timedelta(minutes=minute))
+    return (1, url, "t", text, "<p>", "{}", "other", f"c-{text}", f"m-{meta}", START + timedelta(minutes=minute), text)
 
 
 def documents(spark, rows):
@@ -95,10 +95,35 @@ def test_detect_changes(spark):
         "new": ("new", True, True),
     }
     fetches = spark.createDataFrame(
-        [("same", None), ("text", None), ("text", "timeout"), ("lost", None), ("gone", None)], "url string, error string"
+        [("same", None), ("text", None), ("text", "timeout"), ("lost", None), ("gone", None), ("bad", "timeout")], "url string, error string"
     )
-    report = {r.outcome: (r.pages, r.total) for r in changes.crawl_report(fetches, changes.detect_changes(old, new)).collect()}
-    assert report == {"pass: no changes": (1, 5), "pass": (1, 5), "fail: fetch": (1, 5), "fail: store": (2, 5)}
+    reached = spark.createDataFrame([(u,) for u in ("same", "text", "lost", "gone", "bad", "never captured", "same")], "url string")
+    report = {r.outcome: (r.pages, r.total) for r in changes.crawl_report(reached, fetches, changes.detect_changes(old, new)).collect()}
+    assert report == {"pass: no changes": (1, 6), "pass": (1, 6), "fail: fetch": (2, 6), "fail: store": (2, 6)}
+    state = reached.distinct().selectExpr("'s' AS seed", "url", "1 AS depth")
+    progress = crawl.crawl_progress(state, fetches).first()
+    assert (progress.reached, progress.failed) == (6, 2)
+
+
+def test_rows_without_time_or_url(spark):
+    rows = [(7, "u", *capture("u", 0, "A")[2:9], None, "A"), (8, None, *capture("u", 0, "A")[2:9], None, "A"), (9, None, *capture("u", 0, "A")[2:], )]
+    once = changes.upsert_pages(empty(spark), documents(spark, rows)).cache()
+    twice = changes.upsert_pages(once, documents(spark, rows)).cache()
+    assert [r.url for r in once.collect()] == ["u"] == [r.url for r in twice.collect()]
+    later = changes.upsert_pages(twice, documents(spark, [capture("u", 5, "B")])).collect()
+    assert [(r.url, r.page_id, r.checksum, r.markdown) for r in later] == [("u", 7, "c-B", "B")]
+
+
+def test_page_id_is_that_of_the_first_capture(spark):
+    rows = [(10 + i, *capture("u", minute, text)[1:]) for i, (minute, text) in enumerate([(5, "B"), (1, "A"), (9, "C"), (9, "C")])]
+    got = changes.upsert_pages(empty(spark), documents(spark, rows)).collect()
+    assert [(r.page_id, r.clean_text) for r in got] == [(11, "C")]
+    again = changes.upsert_pages(documents_as_store(spark, got), documents(spark, [(77, *capture("u", 20, "D")[1:])])).collect()
+    assert [(r.page_id, r.clean_text) for r in again] == [(11, "D")]
+
+
+def documents_as_store(spark, rows):
+    return spark.createDataFrame(rows, StructType.fromDDL(changes.PAGE_STORE))
 
 
 def test_embedding_targets(spark):

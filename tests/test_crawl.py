@@ -112,3 +112,11 @@ def test_progress(spark):
     fetches = spark.createDataFrame([("a", None), ("b", "boom")], "url string, error string")
     rows = [tuple(r) for r in crawl.crawl_progress(state, fetches).orderBy("depth").collect()]
     assert rows == [(0, 1, 1, 0, 2, 1), (1, 2, 0, 2, 0, 3)]
+
+
+def test_whole_chain_without_limits(spark):
+    steps = [f"https://a.com/{i}" for i in range(30)]
+    edges = spark.createDataFrame([*zip(steps, steps[1:]), (steps[-1], steps[0])], "src string, dst string").repartition(2).cache()
+    seeds = spark.createDataFrame([(steps[0],)], "url string")
+    reached = crawl.crawl_bfs(seeds, edges, max_depth=None, max_pages=None)
+    assert {(r.url, r.depth) for r in reached.collect()} == {(url, i) for i, url in enumerate(steps)}

@@ -1,4 +1,5 @@
 import re
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -156,7 +157,24 @@ def test_chunk_store_and_lookup(spark):
     old = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")], "page_url string, chunk_index int, text string")
     new = spark.createDataFrame([("a", 0, "n"), ("c", 0, "m")], "page_url string, chunk_index int, text string")
     assert {tuple(r) for r in chunks.replace_chunks(old, new).collect()} == {("a", 0, "n"), ("b", 0, "z"), ("c", 0, "m")}
-    known, missing = chunks.lookup_pages(
+    found = chunks.lookup_pages(
         spark.createDataFrame([("a",), ("a",), ("x",)], "url string"), spark.createDataFrame([("a", 1), ("b", 2)], "url string, page_id long")
     )
-    assert known.collect() == [("a", 1)] and missing.collect() == [("x",)]
+    assert sorted(map(tuple, found.collect())) == [("a", 1, True), ("x", None, False)]
+
+
+def test_one_vector_per_page(spark):
+    pages = spark.createDataFrame([("a", [0.0], None), ("b", [1.0], None)], "url string, page_vector array<float>, embedded_at timestamp")
+    day = [datetime(2024, 1, d) for d in (1, 2)]
+    vectors = spark.createDataFrame([("a", [2.0], day[0]), ("a", [3.0], day[1]), ("c", [4.0], day[0])], "url string, page_vector array<float>, embedded_at timestamp")
+    got = {r.url: (r.page_vector, r.embedded_at) for r in chunks.attach_page_vectors(pages, vectors).collect()}
+    assert got == {"a": ([3.0], day[1]), "b": ([1.0], None)}
+
+
+def test_unusable_queries_and_vectors(spark, tmp_path):
+    pages = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "page_id long, page_vector array<double>")
+    for rows in ([(1, None)], [(None, [1.0, 0.0])], [(1, [1.0]), (2, [1.0, 0.0])]):
+        with pytest.raises(ValueError):
+            search.search_batch(spark.createDataFrame(rows, "query_id long, query_vector array<double>"), pages)
+    search.write_index(pages, str(tmp_path / "index"))
+    assert spark.read.parquet(str(tmp_path / "index")).count() == 1
