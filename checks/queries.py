@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from sitegraph.operators import changes, chunks, crawl, links, pages, search
+from sitegraph.plans import search as search_plans
 from sitegraph.plans.crawl import crawl_site
 from sitegraph.plans.embed import embed_due_pages
 from sitegraph.session import scratch_path, write_stage
@@ -224,9 +225,7 @@ def search_pages(spark, sf):
 
 def search_chunks(spark, sf):
     docs = fx.doc_pages(spark, sf)
-    embedded = chunks.embed_chunks(chunks.chunk_pages(docs, max_tokens=100)).join(
-        docs.select("page_id", F.col("url").alias("page_url")), "page_url"
-    )
+    embedded = chunks.embed_chunks(chunks.chunk_pages(docs, max_tokens=100, keep=("page_id",)))
     hits = search.search_chunks(fx.questions(spark, sf), embedded)
     return hits.select("query_id", "rank", "page_id", "chunk_index", F.round("score", 6).alias("score"))
 
@@ -268,6 +267,49 @@ def format_hits(spark, sf):
     return search.format_hits(_batch_hits(spark, sf), fx.doc_pages(spark, sf))
 
 
+def search_text(spark, sf):
+    """Every user turn, as it was written, against the documents."""
+    turns = fx.table(spark, sf, "conversations").filter(F.col("role") == "user")
+    asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return search_plans.search_text(asked, chunks.embed_pages(fx.doc_pages(spark, sf)))
+
+
+def response_captures(spark, sf):
+    """The event log as scrape responses: some failed, some without data, some cut off."""
+    kind = F.col("event_type")
+    data = F.struct(
+        F.concat(F.lit("<p>"), kind, F.lit("</p>")).alias("html"), kind.alias("markdown"), F.array(F.lit("https://a.org/x")).alias("links"),
+        F.create_map(F.lit("title"), F.col("props")).alias("metadata"),
+    )
+    whole = F.to_json(F.struct(
+        (kind != "error").alias("success"), F.when(kind == "error", F.lit("timeout")).alias("error"), F.when(kind != "signup", data).alias("data"),
+    ))
+    text = F.when(kind == "purchase", F.substring(whole, 1, 30)).otherwise(whole)
+    url = F.when(kind != "view", F.concat(F.lit("https://r.org/"), F.col("user_id").cast("string")))
+    responses = fx.table(spark, sf, "events").select("event_id", url.alias("url"), text.alias("response"), F.col("ts").alias("fetched_at"))
+    fetches = cap.load_fetches(cap.captures_of_responses(responses))
+    return fetches.select(
+        "url", "status_code", "error", F.md5("content").alias("content_md5"), "markdown", F.array_join("links", " ").alias("links"),
+        F.coalesce(F.col("metadata")["title"], F.lit("")).alias("title"), "fetched_at",
+    )
+
+
+def crawl_rows(spark, sf):
+    """The pages, vectors and chunks that ``crawl_run`` stores."""
+    run = crawl_site(
+        fx.captures(spark, sf), fx.seeds(spark, sf), fx.empty_store(spark), fx.empty_chunks(spark),
+        max_depth=None, max_pages=None, now=F.col("markdown_changed"),
+    )
+    chunk_rows = run.embedded.chunks.groupBy("page_url").agg(
+        F.count("*").alias("n_chunks"), F.min("page_id").alias("chunk_page_id"), F.max("chunk_index").alias("last_chunk"),
+    )
+    return run.embedded.pages.join(chunk_rows, F.col("url") == F.col("page_url"), "left").select(
+        "page_id", "url", "title", "page_type", "checksum", fx.micros(F.col("page_vector")).alias("vec"),
+        F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("last_chunk", F.lit(-1)).alias("last_chunk"),
+        F.coalesce(F.col("page_id") == F.col("chunk_page_id"), F.lit(True)).alias("same_page"),
+    )
+
+
 def crawl_run(spark, sf):
     """Crawl, store and embed everything reachable, without limits in effect; rows per stage."""
     run = crawl_site(
@@ -313,7 +355,8 @@ QUERIES = {
         html_links, page_edges, crawl_bfs, crawl_bfs_limited, crawl_bfs_whole, crawl_frontier, crawl_progress, page_titles, main_text,
         quality_lines, markdown_to_text, scrub_volatile, page_documents, page_metadata, pages_per_type, detect_changes,
         upsert_pages, crawl_report, embedding_targets, chunk_pages, embed_chunks, embed_pages, mean_page_vectors,
-        unit_vectors, search_pages, search_chunks, search_batch, search_approx, search_recall, format_hits, crawl_run,
+        unit_vectors, search_pages, search_chunks, search_batch, search_approx, search_recall, format_hits, search_text,
+        response_captures, crawl_run, crawl_rows,
         embed_run, stream_pages, stream_embeddings,
     ]
 }

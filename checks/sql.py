@@ -427,6 +427,26 @@ def oracle() -> dict[str, str]:
         "format_hits": f"""WITH {BATCH_HITS} SELECT query_id, rank, url, CASE WHEN split_part(url, '/', -1) <> '' THEN split_part(url, '/', -1) ELSE url END AS title,
             substring(clean_text, 1, {rules.SNIPPET_CHARS}) AS snippet, round(score, 3) AS score, count(*) OVER (PARTITION BY query_id) AS total
             FROM hits JOIN doc_pages USING (page_id)""",
+        "search_text": f"""WITH {BATCH_HITS} SELECT query_id, rank, url, CASE WHEN split_part(url, '/', -1) <> '' THEN split_part(url, '/', -1) ELSE url END AS title,
+            substring(clean_text, 1, {rules.SNIPPET_CHARS}) AS snippet, round(score, 3) AS score, count(*) OVER (PARTITION BY query_id) AS total
+            FROM hits JOIN doc_pages USING (page_id)""",
+        "response_captures": """WITH r AS (SELECT *, CASE WHEN event_type = 'purchase' THEN 'broken response' WHEN event_type = 'error' THEN 'timeout'
+                WHEN event_type = 'signup' THEN 'no data' WHEN event_type = 'view' THEN 'no url' END AS reason,
+                CASE WHEN event_type <> 'view' THEN 'https://r.org/' || user_id END AS url FROM events)
+            SELECT url, CASE WHEN reason IS NULL THEN 200 ELSE 500 END AS status_code, 'scrape failed: ' || reason AS error,
+              md5(CASE WHEN reason IS NULL THEN '<p>' || event_type || '</p>' ELSE '' END) AS content_md5,
+              CASE WHEN reason IS NULL THEN event_type ELSE '' END AS markdown, CASE WHEN reason IS NULL THEN 'https://a.org/x' ELSE '' END AS links,
+              CASE WHEN reason IS NULL THEN props ELSE '' END AS title, ts AS fetched_at FROM r""",
+        "crawl_rows": f"""{with_recursive}{WHOLE_WALK},
+            crawled AS (SELECT * REPLACE ({canonical('url')} AS url) FROM fetches WHERE {canonical('url')} IN (SELECT url FROM reached)),
+            {TITLED.replace('FROM fetches', 'FROM crawled')}, {PAGE_DOCUMENTS},
+            latest AS (SELECT * REPLACE (first_id AS page_id), sha256(clean_text) AS checksum FROM (SELECT *, first(page_id) OVER (PARTITION BY url ORDER BY fetched_at) AS first_id FROM page_documents)
+              QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC) = 1),
+            vectors AS ({hash_vectors('latest', 'url', 'clean_text')})
+            SELECT page_id, url, title, page_type, checksum, CASE WHEN clean_text <> '' THEN {micros('vec')} END AS vec,
+              CASE WHEN clean_text <> '' THEN n ELSE 0 END AS n_chunks, CAST(CASE WHEN clean_text <> '' THEN n - 1 ELSE -1 END AS INTEGER) AS last_chunk,
+              true AS same_page
+            FROM (SELECT *, CAST((len({words('clean_text')}) + {rules.CHUNK_TOKENS - 1}) // {rules.CHUNK_TOKENS} AS BIGINT) AS n FROM latest) JOIN vectors USING (url)""",
         "crawl_run": f"""{with_recursive}{WHOLE_WALK},
             crawled AS (SELECT * REPLACE ({canonical('url')} AS url) FROM fetches WHERE {canonical('url')} IN (SELECT url FROM reached)),
             {TITLED.replace('FROM fetches', 'FROM crawled')}, {PAGE_DOCUMENTS},

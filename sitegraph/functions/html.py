@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections.abc import Callable
+from html.entities import html5
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,13 +15,8 @@ from sitegraph.functions.text import BLANKS, LINE_BLANKS, let, strip
 DROPPED_TAGS = ["script", "style", "head", "nav", "footer", "aside", "form", "table"]
 BLOCK_TAGS = ["p", "div", "section", "article", "main", "header", "h[1-6]", "ul", "ol", "li", "dl", "dt",
               "dd", "br", "hr", "pre", "blockquote", "figure", "figcaption", "title"]
-NAMED_ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®",
-    "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘",
-    "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "deg": "°", "euro": "€",
-    "amp": "&",  # last, so that &amp;lt; stays &lt;
-}
-
+# The standard library's table of names that end with a semicolon.
+NAMED_ENTITIES = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
 # One pass drops whichever block starts first, so a comment that mentions a tag cannot open a block.
 DROPPED_BLOCKS = "(?is)" + "|".join(
     ["<!--.*?-->"]
@@ -31,41 +29,83 @@ HREF = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
 
 
-def decode_entities(text: Column) -> Column:
-    """Named entities of the table above and decimal or hexadecimal references."""
-    return let(
-        text, lambda t: F.when(F.contains(t, F.lit("&")), _decode_named(_decode_numbers(t))).otherwise(t)
-    )
+REFERENCE = r"&(?:#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
-def _decode_named(text: Column) -> Column:
-    return reduce(
-        lambda col, item: F.replace(col, F.lit(f"&{item[0]};"), F.lit(item[1])), NAMED_ENTITIES.items(), text
-    )
+def decode_entities(text: Column) -> Column:
+    """Named entities and decimal or hexadecimal references, each decoded once: ``&amp;lt;`` becomes ``&lt;``."""
+    return let(text, lambda t: F.when(F.rlike(t, F.lit(REFERENCE)), _decoded(t)).otherwise(t))
 
 
-def _decode_numbers(text: Column) -> Column:
+def _decoded(text: Column) -> Column:
     # Each piece after the first starts with a reference: decode it and keep the rest.
+    names = F.from_json(F.lit(json.dumps(NAMED_ENTITIES)), "map<string,string>")
+
     def decoded(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, r"^&#([0-9]{1,7});", 1)
-        hexits = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});", 1)
+        digits = F.regexp_extract(piece, r"^&#0*([0-9]{1,7});", 1)
+        hexits = F.regexp_extract(piece, r"^&#[xX]0*([0-9a-fA-F]{1,6});", 1)
         code = F.when(digits != "", F.hex(digits.cast("long"))).otherwise(hexits)
         number = F.conv(code, 16, 10).cast("long")
         valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
         char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        rest = F.regexp_replace(piece, r"^&#[xX]?[0-9a-fA-F]+;", "")
-        return F.when(valid, F.concat(char, rest)).otherwise(piece)
+        name = F.regexp_extract(piece, "^&([A-Za-z][A-Za-z0-9]+);", 1)
+        found = F.when(F.startswith(piece, F.lit("&#")), F.when(valid, char)).otherwise(F.try_element_at(names, name))
+        rest = F.substring(piece, F.instr(piece, ";") + 1, F.char_length(piece))
+        return F.when(F.startswith(piece, F.lit("&")) & found.isNotNull(), F.concat(found, rest)).otherwise(piece)
+
+    return F.array_join(F.transform(F.split(text, f"(?={REFERENCE})"), decoded), "")
+
+
+def _before_last(text: Column, mark: str, change: Callable[[Column], Column]) -> Column:
+    """Changes the text up to its last ``mark``. Behind it no pattern that needs the mark can match, so none has to look."""
+
+    def split(value: Column) -> Column:
+        tail = F.substring_index(value, mark, -1)
+        size = F.char_length(value) - F.char_length(tail)
+        return F.concat(change(F.substring(value, F.lit(1), size)), tail)
 
-    pieces = F.split(text, r"(?=&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)")
-    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(pieces, decoded), "")).otherwise(text)
+    return let(text, lambda value: F.when(F.contains(value, F.lit(mark)), split(value)).otherwise(value))
+
+
+# A character that no page holds; it stands behind a "<" that opens nothing.
+CLOSED = "\uffff"
+
+
+def _without_blocks(page: Column) -> Column:
+    """Drops comments, dropped tags and advertisements with all that is inside.
+
+    An opening tag behind the last closing one of its name opens no block. Such tags are marked first, tag by
+    tag, so the one pass over the page never looks for an end that is not there: linear in the page.
+    """
+    opens = [("<!--", "-->", "(?=!--)")] + [(f"<{tag}", f"</{tag}", rf"(?={tag}[\s/>])") for tag in DROPPED_TAGS] + [("<div", "</div", r"(?=div\s)")]
+    for tag in opens:
+        page = _mark_unclosed(page, *tag)
+    dropped = F.regexp_replace(page, DROPPED_BLOCKS, "")
+    return F.replace(dropped, F.lit(CLOSED), F.lit(""))
+
+
+def _mark_unclosed(page: Column, start: str, end: str, ahead: str) -> Column:
+    return let(page, lambda value: _marked(value, start, end, ahead))
+
+
+def _marked(page: Column, start: str, end: str, ahead: str) -> Column:
+    # Only ASCII letters are lowered, so that places stay the same.
+    low = F.translate(page, ascii_uppercase, ascii_lowercase)
+    # From here on there is no end; a longer name that starts alike only makes the marked part shorter.
+    tail = F.when(F.contains(low, F.lit(end)), F.char_length(F.substring_index(low, end, -1))).otherwise(F.char_length(page))
+    marked = F.concat(
+        F.substring(page, F.lit(1), F.char_length(page) - tail),
+        F.regexp_replace(F.substring(page, F.char_length(page) - tail + 1, tail), f"(?i)<{ahead}", f"<{CLOSED}"),
+    )
+    return F.when(F.contains(F.substring(low, F.char_length(page) - tail + 1, tail), F.lit(start)), marked).otherwise(page)
 
 
 def main_text(html: Column) -> Column:
     """Main content, one line per block, without comments, tables, navigation or advertisements."""
     flat = F.regexp_replace(html, f"[{BLANKS}]+", " ")
-    kept = F.regexp_replace(flat, DROPPED_BLOCKS, "")
-    broken = F.regexp_replace(kept, BLOCK_BREAKS, "\n")
-    plain = decode_entities(F.regexp_replace(broken, ANY_TAG, ""))
+    kept = let(flat, lambda page: F.when(F.contains(page, F.lit("<")), _without_blocks(page)).otherwise(page))
+    broken = _before_last(kept, ">", lambda head: F.regexp_replace(head, BLOCK_BREAKS, "\n"))
+    plain = decode_entities(_before_last(broken, ">", lambda head: F.regexp_replace(head, ANY_TAG, "")))
     # Runs of blanks become one space first, so that the blanks around a line end are few.
     spaced = F.regexp_replace(plain, f"[{LINE_BLANKS}]+", " ")
     return strip(F.regexp_replace(spaced, r" ?\n[ \n]*", "\n"))

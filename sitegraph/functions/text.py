@@ -43,6 +43,8 @@ def _replace(text: Column, step: tuple[str, ...]) -> Column:
     pattern, replacement, *literal = step
 
     def replaced(value: Column) -> Column:
+        if pattern.startswith(r"^\s*"):
+            return _replace_at_line_starts(value, pattern.removeprefix(r"^\s*"), replacement)
         return F.regexp_replace(value, F.lit(to_java(pattern)), F.lit(replacement.replace("\\1", "$1")))
 
     if not literal:
@@ -50,6 +52,29 @@ def _replace(text: Column, step: tuple[str, ...]) -> Column:
     return let(text, lambda value: F.when(F.contains(value, F.lit(literal[0])), replaced(value)).otherwise(value))
 
 
+# Two characters that no text holds.
+MARK, INDENTED = "\uffff", "\ufffe"
+
+
+def _replace_at_line_starts(value: Column, pattern: str, replacement: str) -> Column:
+    """Replaces ``^\\s*pattern`` and reads each run of blanks a fixed number of times.
+
+    Tried at every line start, a run of blank lines would be read again from each of them. So the places are
+    marked first: a run of blanks at a line start is taken whole and gets a mark, or is dropped for one where the
+    pattern follows; the mark tells whether the pattern starts its line. Then the pattern is replaced at the marks.
+    If it ends in blanks that reach into an indented line, that line's own match is not one any more.
+    """
+    steps = [
+        (rf"^(?:\s*+(?<![^\n])(?={pattern})|(\s++))", "$1" + MARK),
+        (rf"(?:\A|(?<!\s)([{LINE_BLANKS}]*+\n))\s++{MARK}(?={pattern})", "$1" + INDENTED),
+        (rf"[{MARK}{INDENTED}]{pattern}{INDENTED}?", replacement),
+        (f"[{MARK}{INDENTED}]", ""),
+    ]
+    for found, put in steps:
+        value = F.regexp_replace(value, F.lit(to_java(found)), F.lit(put))
+    return value
+
+
 def strip(text: Column) -> Column:
     """Trims Unicode blanks on both sides."""
     return F.btrim(text, F.lit(BLANK_CHARS))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import batched, islice
 
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -31,11 +32,12 @@ def tokenizer_chunker(load: Callable[[], object]) -> Chunker:
         def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             tokenizer = load()
             for texts in batches:
-                encoded = [tokenizer.encode(value or "") for value in texts]
-                yield pd.Series([
-                    [tokenizer.decode(ids[i : i + max_tokens]) for i in range(0, len(ids), max_tokens)]
-                    for ids in encoded
-                ])
+                pieces = [list(batched(tokenizer.encode(value or ""), max_tokens)) for value in texts]
+                # All pieces of the batch are decoded in one call where the tokenizer has one.
+                flat = [list(piece) for page in pieces for piece in page]
+                decode_all = getattr(tokenizer, "decode_batch", None)
+                decoded = iter(decode_all(flat) if decode_all else map(tokenizer.decode, flat))
+                yield pd.Series([list(islice(decoded, len(page))) for page in pieces])
 
         return split(column)
 
@@ -43,15 +45,19 @@ def tokenizer_chunker(load: Callable[[], object]) -> Chunker:
 
 
 def chunk_pages(
-    pages: DataFrame, max_tokens: int = rules.CHUNK_TOKENS, chunker: Chunker = text.token_chunks
+    pages: DataFrame,
+    max_tokens: int = rules.CHUNK_TOKENS,
+    chunker: Chunker = text.token_chunks,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``page_url``, ``chunk_index``, ``text`` for pages with ``url`` and ``clean_text``.
+    """``page_url``, the page columns in ``keep``, ``chunk_index``, ``text`` for pages with ``url`` and ``clean_text``.
 
     Chunks do not overlap, are trimmed, and are numbered from 0 after empty ones are dropped.
     """
     trimmed = F.transform(chunker(F.col("clean_text"), max_tokens), text.strip)
     return pages.select(
         F.col("url").alias("page_url"),
+        *keep,
         F.posexplode(F.filter(trimmed, lambda chunk: chunk != "")).alias("chunk_index", "text"),
     )
 

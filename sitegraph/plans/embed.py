@@ -13,7 +13,7 @@ from sitegraph.functions.vectors import Encoder
 from sitegraph.operators import changes, chunks as chunk_ops
 from sitegraph.session import write_stage
 
-CHUNK_STORE = "page_url string, chunk_index int, text string, vec array<float>"
+CHUNK_STORE = "page_url string, page_id long, chunk_index int, text string, vec array<float>"
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,7 @@ def embed_due_pages(
         "embedded-pages",
     )
     new_chunks = write_stage(
-        chunk_ops.embed_chunks(chunk_ops.chunk_pages(embedded, max_tokens, chunker), encoder), "embedded-chunks"
+        chunk_ops.embed_chunks(chunk_ops.chunk_pages(embedded, max_tokens, chunker, ("page_id",)), encoder), "embedded-chunks"
     )
     if embedded.isEmpty():
         return Embedded(pages, chunks, embedded, new_chunks)

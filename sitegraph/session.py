@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +63,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_open_scopes: list[list[str]] = []
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Stage tables written inside are deleted at the end: for work whose result is stored elsewhere by then."""
+    paths: list[str] = []
+    _open_scopes.append(paths)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(paths)
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_stage(df: DataFrame, name: str) -> DataFrame:
     """Writes a stage as a Parquet table in the shared folder and reads it back.
 
@@ -68,6 +87,8 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     narrow columns does not read the page bodies again.
     """
     path = scratch_path(df.sparkSession, name)
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

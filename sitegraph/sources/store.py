@@ -69,6 +69,17 @@ def touched_buckets(rows: DataFrame, key: str, buckets: int) -> list[int]:
     return sorted(row["bucket"] for row in found)
 
 
+def _check_buckets(spark: SparkSession, path: str, buckets: int) -> None:
+    """The bucket count belongs to a store: it is written with the first version, and another one is refused."""
+    settings = f"{path}/settings"
+    if not _found(spark, f"{settings}/_SUCCESS"):
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(settings)
+        return
+    known = spark.read.schema("buckets int").parquet(settings).first()["buckets"]
+    if known != buckets:
+        raise ValueError(f"the store at {path} has {known} buckets, not {buckets}")
+
+
 def write_version(rows: DataFrame, path: str, key: str, touched: list[int], buckets: int) -> None:
     """Writes the full new content of the touched buckets, then commits them.
 
@@ -76,6 +87,7 @@ def write_version(rows: DataFrame, path: str, key: str, touched: list[int], buck
     splits a large one (the rebalance hint allows that), and not by every task.
     """
     spark = rows.sparkSession
+    _check_buckets(spark, path, buckets)
     version = next_version(spark, path)
     (
         rows.withColumn("bucket", bucket_of(F.col(key), buckets))

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from sitegraph.functions import urls
 from sitegraph.functions.vectors import Encoder
 from sitegraph.operators import changes, pages as page_ops
 from sitegraph.plans.embed import CHUNK_STORE, embed_due_pages
-from sitegraph.session import write_stage
+from sitegraph.session import stage_scope, write_stage
 from sitegraph.sources import store
 from sitegraph.sources.captures import load_fetches
 
@@ -24,7 +25,8 @@ BUCKETS = 64
 
 
 def documents_of(captures: DataFrame) -> DataFrame:
-    return page_ops.page_documents(load_fetches(captures))
+    """Page rows by canonical URL, as a crawl stores them."""
+    return page_ops.page_documents(load_fetches(captures).withColumn("url", urls.canonical_url(F.col("url"))))
 
 
 def pages_writer(
@@ -33,10 +35,11 @@ def pages_writer(
     """A ``foreachBatch`` function that upserts captures into the page store at ``path``."""
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        documents, touched = _batch_documents(batch, buckets, to_documents)
-        if touched:
-            current = _stored(batch, path, changes.PAGE_STORE, touched)
-            store.write_version(changes.upsert_pages(current, documents), path, "url", touched, buckets)
+        with stage_scope(batch.sparkSession):
+            documents, touched = _batch_documents(batch, buckets, to_documents)
+            if touched:
+                current = _stored(batch, path, changes.PAGE_STORE, touched)
+                store.write_version(changes.upsert_pages(current, documents), path, "url", touched, buckets)
 
     return write
 
@@ -56,15 +59,16 @@ def embeddings_writer(
     """
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        documents, touched = _batch_documents(batch, buckets, to_documents)
-        if touched:
-            current = _stored(batch, path, changes.PAGE_STORE, touched)
-            untouched, refreshed = changes.upsert_parts(current, documents)
-            pages = untouched.unionByName(write_stage(refreshed, "refreshed"))
-            chunks = _stored(batch, chunk_path, CHUNK_STORE, touched)
-            done = embed_due_pages(pages, chunks, now, encoder)
-            store.write_version(done.chunks, chunk_path, "page_url", touched, buckets)
-            store.write_version(done.pages, path, "url", touched, buckets)
+        with stage_scope(batch.sparkSession):
+            documents, touched = _batch_documents(batch, buckets, to_documents)
+            if touched:
+                current = _stored(batch, path, changes.PAGE_STORE, touched)
+                untouched, refreshed = changes.upsert_parts(current, documents)
+                pages = untouched.unionByName(write_stage(refreshed, "refreshed"))
+                chunks = _stored(batch, chunk_path, CHUNK_STORE, touched)
+                done = embed_due_pages(pages, chunks, now, encoder)
+                store.write_version(done.chunks, chunk_path, "page_url", touched, buckets)
+                store.write_version(done.pages, path, "url", touched, buckets)
 
     return write
 

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +125,52 @@ def test_metadata(spark):
     rows = pages.page_metadata(df, "k long, page_type string").collect()
     assert [r.page_type for r in rows] == ["blog", "other", "other", "other", "other"]
     assert [r.fields and r.fields.k for r in rows] == [1, None, None, None, 2]
+
+
+PIECES = ["<nav>", "<nav ", "</nav>", "</NAV >", "<!--", "-->", "<table>", "</table>", "<div class='ad'>", "<div>", "</div>", "text ", "\n", " ", ">",
+          "<p>", "<b", "İ", "<script", "</script>", "<", "<navx>"]
+
+
+def plain_main_text(page):
+    """The same rule in one place, with the library's patterns in another regex engine."""
+    flat = re.sub(r"\s+", " ", page)
+    for pattern, put in ((html.DROPPED_BLOCKS, ""), (html.BLOCK_BREAKS, "\n"), (html.ANY_TAG, "")):
+        flat = re.sub(pattern, put, flat)
+    return "\n".join(line for line in (part.strip() for part in re.sub("[^\\S\n]+", " ", flat).split("\n")) if line)
+
+
+def test_broken_pages_as_the_patterns_say(spark):
+    draw = random.Random(4)
+    made = ["".join(draw.choices(PIECES, k=draw.randint(1, 25))) for _ in range(3000)]
+    rows = spark.createDataFrame([(p,) for p in made], "h string").select("h", html.main_text(F.col("h")).alias("t")).collect()
+    assert [(r.h, r.t, plain_main_text(r.h)) for r in rows if r.t != plain_main_text(r.h)] == []
+
+
+def test_markdown_as_the_patterns_say(spark):
+    draw = random.Random(5)
+    made = ["".join(draw.choices(["- ", "* ", "1. ", "> ", "\n", " ", "x", "12.", "-", "\n\n", "+ ", "a b", "# "], k=draw.randint(1, 20))) for _ in range(3000)]
+    rows = spark.createDataFrame([(m,) for m in made], "m string").select("m", text.markdown_to_text(F.col("m")).alias("t")).collect()
+
+    def plain(value):
+        for pattern, put, *_ in rules.MARKDOWN_RULES:
+            value = re.sub("(?m)" + pattern, put, value)
+        return value
+
+    assert [(r.m, r.t, plain(r.m)) for r in rows if r.t != plain(r.m)] == []
+
+
+@pytest.mark.parametrize("unit", ["<nav>", "<!-- ", "<p ", "<div class='ad'> ", " \n", "- \n\n", "["])
+def test_time_grows_with_the_text(spark, unit):
+    rule = html.main_text if "<" in unit else text.markdown_to_text
+    frames = [spark.createDataFrame([(unit * (size // len(unit)),)], "t string") for size in (100_000, 1_600_000)]
+    times = []
+    for frame in frames:
+        start = time.perf_counter()
+        frame.select(F.length(rule(F.col("t")))).collect()
+        times.append(time.perf_counter() - start)
+    assert times[1] < 8 + 32 * times[0]  # 16 times the text; by the square it would be 256 times
+
+
+def test_entities(spark):
+    page = "<title>Caf&eacute; &times; M&uuml;ller &rarr; &#000000065; &#x0041; &amp;lt; &#38;lt; &bogus; &amp x&nbsp;y &#xD800;</title>"
+    assert run(spark, page, html.html_title) == "Café × Müller → A A &lt; &lt; &bogus; &amp x\xa0y &#xD800;".replace("\xa0", "\xa0")
