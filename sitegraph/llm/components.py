@@ -16,14 +16,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     start = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     edges = write_stage(start.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if seen == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        seen = state
+    while not _are_stars(edges):
         # Large star: larger neighbours move to the smallest node around.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = write_stage(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
@@ -36,3 +29,12 @@ def connected_components(links: DataFrame) -> DataFrame:
             least.select("u", F.col("m").alias("v"))
         )
         edges = write_stage(small.distinct(), "small-star")
+    named = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return named.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node either points to one smaller node or is pointed to."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out")))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("n_out"), F.min("out").alias("least"))
+    return nodes.where("n_out > 1 OR (n_out = 1 AND least = 0)").isEmpty()
