@@ -7,10 +7,12 @@
    corpus size, so a weight means the same at every size.
 3. Consistent weighted sampling gives ``BANDS * ROWS`` samples per node; two nodes agree on a sample with a
    probability equal to their weighted Jaccard similarity. Nodes that agree on a band are candidates.
-4. Candidates are verified by the exact weighted Jaccard similarity of their whole texts, in star rounds: the
-   members of a bucket meet its leader. What stars leave open, pairs of one bucket in different components
-   of the links found so far, is then verified pair by pair. So a group of similar copies costs about one
-   comparison each, and no link that could change a component is left out.
+4. Candidates are verified by the exact weighted Jaccard similarity of their whole texts. First the members of a
+   bucket meet its leader, the text that shares the most bands with others. What stars leave open are pairs of one
+   bucket in different components of the links found so far. Of these, pairs go by exact bounds if what a member shares
+   with others at all, or a pair by common shingles alone, weighs too little for a link; pairs with a rare shingle
+   in both are listed by it. The rest is verified one by one. So a group of similar copies costs about one comparison
+   each, and no link that could change a component is left out.
 5. The class of a document is the connected component of its node.
 """
 
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.llm.components import connected_components
@@ -33,6 +35,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
 TABLE_BITS = 16
 STAR_ROUNDS = 4
+# Shingles of at most so many open members name the pairs that have them.
+RARE = 16
+# While more pairs are left for each candidate text, another round of stars is cheaper than comparing them.
+PAIRS_PER_CANDIDATE = 16
+# Sums of weights may differ by this much with their order.
+SLACK = 1e-6
 
 
 class Weights:
@@ -56,8 +64,11 @@ class Weights:
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    least = np.minimum(a[1][i], b[1][j]).sum()
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    same = b[0][at] == a[0]
+    least = np.minimum(a[1][same], b[1][at[same]]).sum()
     total = a[1].sum() + b[1].sum() - least
     return float(least / total) if total > 0 else 0.0
 
@@ -70,28 +81,29 @@ class Sampler:
 
     def __init__(self, samples: int) -> None:
         draw = np.random.default_rng(20240601)
-        self.r = draw.gamma(2.0, 1.0, 1 << 16)
-        self.log_c = np.log(draw.gamma(2.0, 1.0, 1 << 16))
-        self.beta = draw.random(1 << 16)
-        self.inverse_r = 1.0 / self.r
+        r, log_c, beta = draw.gamma(2.0, 1.0, 1 << 16), np.log(draw.gamma(2.0, 1.0, 1 << 16)), draw.random(1 << 16)
+        # The logarithm of c / (y * exp(r)), with y = exp(r * (level - beta)), is base - r * level.
+        self.inverse_r, self.beta = (1.0 / r).astype(np.float32), beta.astype(np.float32)
+        self.base = (log_c + r * beta - r).astype(np.float32)
         self.factors = (mix(np.arange(1, samples + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
 
     def samples(self, shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        best = np.full(len(self.factors), np.inf)
+        best = np.full(len(self.factors), np.inf, dtype=np.float32)
         out = np.zeros(len(self.factors), dtype=np.uint64)
         rows = np.arange(len(self.factors))
+        logs = np.log(weights).astype(np.float32)
         for at in range(0, len(shingles), 1024):
-            part, logs = shingles[at : at + 1024], np.log(weights[at : at + 1024])
-            place = ((part[None, :] * self.factors) >> np.uint64(48)).view(np.int64)
-            r, beta = self.r.take(place), self.beta.take(place)
-            level = self.inverse_r.take(place)
-            level *= logs
-            level += beta
+            part = shingles[at : at + 1024]
+            place = part[None, :] * self.factors
+            place >>= np.uint64(48)
+            place = place.view(np.int64)
+            inverse_r = self.inverse_r.take(place, mode="clip")
+            level = inverse_r * logs[at : at + 1024]
+            level += self.beta.take(place, mode="clip")
             np.floor(level, out=level)
-            value = level + 1.0
-            value -= beta
-            value *= r
-            np.subtract(self.log_c.take(place), value, out=value)
+            np.divide(level, inverse_r, out=inverse_r)
+            value = self.base.take(place, mode="clip")
+            value -= inverse_r
             won = value.argmin(axis=1)
             found = value[rows, won]
             better = found < best
@@ -194,8 +206,11 @@ def near_duplicate_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, text
     )
     nodes = write_stage(nodes, "nodes")
     exploded = nodes.select("node", "weight", F.explode("bands").alias("band"))
-    shared = write_stage(exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared-bands")
+    shared = write_stage(exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
     members = write_stage(exploded.join(shared, "band"), "bucket-members")
+    # The text that others were copied from shares the most bands with them: it should lead its buckets.
+    central = write_stage(members.groupBy("node").agg(F.sum("n").alias("central")), "central-nodes")
+    members = write_stage(members.drop("n").join(central, "node"), "ranked-members")
 
     wanted = members.select("node").distinct().join(nodes.select("node", "spot.*"), "node")
     wanted = sized_side(write_stage(wanted, "wanted-texts"))
@@ -205,45 +220,148 @@ def near_duplicate_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, text
 
     candidates = texts.count()
 
-    near = (F.least("weight", "other_weight") >= similarity * F.greatest("weight", "other_weight"))
-    pair = [F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")]
-    links, tested, open_ = None, None, members
-    for turn in range(STAR_ROUNDS):
-        leader = open_.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "weight")).alias("l"))
+    near = F.least("weight", "other_weight") >= similarity * F.greatest("weight", "other_weight")
+    def star_links(open_: DataFrame, turn: int, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Pairs of the members of each bucket with its leader, and the links among them."""
+        order = F.col("central") if turn == 0 else F.lit(0)
+        leader = open_.groupBy("band").agg(F.max(F.struct(order.alias("first"), F.xxhash64("node", F.lit(turn)).alias("then"), "node", "weight")).alias("l"))
         leader = write_stage(leader.select("band", F.col("l.node").alias("other"), F.col("l.weight").alias("other_weight")), "leaders")
-        # Stars keep the leader as the second node, so that a task meets the same leader many times.
         star = open_.join(leader, "band").where(F.col("node") != F.col("other")).where(near)
+        # The leader stays the second node, so that a task meets the same leader many times.
         star = star.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-        if tested is not None:
-            star = star.join(tested, ["a", "b"], "left_anti")
-        star = write_stage(star, "star-pairs")
-        tested = star if tested is None else tested.unionByName(star)
-        found = write_stage(verified(star, texts, idf, similarity), "star-links")
-        links = found if links is None else links.unionByName(found)
-        open_, rest = open_buckets(members, connected_components(links))
-        if rest <= 2 * candidates:
-            break
-    # The rest: members outside the largest component of their bucket meet the members of other components.
+        star = write_stage(star if tested is None else star.join(tested, ["a", "b"], "left_anti"), "star-pairs")
+        return star, write_stage(verified(star, texts, idf, similarity), "star-links")
+
+    tested, links = star_links(members, 0, None)
+    open_, rest = open_buckets(members, connected_components(links))
+    if rest == 0:
+        return links
+    # What the open members have in common decides which of them can still be linked, by exact bounds.
+    spread = write_stage(rare_shingles(open_.select("node", "component").distinct(), texts, idf), "rare-shingles")
+    kinds = spread.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("own").alias("own"), F.sum("rare").alias("rare"))
+    kinds = write_stage(kinds, "rare-weights")
+    alive = open_.drop("component").join(kinds, "node", "left")
+    alive = alive.withColumn("shared", F.col("weight") - F.coalesce("own", F.lit(0.0))).withColumn("common", F.col("shared") - F.coalesce("rare", F.lit(0.0)))
+    alive = write_stage(alive.where(F.col("shared") >= similarity * F.col("weight") - SLACK), "open-members")
+    who = write_stage(alive.select("node", "weight", "shared").distinct(), "open-nodes")
+    for turn in range(1, STAR_ROUNDS + 1):
+        open_, _ = open_buckets(alive, connected_components(links))
+        rest = write_stage(remaining_pairs(open_, who, spread, tested, near, similarity), "other-pairs")
+        if turn == STAR_ROUNDS or rest.count() <= PAIRS_PER_CANDIDATE * candidates:
+            return links.unionByName(write_stage(verified(rest, texts, idf, similarity), "other-links"))
+        star, found = star_links(open_, turn, tested)
+        tested, links = tested.unionByName(star), links.unionByName(found)
+
+
+def remaining_pairs(open_: DataFrame, who: DataFrame, spread: DataFrame, tested: DataFrame, near: Column, similarity: float) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that may still be links: members outside the largest
+    component of their bucket with members of other components. A pair without a rare shingle in both can only be
+    linked by common ones; pairs with one are listed by it."""
     sizes = open_.groupBy("band", "component").agg(F.count("*").alias("n"))
     main = write_stage(sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m")).select("band", F.col("m.component").alias("main")), "main")
-    outside = write_stage(open_.join(main, "band").where("component <> main").select("band", "node", "weight", "component", "main"), "outside")
-    others = open_.select("band", F.col("node").alias("other"), F.col("weight").alias("other_weight"), F.col("component").alias("other_component"))
-    rest = outside.join(others, "band").where(
-        (F.col("component") != F.col("other_component")) & ((F.col("other_component") == F.col("main")) | (F.col("node") > F.col("other"))) & near
-    ).select(*pair).distinct()
+    outside = write_stage(open_.join(main, "band").where("component <> main").select("band", "node", "weight", "common", "component", "main"), "outside")
+    others = open_.select("band", *[F.col(c).alias(f"other_{c}") for c in ("weight", "common", "component")], F.col("node").alias("other"))
+    needed = similarity / (1 + similarity) * (F.col("weight") + F.col("other_weight")) - SLACK
+    by_common = outside.join(others, "band").where(
+        (F.col("component") != F.col("other_component")) & ((F.col("other_component") == F.col("main")) | (F.col("node") > F.col("other")))
+        & near & (F.least("common", "other_common") >= needed)
+    ).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
+    by_rare = (
+        spread.where("b IS NOT NULL").select("a", "b").distinct()
+        .join(who.select(F.col("node").alias("a"), "weight", "shared"), "a")
+        .join(who.select(F.col("node").alias("b"), F.col("weight").alias("other_weight"), F.col("shared").alias("other_shared")), "b")
+        .where(near & (F.least("shared", "other_shared") >= needed)).select("a", "b")
+    )
     done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = write_stage(rest.join(done, ["a", "b"], "left_anti"), "other-pairs")
-    return links.unionByName(write_stage(verified(rest, texts, idf, similarity), "other-links"))
+    return by_common.unionByName(by_rare).distinct().join(done, ["a", "b"], "left_anti")
+
+
+def rare_shingles(nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(a, b, own, rare): what the shingles say that at most ``RARE`` of the ``nodes`` (node, component) have.
+
+    Rows with a null ``b`` hold for a node the weight of shingles that are its own alone, and of those it shares
+    with few others; a node may have several, and none where all its shingles are common. The other rows are pairs
+    a > b of different components that share a rare shingle. A shingle of very many nodes sends at most ``RARE + 1`` rows per
+    block of texts, which is enough to know it as common.
+    """
+    table = nodes.sparkSession.sparkContext.broadcast(idf)
+    names = ["shingle", "node", "component", "weight"]
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, weigh = WordHasher(), Weights(table.value)
+        for batch in batches:
+            owners, components = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first, hashes, counts in hasher.blocks(batch.column(2).to_pylist()):
+                ends = np.cumsum(counts)
+                found = [weigh.of(hashes[end - n : end]) for n, end in zip(counts.tolist(), ends.tolist())]
+                places = first + np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+                keys, weights = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                order = np.argsort(keys, kind="stable")
+                keys, weights, places = keys[order], weights[order], places[order]
+                few = np.arange(len(keys)) - np.searchsorted(keys, keys) <= RARE
+                columns = [keys[few].view(np.int64), owners[places[few]], components[places[few]], weights[few]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for batch in _with_end(batches):
+            if batch is None:
+                ready, held = held, None
+            else:
+                columns = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+                keys = columns[0]
+                if not len(keys):
+                    continue
+                cut = np.searchsorted(keys, keys[-1])  # the last shingle may go on in the next batch
+                ready, held = [c[:cut] for c in columns], [c[cut : cut + RARE + 1] for c in columns]
+            if len(ready[0]):
+                yield from _rare_rows(*ready)
+
+    some = texts.join(sized_side(write_stage(nodes, "nodes-to-compare")), "node").select("node", "component", "text")
+    every = some.mapInArrow(shingles, "shingle long, node long, component long, weight double")
+    return every.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(compare, "a long, b long, own double, rare double")
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _rare_rows(keys: np.ndarray, nodes: np.ndarray, components: np.ndarray, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The result rows of whole runs of equal shingles."""
+    names = ["a", "b", "own", "rare"]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    size = np.repeat(sizes, sizes)
+    few = size <= RARE
+    if few.any():
+        who, at = np.unique(nodes[few], return_inverse=True)
+        own = np.bincount(at, weights[few] * (size[few] == 1))
+        rare = np.bincount(at, weights[few] * (size[few] > 1))
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(own), pa.array(rare)], names)
+    pairs = []
+    for n in range(2, RARE + 1):
+        runs = starts[sizes == n][:, None] + np.arange(n)
+        for i, j in zip(*np.triu_indices(n, 1)):
+            a, b = runs[:, i], runs[:, j]
+            apart = components[a] != components[b]
+            pairs.append(np.stack([np.maximum(nodes[a], nodes[b])[apart], np.minimum(nodes[a], nodes[b])[apart]], axis=1))
+    found = np.unique(np.concatenate(pairs), axis=0)
+    if len(found):
+        nothing = pa.nulls(len(found), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), nothing, nothing], names)
 
 
 def open_buckets(members: DataFrame, components: DataFrame) -> tuple[DataFrame, int]:
-    """Members (with component) of the buckets that still hold several components, and the pairs across components."""
+    """Members (with component) of the buckets with pairs across components that no leader has met, and the number of those pairs."""
     named = members.join(write_stage(components, "components"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = write_stage(named, "named-members")
     sizes = named.groupBy("band", "component").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("band").agg(F.count("*").alias("k"), F.sum("n").alias("m"), F.max("n").alias("most")).where("k > 1")
-    buckets = write_stage(buckets, "open-buckets")
-    rest = buckets.agg(F.coalesce(F.sum(F.expr("(m - most) * m")), F.lit(0))).first()[0]
+    # Pairs across components, less those that a leader has met already.
+    open_pairs = F.expr("(m * m - squares) / 2 - (m - most)")
+    buckets = sizes.groupBy("band").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    buckets = write_stage(buckets.withColumn("pairs", open_pairs).where("pairs > 0"), "open-buckets")
+    rest = buckets.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
     return named.join(buckets.select("band"), "band", "left_semi"), int(rest)
 
 
