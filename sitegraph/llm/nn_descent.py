@@ -3,7 +3,7 @@
 1. Every vector gets a list of neighbours: the best of small groups of vectors on the same side of random planes.
 2. Lists are refined by joins of neighbours of neighbours: the neighbours of a vector, either way, are compared with
    each other, and whoever is better than the last of a list enters it. A list whose entries all pass the
-   threshold is saturated and gets twice the room. This goes on until hardly any list changes.
+   threshold is saturated and gets twice the room, twice at most. This goes on until hardly any list changes.
 3. List entries near the threshold give candidate groups; inside a group the links are worked out exactly, in double
    precision, in blocks of rows, so a group of any size is never gathered.
 4. Recall is audited: a bounded sample of vectors is compared with all of them. While too few of the true links lie
@@ -28,6 +28,9 @@ COSINE = 0.98
 # Rounded to 8 bits, a cosine is off by less than this.
 MARGIN = 0.01
 NEIGHBOURS = 10
+# Room of a list that is saturated again and again. All links inside a group are found in blocks later, so a longer list
+# would only list pairs that are compared anyway.
+LARGEST = 4 * NEIGHBOURS
 GROUP = 64
 TREES = 3
 BLOCK = 256
@@ -164,13 +167,15 @@ def with_bounds(vectors: DataFrame, lists: DataFrame | None) -> DataFrame:
         return plain.withColumn("room", F.lit(NEIGHBOURS)).withColumn("worst", F.lit(-2.0))
     state = lists.groupBy("src").agg(F.count("*").alias("n"), F.min("sim").alias("least")).withColumnRenamed("src", "row")
     both = plain.join(state, "row", "left")
-    # Full lists have NEIGHBOURS * 2**k entries; one that is full of near duplicates gets twice the room.
+    # Full lists have NEIGHBOURS * 2**k entries; one that is full of near duplicates gets twice the room, for near
+    # duplicates only. Beyond LARGEST the exact comparison of its whole group takes over.
     full = F.coalesce(F.col("n") >= NEIGHBOURS, F.lit(False))
     size = F.when(full, NEIGHBOURS * F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / NEIGHBOURS)))).otherwise(NEIGHBOURS).cast("int")
-    saturated = full & (F.col("n") >= size) & (F.col("least") >= COSINE - MARGIN)
+    at_end = full & (F.col("n") >= size)
+    saturated = at_end & (F.col("least") >= COSINE - MARGIN) & (size < LARGEST)
     return both.select(
         "row", "g", "q", F.when(saturated, size * 2).otherwise(size).alias("room"),
-        F.when((F.col("n") >= size) & ~saturated, F.col("least")).otherwise(-2.0).alias("worst"),
+        F.when(at_end & ~saturated, F.col("least")).when(full, COSINE - MARGIN).otherwise(-2.0).alias("worst"),
     )
 
 
