@@ -240,12 +240,14 @@ def near_duplicate_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, text
     spread = write_stage(rare_shingles(open_.select("node", "component").distinct(), texts, idf), "rare-shingles")
     kinds = spread.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("own").alias("own"), F.sum("rare").alias("rare"))
     kinds = write_stage(kinds, "rare-weights")
-    alive = open_.drop("component").join(kinds, "node", "left")
+    open_nodes = sized_side(write_stage(open_.select("node").distinct(), "open-names"))
+    all_bands = write_stage(nodes.select("node", "bands").join(open_nodes, "node", "left_semi"), "open-bands")
+    alive = open_.drop("component").join(kinds, "node", "left").join(all_bands, "node")
     alive = alive.withColumn("shared", F.col("weight") - F.coalesce("own", F.lit(0.0))).withColumn("common", F.col("shared") - F.coalesce("rare", F.lit(0.0)))
     alive = write_stage(alive.where(F.col("shared") >= similarity * F.col("weight") - SLACK), "open-members")
     who = write_stage(alive.select("node", "weight", "shared").distinct(), "open-nodes")
     for turn in range(1, STAR_ROUNDS + 1):
-        open_, _ = open_buckets(alive, connected_components(links))
+        open_, _ = open_buckets(alive, connected_components(links), led=False)
         rest = write_stage(remaining_pairs(open_, who, spread, tested, near, similarity), "other-pairs")
         if turn == STAR_ROUNDS or rest.count() <= PAIRS_PER_CANDIDATE * candidates:
             return links.unionByName(write_stage(verified(rest, texts, idf, similarity), "other-links"))
@@ -259,12 +261,14 @@ def remaining_pairs(open_: DataFrame, who: DataFrame, spread: DataFrame, tested:
     linked by common ones; pairs with one are listed by it."""
     sizes = open_.groupBy("band", "component").agg(F.count("*").alias("n"))
     main = write_stage(sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m")).select("band", F.col("m.component").alias("main")), "main")
-    outside = write_stage(open_.join(main, "band").where("component <> main").select("band", "node", "weight", "common", "component", "main"), "outside")
-    others = open_.select("band", *[F.col(c).alias(f"other_{c}") for c in ("weight", "common", "component")], F.col("node").alias("other"))
+    outside = write_stage(open_.join(main, "band").where("component <> main").select("band", "node", "weight", "common", "component", "bands", "main"), "outside")
+    others = open_.select("band", *[F.col(c).alias(f"other_{c}") for c in ("weight", "common", "component", "bands")], F.col("node").alias("other"))
     needed = similarity / (1 + similarity) * (F.col("weight") + F.col("other_weight")) - SLACK
     by_common = outside.join(others, "band").where(
         (F.col("component") != F.col("other_component")) & ((F.col("other_component") == F.col("main")) | (F.col("node") > F.col("other")))
         & near & (F.least("common", "other_common") >= needed)
+        # A pair is made in the first of the buckets that it shares, not in all of them.
+        & (F.col("band") == F.array_min(F.array_intersect("bands", "other_bands")))
     ).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
     by_rare = (
         spread.where("b IS NOT NULL").select("a", "b").distinct()
@@ -352,13 +356,15 @@ def _rare_rows(keys: np.ndarray, nodes: np.ndarray, components: np.ndarray, weig
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), nothing, nothing], names)
 
 
-def open_buckets(members: DataFrame, components: DataFrame) -> tuple[DataFrame, int]:
-    """Members (with component) of the buckets with pairs across components that no leader has met, and the number of those pairs."""
+def open_buckets(members: DataFrame, components: DataFrame, led: bool = True) -> tuple[DataFrame, int]:
+    """Members (with component) of the buckets with pairs across components that no leader has met, and the number of those pairs.
+
+    ``led``: one member of each bucket has met all others; not so where members were taken out since."""
     named = members.join(write_stage(components, "components"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = write_stage(named, "named-members")
     sizes = named.groupBy("band", "component").agg(F.count("*").alias("n"))
     # Pairs across components, less those that a leader has met already.
-    open_pairs = F.expr("(m * m - squares) / 2 - (m - most)")
+    open_pairs = F.expr("(m * m - squares) / 2" + (" - (m - most)" if led else ""))
     buckets = sizes.groupBy("band").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     buckets = write_stage(buckets.withColumn("pairs", open_pairs).where("pairs > 0"), "open-buckets")
     rest = buckets.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
