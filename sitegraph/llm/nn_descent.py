@@ -1,24 +1,26 @@
 """Near duplicates among embeddings by NN-descent.
 
-1. Every vector gets a list of neighbours: the best of small groups of vectors on the same side of random planes.
-2. Lists are refined by joins of neighbours of neighbours: the neighbours of a vector, either way, are compared with
-   each other, and whoever is better than the last of a list enters it. A list whose entries all pass the
-   threshold is saturated and gets twice the room, twice at most. This goes on until hardly any list changes.
-3. List entries near the threshold give candidate groups; inside a group the links are worked out exactly, in double
-   precision, in blocks of rows, so a group of any size is never gathered.
-4. Recall is audited: a bounded sample of vectors is compared with all of them. While too few of the true links lie
-   inside groups, more planes are drawn and the lists refined again.
+1. Equal vectors of a label become one node that counts its copies. Every node gets a list of neighbours: the best of
+   small groups of nodes on the same side of random planes.
+2. Lists are refined by joins of neighbours of neighbours: the neighbours of a node, either way, are compared with
+   each other, and whoever is better than the last of a list enters it, until hardly any list changes.
+3. List entries near the threshold join nodes to candidate groups. From then on a node has one list for its own group and
+   one for all others, so that a dense group never fills the places of what lies beside it. Planes are drawn and lists
+   refined again until no groups are joined any more.
+4. Inside a group the links are worked out exactly, in double precision, in blocks of rows, so a group of any size is
+   never gathered.
 
 Lists are refined on vectors rounded to 8 bits (one byte per component in a shuffle); links never are.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegraph.llm.components import connected_components
@@ -28,9 +30,6 @@ COSINE = 0.98
 # Rounded to 8 bits, a cosine is off by less than this.
 MARGIN = 0.01
 NEIGHBOURS = 10
-# Room of a list that is saturated again and again. All links inside a group are found in blocks later, so a longer list
-# would only list pairs that are compared anyway.
-LARGEST = 4 * NEIGHBOURS
 GROUP = 64
 TREES = 3
 BLOCK = 256
@@ -42,7 +41,7 @@ PLANES = 48
 
 
 def prepared(embeddings: DataFrame, vector: str, label: str, seed: int) -> DataFrame:
-    """(row, vec_id, g, q, unit): g is a hash of label and length, null for vectors that link with nothing."""
+    """(row, vec_id, g, q, unit, same): g is a hash of label and length, null for vectors that link with nothing; ``same`` is a digest of the unit."""
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,13 +58,16 @@ def prepared(embeddings: DataFrame, vector: str, label: str, seed: int) -> DataF
                 units.append(x.tobytes())
                 small.append(np.round(x * (127 / np.abs(x).max())).astype(np.int8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(small, pa.binary()), pa.array(units, pa.binary())],
-                ["row", "vec_id", "g", "q", "unit"],
+                [
+                    batch.column(0), batch.column(1), batch.column(2), pa.array(small, pa.binary()), pa.array(units, pa.binary()),
+                    pa.array([None if u is None else hashlib.sha256(u).digest() for u in units], pa.binary()),
+                ],
+                ["row", "vec_id", "g", "q", "unit", "same"],
             )
 
     group = F.when(F.col(label).isNotNull(), F.xxhash64(label, F.size(vector)))
     rows = embeddings.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), group.alias("g"), F.col(vector).alias("v"))
-    return rows.mapInArrow(prepare, "row long, vec_id long, g long, q binary, unit binary")
+    return rows.mapInArrow(prepare, "row long, vec_id long, g long, q binary, unit binary, same binary")
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[pa.Table], Iterator[tuple]]) -> Iterator[tuple]:
@@ -87,7 +89,7 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[pa.Ta
 
 
 def best_of_groups(members: DataFrame) -> DataFrame:
-    """Better neighbours (src, dst, sim) inside groups of ``members`` (u, salt, row, g, q, room, worst)."""
+    """Better neighbours (src, dst, sim, own) inside groups of ``members`` (u, salt, row, g, q, c, worst_own, worst_other)."""
 
     def compare(table: pa.Table) -> Iterator[tuple]:
         n = table.num_rows
@@ -106,19 +108,22 @@ def best_of_groups(members: DataFrame) -> DataFrame:
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
         sims = x @ x.T
         sims[(g[:, None] != g[None, :]) | (rows[:, None] == rows[None, :])] = -2
-        room, worst = table.column(5).to_numpy(), table.column(6).to_numpy()
-        order = np.argsort(-sims, axis=1, kind="stable")
-        rank = np.empty_like(order)
-        rank[np.arange(n)[:, None], order] = np.arange(n)
-        i, j = np.nonzero((rank < room[:, None]) & (sims > np.maximum(worst, -1.5)[:, None]))
-        yield rows[i], rows[j], sims[i, j].astype(np.float64)
+        c = table.column(5).to_numpy()
+        inside = c[:, None] == c[None, :]
+        for own, here, worst in ((True, inside, table.column(6).to_numpy()), (False, ~inside, table.column(7).to_numpy())):
+            part = np.where(here, sims, -2)
+            order = np.argsort(-part, axis=1, kind="stable")
+            rank = np.empty_like(order)
+            rank[np.arange(n)[:, None], order] = np.arange(n)
+            i, j = np.nonzero((rank < NEIGHBOURS) & (part > np.maximum(worst, -1.5)[:, None]))
+            yield rows[i], rows[j], part[i, j].astype(np.float64), np.full(len(i), own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for src, dst, sim in by_group(batches, 2, compare):
-            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(sim)], ["src", "dst", "sim"])
+        for src, dst, sim, own in by_group(batches, 2, compare):
+            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(sim), pa.array(own)], ["src", "dst", "sim", "own"])
 
-    grouped = members.select("u", "salt", "row", "g", "q", "room", "worst").repartition("u", "salt").sortWithinPartitions("u", "salt", "row")
-    return grouped.mapInArrow(run, "src long, dst long, sim double")
+    grouped = members.select("u", "salt", "row", "g", "q", "c", "worst_own", "worst_other").repartition("u", "salt").sortWithinPartitions("u", "salt", "row")
+    return grouped.mapInArrow(run, "src long, dst long, sim double, own boolean")
 
 
 def salted(members: DataFrame) -> DataFrame:
@@ -152,55 +157,53 @@ def plane_groups(vectors: DataFrame, trees: int, seed: int) -> DataFrame:
     return coded.withColumn("depth", depth).select(F.xxhash64("tree", "g", leaf, F.lit(seed)).alias("u"), "row")
 
 
-def merged_lists(lists: DataFrame, found: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The best entries of old and found ones, as many as a list has room for; ties go to the lower row."""
-    every = lists.select("src", "dst", "sim").unionByName(found).groupBy("src", "dst").agg(F.max("sim").alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))
-    rooms = vectors.select(F.col("row").alias("src"), "room")
-    return every.join(rooms, "src").withColumn("rank", rank).where(F.col("rank") <= F.col("room")).drop("rank", "room")
-
-
-def with_bounds(vectors: DataFrame, lists: DataFrame | None) -> DataFrame:
-    """Vectors with the room of their list and the similarity that a new entry has to beat."""
-    plain = vectors.select("row", "g", "q")
-    if lists is None:
-        return plain.withColumn("room", F.lit(NEIGHBOURS)).withColumn("worst", F.lit(-2.0))
-    state = lists.groupBy("src").agg(F.count("*").alias("n"), F.min("sim").alias("least")).withColumnRenamed("src", "row")
-    both = plain.join(state, "row", "left")
-    # Full lists have NEIGHBOURS * 2**k entries; one that is full of near duplicates gets twice the room, for near
-    # duplicates only. Beyond LARGEST the exact comparison of its whole group takes over.
-    full = F.coalesce(F.col("n") >= NEIGHBOURS, F.lit(False))
-    size = F.when(full, NEIGHBOURS * F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / NEIGHBOURS)))).otherwise(NEIGHBOURS).cast("int")
-    at_end = full & (F.col("n") >= size)
-    saturated = at_end & (F.col("least") >= COSINE - MARGIN) & (size < LARGEST)
-    return both.select(
-        "row", "g", "q", F.when(saturated, size * 2).otherwise(size).alias("room"),
-        F.when(at_end & ~saturated, F.col("least")).when(full, COSINE - MARGIN).otherwise(-2.0).alias("worst"),
-    )
+def merged_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The best ``NEIGHBOURS`` entries of the own group and of all others, of old and found ones; ties go to the lower row."""
+    every = lists.select("src", "dst", "sim", "own").unionByName(found).groupBy("src", "dst", "own").agg(F.max("sim").alias("sim"))
+    rank = F.row_number().over(Window.partitionBy("src", "own").orderBy(F.desc("sim"), "dst"))
+    return every.withColumn("rank", rank).where(F.col("rank") <= NEIGHBOURS).drop("rank")
+
+
+def with_bounds(vectors: DataFrame, lists: DataFrame) -> DataFrame:
+    """Vectors with the similarities that a new entry of their own group, or of another one, has to beat."""
+
+    def worst(own: Column) -> Column:
+        return F.when(F.count_if(own) >= NEIGHBOURS, F.min(F.when(own, F.col("sim")))).otherwise(-2.0)
+
+    state = lists.groupBy(F.col("src").alias("row")).agg(worst(F.col("own")).alias("worst_own"), worst(~F.col("own")).alias("worst_other"))
+    bounds = [F.coalesce(name, F.lit(-2.0)).alias(name) for name in ("worst_own", "worst_other")]
+    return vectors.select("row", "g", "q", "c").join(state, "row", "left").select("row", "g", "q", "c", *bounds)
 
 
-def refined(vectors: DataFrame, lists: DataFrame | None, seed: int) -> DataFrame:
-    """Neighbour lists after new plane groups and as many neighbour joins as it takes to settle."""
+def refined(vectors: DataFrame, lists: DataFrame, seed: int) -> DataFrame:
+    """Neighbour lists of ``vectors`` (row, g, q, c) after new plane groups and as many neighbour joins as it takes to settle."""
     bounds = write_stage(with_bounds(vectors, lists), "bounds")
-    members = salted(plane_groups(vectors, TREES, seed)).join(bounds, "row")
-    found = best_of_groups(members)
-    empty = found.limit(0) if lists is None else lists
-    lists = write_stage(merged_lists(empty, found, bounds), "lists")
+    found = best_of_groups(salted(plane_groups(vectors, TREES, seed)).join(bounds, "row"))
+    lists = write_stage(merged_lists(lists, found), "lists")
     while True:
         bounds = write_stage(with_bounds(vectors, lists), "bounds")
         both = lists.select(F.col("src").alias("u"), F.col("dst").alias("row")).unionByName(
             lists.select(F.col("dst").alias("u"), F.col("src").alias("row"))
         ).distinct()
         found = best_of_groups(salted(both).join(bounds, "row"))
-        better = write_stage(merged_lists(lists, found, bounds), "lists")
+        better = write_stage(merged_lists(lists, found), "lists")
         changed = better.join(lists, ["src", "dst"], "left_anti").count()
         lists = better
         if changed <= SETTLED * max(1, better.count()):
             return lists
 
 
+def in_groups(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """``lists`` with ``own`` by the present ``groups`` (row, c)."""
+    ends = lists.select("src", "dst", "sim")
+    for end in ("src", "dst"):
+        ends = ends.join(groups.select(F.col("row").alias(end), F.col("c").alias(f"c_{end}")), end)
+    return ends.select("src", "dst", "sim", (F.col("c_src") == F.col("c_dst")).alias("own"))
+
+
 def exact_links(vectors: DataFrame, groups: DataFrame, cosine: float) -> DataFrame:
-    """(row, n_links, root) per row and block pair of the candidate ``groups`` (node, component); only rows with links.
+    """(row, n_links, root) per node and block pair of the candidate ``groups`` (node, component); only nodes with links.
+    ``n_links`` counts the copies of the other nodes.
 
     A group is cut into blocks, and each pair of blocks is compared in one place; ``root`` is the smallest row that the
     links of this pair of blocks lead to.
@@ -218,7 +221,7 @@ def exact_links(vectors: DataFrame, groups: DataFrame, cosine: float) -> DataFra
         first, second = table.column(1)[0].as_py(), table.column(2)[0].as_py()
         if first != second:  # pairs inside a block are counted where the block meets itself
             linked &= block[:, None] != block[None, :]
-        counts = linked.sum(axis=1)
+        counts = linked @ table.column(7).to_numpy()
         roots = rows.copy()
         while True:
             least = np.minimum(roots, np.where(linked, roots[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
@@ -237,7 +240,7 @@ def exact_links(vectors: DataFrame, groups: DataFrame, cosine: float) -> DataFra
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "row"
     )
-    full = paired.join(vectors.select("row", "g", "unit"), "row").select("component", "first", "second", "block", "row", "g", "unit")
+    full = paired.join(vectors.select("row", "g", "unit", "copies"), "row").select("component", "first", "second", "block", "row", "g", "unit", "copies")
     grouped = full.repartition("component", "first", "second").sortWithinPartitions("component", "first", "second", "row")
     return grouped.mapInArrow(run, "row long, n_links long, root long")
 
@@ -280,22 +283,37 @@ def embedding_duplicates(embeddings: DataFrame, vector: str = "embedding", label
     columns are not read.
     """
     rows = write_stage(prepared(embeddings, vector, label, seed), "vectors")
-    vectors = rows.where("g IS NOT NULL AND unit IS NOT NULL")
-    lists, recall, known = None, 0.0, -1
+    usable = rows.where("g IS NOT NULL AND unit IS NOT NULL")
+    nodes = write_stage(usable.groupBy("g", "same").agg(F.min("row").alias("node"), F.count("*").alias("copies")), "nodes")
+    vectors = write_stage(usable.select("row", "g", "q", "unit").join(nodes.select(F.col("node").alias("row"), "copies"), "row"), "node-vectors")
+    lists = vectors.sparkSession.createDataFrame([], "src long, dst long, sim double, own boolean")
+    members, recall, known = vectors.select("row", F.col("row").alias("c")), 0.0, -1
+    groups = members.select(F.col("row").alias("node"), F.col("c").alias("component")).limit(0)
     while True:
-        lists = refined(vectors, lists, seed)
-        near = lists.where(F.col("sim") >= cosine - MARGIN).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        groups = write_stage(connected_components(near), "candidate-groups")
-        recall, before, known = audited_recall(vectors, groups, cosine), known, near.count()
+        lists = refined(vectors.join(members, "row"), in_groups(lists, members), seed)
+        seed += 1
+        near = lists.where((F.col("sim") >= cosine - MARGIN) & ~F.col("own")).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        joined = not near.isEmpty()
+        if joined:
+            old = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            groups = write_stage(connected_components(old.unionByName(near)), "candidate-groups")
+            placed = vectors.select("row").join(groups.withColumnRenamed("node", "row"), "row", "left")
+            members = write_stage(placed.select("row", F.coalesce("component", "row").alias("c")), "members")
+            continue
+        recall, before, known = audited_recall(vectors, groups, cosine), known, groups.count()
         # More planes help as long as they bring new candidates.
         if recall >= RECALL or known == before:
             break
-        seed += 1
     parts = write_stage(exact_links(vectors, groups, cosine), "links")
     counts = parts.groupBy("row").agg(F.sum("n_links").alias("n_links"))
     components = connected_components(parts.select(F.col("row").alias("a"), F.col("root").alias("b")))
-    named = rows.select("row", "vec_id").join(counts, "row", "left").join(components.withColumnRenamed("node", "row"), "row", "left")
-    named = write_stage(named.withColumn("component", F.coalesce("component", "row")), "named-vectors")
+    ends = nodes.join(counts.withColumnRenamed("row", "node"), "node", "left").join(components, "node", "left")
+    # A copy links with the other copies of its node and with those of the nodes around.
+    ends = write_stage(ends.select(
+        "g", "same", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")
+    ), "node-links")
+    named = rows.select("row", "vec_id", "g", "same").join(ends, ["g", "same"], "left")
+    named = write_stage(named.select("row", "vec_id", "n_links", F.coalesce("component", "row").alias("component")), "named-vectors")
     first = write_stage(named.groupBy("component").agg(F.min("vec_id").alias("component_id")), "component-ids")
     return named.join(first, "component").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id",

@@ -59,3 +59,15 @@ def test_tables_without_links(spark, vectors):
     assert nn_descent.embedding_duplicates(frame.where(F.lit(False))).collect() == []
     got = nn_descent.embedding_duplicates(frame.where("vec_id BETWEEN 2000 AND 3001")).collect()
     assert {(r.n_links, r.kept) for r in got} == {(0, True)} and len(got) == 8
+
+
+def test_links_between_dense_clusters(spark):
+    draw = np.random.default_rng(5)
+    a, other = np.linalg.qr(draw.normal(size=(24, 2)))[0].T
+    b = 0.985 * a + np.sqrt(1 - 0.985**2) * other
+    x = np.concatenate([c + draw.normal(size=(90, 24)) * 1e-4 for c in (a, b)] + [np.tile(a, (60, 1)), np.tile(b, (60, 1)), draw.normal(size=(200, 24))])
+    rows = [(int(i), v.tolist(), 1) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = nn_descent.embedding_duplicates(frame).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == plain(rows)
+    assert sum(r.n_links == 299 for r in got) == 300
