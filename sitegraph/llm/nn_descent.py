@@ -9,6 +9,8 @@
    refined again until no groups are joined any more.
 4. Inside a group the links are worked out exactly, in double precision, in blocks of rows, so a group of any size is
    never gathered.
+5. Recall is audited: vectors drawn from groups of every size are compared with all others. While too few of their true
+   links lie inside groups, more planes are drawn; a run that stays below ``RECALL`` fails.
 
 Lists are refined on vectors rounded to 8 bits (one byte per component in a shuffle); links never are.
 """
@@ -16,6 +18,7 @@ Lists are refined on vectors rounded to 8 bits (one byte per component in a shuf
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,8 +38,11 @@ TREES = 3
 BLOCK = 256
 # Lists are settled when less than this share of their entries is new.
 SETTLED = 0.01
+# Nodes audited of the groups of each size class, about.
 AUDIT_ROWS = 200
 RECALL = 0.99
+# Sets of planes in a row that join no groups while recall is too low, before the run fails.
+PATIENCE = 20
 PLANES = 48
 
 
@@ -246,32 +252,52 @@ def exact_links(vectors: DataFrame, groups: DataFrame, cosine: float) -> DataFra
 
 
 def audited_recall(vectors: DataFrame, members: DataFrame, cosine: float) -> float:
-    """Share of the true links of a bounded sample of vectors, against all vectors, whose ends share a component of ``members``."""
-    sample = [tuple(r) for r in vectors.select("row", "g", "unit").orderBy(F.xxhash64("row", F.lit(17)), "row").limit(AUDIT_ROWS).collect()]
+    """Recall per vector, of nodes drawn by a hash and compared with all of them: the share of a node's true links whose other
+    end is in its group of ``members`` (row, c).
+
+    About ``AUDIT_ROWS`` nodes are drawn of the groups of each size class (powers of two). The mean over the nodes that have a
+    true link is taken for each class of their number of links, and the least of these means is the recall, so that
+    large groups do not speak for small ones.
+    """
+    sizes = write_stage(members.groupBy("c").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("class"), F.count("*").alias("n")), "audit-sizes")
+    held = {r["class"]: r["n"] for r in sizes.groupBy("class").agg(F.sum("n").alias("n")).collect()}
+    if not held:
+        return 1.0
+    chances = F.create_map(*[x for name, n in held.items() for x in (F.lit(name), F.lit(min(1.0, AUDIT_ROWS / n)))])
+    draw = F.pmod(F.xxhash64("row", F.lit(17)), F.lit(1_000_003)) / 1_000_003.0
+    drawn = members.join(sizes, "c").where(draw < chances[F.col("class")]).select("row", "c", "class")
+    sample = [tuple(r) for r in vectors.select("row", "g", "unit").join(drawn, "row").select("row", "g", "unit", "c", "class").collect()]
     shared = vectors.sparkSession.sparkContext.broadcast(sample)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = [(row, g, np.frombuffer(unit)) for row, g, unit in shared.value]
+        queries: dict[int, list] = {}
+        for i, query in enumerate(shared.value):
+            queries.setdefault(len(query[2]), []).append((i, *query))
+        true, met = np.zeros(len(shared.value), dtype=np.int64), np.zeros(len(shared.value), dtype=np.int64)
         for batch in batches:
-            rows, g, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            a, b = [], []
-            for size in {len(x) for x in raw}:
+            rows, g, raw, c = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_numpy()
+            for size in {len(x) for x in raw} & queries.keys():
                 here = np.array([i for i, x in enumerate(raw) if len(x) == size])
                 x = np.frombuffer(b"".join(raw[i] for i in here), dtype=np.float64).reshape(len(here), -1)
-                for row, group, unit in queries:
-                    if len(unit) * 8 == size:
-                        hit = rows[here[(x @ unit >= cosine) & (g[here] == group) & (rows[here] != row)]]
-                        a += [row] * len(hit)
-                        b += hit.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    links = write_stage(vectors.select("row", "g", "unit").mapInArrow(search, "a long, b long"), "audit")
-    side = members.select("node", "component")
-    joined = links.join(side.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(
-        side.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left"
-    )
-    total, met = joined.agg(F.count("*"), F.count(F.when(F.col("ca") == F.col("cb"), 1))).first()
-    return met / total if total else 1.0
+                for at in range(0, len(queries[size]), BLOCK):
+                    number, row, group, unit, own, _ = zip(*queries[size][at : at + BLOCK])
+                    hit = np.frombuffer(b"".join(unit), dtype=np.float64).reshape(len(unit), -1) @ x.T >= cosine
+                    hit &= (np.array(group)[:, None] == g[here]) & (np.array(row)[:, None] != rows[here])
+                    true[list(number)] += hit.sum(axis=1)
+                    met[list(number)] += (hit & (np.array(own)[:, None] == c[here])).sum(axis=1)
+        some = np.flatnonzero(true)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(true[some]), pa.array(met[some])], ["i", "n", "met"])
+
+    placed = vectors.select("row", "g", "unit").join(members, "row").select("row", "g", "unit", "c")
+    links = placed.mapInArrow(search, "i long, n long, met long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("met").alias("met")).collect()
+    drawn_of = Counter(query[4] for query in sample)
+    means: dict[int, list[float]] = {}
+    for i, n, met in links:
+        name = sample[i][4]
+        weight, sums = held[name] / drawn_of[name], means.setdefault(n.bit_length(), [0.0, 0.0])
+        sums[0] += weight * met / n
+        sums[1] += weight
+    return min((found / every for found, every in means.values()), default=1.0)
 
 
 def embedding_duplicates(embeddings: DataFrame, vector: str = "embedding", label: str = "label", cosine: float = COSINE, seed: int = 1) -> DataFrame:
@@ -280,30 +306,32 @@ def embedding_duplicates(embeddings: DataFrame, vector: str = "embedding", label
     Vectors are compared when their labels are equal and not null and their lengths are equal. A vector that is null, empty or
     zero, or holds a null or a value that is not finite, links with nothing. Repeated rows are vectors of their own that link
     with each other; a null ``vec_id`` is ignored where a component has another one. An empty table gives no rows. Other
-    columns are not read.
+    columns are not read. The run fails if the audited recall stays below ``RECALL``.
     """
     rows = write_stage(prepared(embeddings, vector, label, seed), "vectors")
     usable = rows.where("g IS NOT NULL AND unit IS NOT NULL")
     nodes = write_stage(usable.groupBy("g", "same").agg(F.min("row").alias("node"), F.count("*").alias("copies")), "nodes")
     vectors = write_stage(usable.select("row", "g", "q", "unit").join(nodes.select(F.col("node").alias("row"), "copies"), "row"), "node-vectors")
     lists = vectors.sparkSession.createDataFrame([], "src long, dst long, sim double, own boolean")
-    members, recall, known = vectors.select("row", F.col("row").alias("c")), 0.0, -1
+    members, idle = vectors.select("row", F.col("row").alias("c")), 0
     groups = members.select(F.col("row").alias("node"), F.col("c").alias("component")).limit(0)
     while True:
         lists = refined(vectors.join(members, "row"), in_groups(lists, members), seed)
         seed += 1
         near = lists.where((F.col("sim") >= cosine - MARGIN) & ~F.col("own")).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        joined = not near.isEmpty()
-        if joined:
+        if not near.isEmpty():
             old = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
             groups = write_stage(connected_components(old.unionByName(near)), "candidate-groups")
             placed = vectors.select("row").join(groups.withColumnRenamed("node", "row"), "row", "left")
             members = write_stage(placed.select("row", F.coalesce("component", "row").alias("c")), "members")
+            idle = 0
             continue
-        recall, before, known = audited_recall(vectors, groups, cosine), known, groups.count()
-        # More planes help as long as they bring new candidates.
-        if recall >= RECALL or known == before:
+        recall = audited_recall(vectors, members, cosine)
+        if recall >= RECALL:
             break
+        idle += 1
+        if idle >= PATIENCE:
+            raise RuntimeError(f"recall is {recall:.4f} after {idle} sets of planes that joined no groups, less than {RECALL}")
     parts = write_stage(exact_links(vectors, groups, cosine), "links")
     counts = parts.groupBy("row").agg(F.sum("n_links").alias("n_links"))
     components = connected_components(parts.select(F.col("row").alias("a"), F.col("root").alias("b")))

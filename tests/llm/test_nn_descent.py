@@ -71,3 +71,26 @@ def test_links_between_dense_clusters(spark):
     got = nn_descent.embedding_duplicates(frame).collect()
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == plain(rows)
     assert sum(r.n_links == 299 for r in got) == 300
+
+
+def units_of(x):
+    return [(int(i), 7, (v / np.linalg.norm(v)).tobytes()) for i, v in enumerate(x)]
+
+
+def test_audit_sees_small_groups_beside_a_hot_one(spark):
+    draw = np.random.default_rng(6)
+    pairs = np.repeat(draw.normal(size=(30, 24)), 2, axis=0) + draw.normal(size=(60, 24)) * 1e-3
+    x = np.concatenate([draw.normal(size=24) + draw.normal(size=(300, 24)) * 1e-3, pairs])
+    vectors = spark.createDataFrame(units_of(x), "row long, g long, unit binary").repartition(3)
+    whole = vectors.select("row", F.when(F.col("row") < 300, 0).otherwise(F.col("row") - F.col("row") % 2).cast("long").alias("c"))
+    lost = vectors.select("row", F.when(F.col("row") < 300, 0).otherwise(F.col("row")).cast("long").alias("c"))
+    assert nn_descent.audited_recall(vectors, whole, nn_descent.COSINE) == 1.0
+    assert nn_descent.audited_recall(vectors, lost, nn_descent.COSINE) == 0.0
+
+
+def test_low_recall_fails_the_run(spark, vectors, monkeypatch):
+    monkeypatch.setattr(nn_descent, "audited_recall", lambda *_: 0.5)
+    monkeypatch.setattr(nn_descent, "PATIENCE", 1)
+    frame = spark.createDataFrame(vectors[:40], "vec_id long, embedding array<float>, label int")
+    with pytest.raises(RuntimeError, match="recall"):
+        nn_descent.embedding_duplicates(frame)
