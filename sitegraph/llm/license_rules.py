@@ -40,6 +40,20 @@ SENTENCES: list[tuple[str, str]] = [
     ("isc-grant", "permission to use copy modify and or distribute this software for any purpose *"),
 ]
 
+_TERMS = "* is free software you can redistribute it and or modify it under the terms of the gnu"
+# Sentences as they stand in files, tried before the known ones; a sentence may hold what several identifiers stand for.
+FILE_SENTENCES: list[tuple[list[str], str]] = [
+    (["gpl-free", "gpl-later"], f"{_TERMS} general public license * either version * of the license or at your option any later version *"),
+    (["lgpl-free", "gpl-later"], f"{_TERMS} lesser general public license * either version * of the license or at your option any later version *"),
+    (["agpl-work"], f"{_TERMS} affero general public license *"),
+    (["mpl-terms"], "this source code form is subject to the terms of the mozilla public license v"),  # cut after "v."
+    *(
+        ([name], f"{text} {more}")
+        for name, text in SENTENCES if "-work" in name and not text.endswith("*")
+        for more in ("the license", "license", "see *", "the license see *", "license see *")
+    ),
+]
+
 # Ordered: the first rules are the more special ones; sentences a rule has used up are taken out before
 # the next rule is tried. A rule is a sequence of identifiers that follow each other in the text.
 RULES: list[tuple[str, list[str]]] = [

@@ -1,6 +1,8 @@
 """Licence scan: sentences are recognised one by one, then sequences of them are matched with rules.
 
-1. A text is cut into sentences (line ends, and stops followed by a blank); each is normalised.
+1. A text is cut into sentences (stops followed by a blank, and blank lines); each is normalised. A line of its own that is a
+   known sentence is cut out, the other lines of a sentence are joined, as files wrap them. Marks of comments and lists at
+   the head of a line are left out.
 2. A normalised sentence gets the identifier of the first known sentence it matches, or ``?`` if it holds
    a cue word but is not known. Other sentences get none and do not interrupt a sequence.
 3. The identifier sequence is matched with the ordered rules; sentences used by a rule are taken out.
@@ -16,10 +18,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegraph.llm.license_rules import CUES, RULES, SENTENCES
+from sitegraph.llm.license_rules import CUES, FILE_SENTENCES, RULES, SENTENCES
 
-STOP = r"[.!?;:]*(?:[\r\n]+|(?<=[.!?;])\s+)[\s*#/>-]*"
-CUE = "(?i)" + "|".join(re.escape(cue) for cue in CUES)
+GAP = "[ \n]"
+LINE = r"(?:\r\n|\r(?!\n)|\n)"
+STOP = rf"(?<=[.!?;])\s+[\s*#/>-]*|{LINE}[ \t*#/>-]*{LINE}[\s*#/>-]*"
+# The words of a cue may stand on two lines.
+CUE = "(?i)" + "|".join(r"[\s*#/>-]+".join(map(re.escape, cue.split(" "))) for cue in CUES)
 
 
 def sentence_pattern(sentence: str) -> str:
@@ -36,13 +41,24 @@ def normal_sentence(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
-def sentence_id(sentence: Column, known: list[tuple[str, str]] = SENTENCES) -> Column:
-    """Identifier of a normalised sentence; null if it is unknown."""
-    return F.coalesce(*[F.when(sentence.rlike(sentence_pattern(text)), F.lit(name)) for name, text in known])
+def wrapped_pattern(sentence: str) -> str:
+    """The pattern of a known sentence in normalised lines: from the head of a line to the end of one."""
+    words = sentence.split(" ")
+    inner = "".join(
+        "" if w == "*" and i == 0 else "(?: .*)?" if w == "*" and i == len(words) - 1 else f"(?s:{GAP}.*)?" if w == "*" else GAP + w if i else w
+        for i, w in enumerate(words)
+    )
+    return f"(?m)^(?:.* )?{inner.removeprefix(GAP)}$" if words[0] == "*" else f"(?m)^{inner}$"
+
+
+def sentence_ids_of(lines: Column, known: list[tuple[list[str], str]]) -> Column:
+    """Identifiers of the first known sentence in normalised lines; null if there is none."""
+    return F.coalesce(*[F.when(lines.rlike(wrapped_pattern(text)), F.array(*map(F.lit, names))) for names, text in known])
 
 
 def scan_licenses(
     docs: DataFrame, text: str = "text", known: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES,
+    in_files: list[tuple[list[str], str]] = FILE_SENTENCES,
 ) -> DataFrame:
     """``docs`` with ``sentence_ids`` (array, ``?`` for unknown licence-like sentences), ``licenses`` (sorted
     distinct names) and ``n_unmatched`` (known or licence-like sentences that no rule has used).
@@ -50,8 +66,16 @@ def scan_licenses(
     Nulls and empty texts, and texts without a cue word, give empty arrays and 0. Texts are read whole;
     repeated rows give repeated results; columns of the input with the result names are replaced.
     """
+    every = [*in_files, *(([name], sentence) for name, sentence in known)]
     spots = F.filter(F.split(F.col(text), STOP), lambda s: s.rlike(CUE))
-    ids = F.transform(F.transform(spots, normal_sentence), lambda s: F.coalesce(sentence_id(s, known), F.lit("?")))
+
+    def parts(spot: Column) -> Column:
+        lines = F.filter(F.transform(F.split(spot, LINE), normal_sentence), lambda s: s != "")
+        # A bar on both sides cuts a line out; no normalised line holds one.
+        marked = F.transform(lines, lambda s: F.when(s.rlike(CUE) & sentence_ids_of(s, every).isNotNull(), F.concat(F.lit("|"), s, F.lit("|"))).otherwise(s))
+        return F.filter(F.split(F.array_join(marked, "\n"), r"\n?[|]\n?"), lambda s: s.rlike(CUE))
+
+    ids = F.flatten(F.transform(F.flatten(F.transform(spots, parts)), lambda s: F.coalesce(sentence_ids_of(s, every), F.array(F.lit("?")))))
     empty = F.array().cast("array<string>")
     out = docs.withColumn("sentence_ids", F.when(F.col(text).rlike(CUE), ids).otherwise(empty))
 

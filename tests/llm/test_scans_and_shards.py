@@ -29,6 +29,69 @@ def test_licenses(spark):
     assert {part for _, rule in RULES for part in rule} <= {name for name, _ in SENTENCES}
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Someone
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+GPL_FILE = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY.
+ */"""
+APACHE_FILE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+"""
+BSD_FILE = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MPL_FILE = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_licenses_as_they_stand_in_files(spark):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted."
+    cases = [
+        (MIT_FILE, "MIT"), (GPL_FILE, "GPL-any"), (GPL_FILE.replace("General", "Lesser General"), "LGPL-any"), (GPL_FILE.replace("General", "Affero General"), "AGPL-3.0"),
+        (APACHE_FILE, "Apache-2.0"), (BSD_FILE, "BSD-3-Clause"), (MPL_FILE, "MPL-2.0"), (isc, "ISC"), (MIT_FILE.replace("\n", "\r\n"), "MIT"),
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"), ("License:\n" + isc, "ISC"),
+        ("Licensed under CC BY 4.0\nLicensed under the MIT License\nmore", "CC-BY-4.0,MIT"), ("a license\nover two lines", ""),
+    ]
+    frame = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: ",".join(r.licenses) for r in license_scan.scan_licenses(frame).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
 def test_used_sentences_do_not_join_others(spark):
     known, rules = [("a", "license a"), ("b", "license b"), ("c", "license c")], [("X", ["b", "c"]), ("Y", ["a", "a"])]
     frame = spark.createDataFrame([(1, "license a\nlicense b\nlicense c\nlicense a")], "doc_id long, text string")
