@@ -2,7 +2,9 @@
 
 The patterns give the base spans. Tokens with a digit or an at sign are the nodes of a field over the labels none,
 email, ip, card and phone (all other tokens are none, which needs no node). Neighbouring nodes share a chain potential;
-occurrences of the same digits, or of the same address, share a skip potential however far apart they are.
+occurrences of the same digits, or of the same address, share a skip potential however far apart they are. A card
+or phone found by a pattern and tokens that together have its digits, for a phone also without its country code, share a
+fixed one.
 Potentials are learned by pseudo-likelihood from the base spans of a bounded sample. Base spans are then observed,
 loopy message passing carries their labels along chain and skip edges, and tokens outside of them whose marginal is
 high enough become spans if they look like their kind. So a number that was found once is also found where it
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,11 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 # Bounds of the sample the field is trained on.
 SAMPLE_DOCUMENTS, SAMPLE_TOKENS = 5_000, 64
+# Tokens and digits of a number that is found again in another form.
+RUN_TOKENS, LEAST_DIGITS, MOST_DIGITS = 8, 7, 19
+# Potential of equal labels for occurrences of a whole number. It is fixed: patterns find each form of a number or none, so a
+# sample labelled by them cannot show that a number in another form is the same.
+SAME = 12.0
 CERTAIN = 0.9
 ROUNDS = 30
 
@@ -101,6 +108,7 @@ class Nodes:
     observed: list[int]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    same: list[tuple[int, int]] = field(default_factory=list)
 
 
 FEATURES = 48
@@ -120,6 +128,43 @@ def features_of(token: str, before: bool, after: bool) -> list[int]:
     return out + [27 + k for k, flag in enumerate(flags) if flag]
 
 
+def span_keys(label: int, digits: str) -> set[str]:
+    """The digits by which a card or phone is found again; a phone is also written without its country code."""
+    return {digits} | ({digits[k:] for k in (1, 2, 3) if len(digits) - k >= LEAST_DIGITS} if label == 4 else set())
+
+
+def repeated_edges(text: str, places: list[tuple[int, int]], over: list[tuple[int, int, int] | None], linked: set[int]) -> set[tuple[int, int]]:
+    """Edges between occurrences of the whole digits of card and phone spans: runs of up to ``RUN_TOKENS`` neighbouring
+    tokens outside of spans, and the spans themselves. Each node is linked with the occurrences before and after, along a path per key."""
+    occurrences: dict[str, list[list[int]]] = {}
+    of_span: dict[tuple[int, int, int], list[int]] = {}
+    for i, span in enumerate(over):
+        if span and span[0] in (3, 4):
+            of_span.setdefault(span, []).append(i)
+    for (label, start, end), nodes in of_span.items():
+        for key in span_keys(label, NO_DIGIT.sub("", text[start:end])):
+            occurrences.setdefault(key, []).append(nodes)
+    if not occurrences:
+        return set()
+    for i in range(len(places)):
+        digits = ""
+        for j in range(i, min(len(places), i + RUN_TOKENS)):
+            if over[j] or (j > i and j not in linked) or len(digits) > MOST_DIGITS:
+                break
+            digits += NO_DIGIT.sub("", text[places[j][0] : places[j][1]])
+            # A number may be written with the zeros that stand for the country or the region.
+            for key in {digits, digits.lstrip("0")}:
+                if key in occurrences:
+                    occurrences[key].append([*range(i, j + 1)])
+    edges = set()
+    for found in occurrences.values():
+        found.sort()
+        for before, nodes in zip(found, found[1:]):
+            edges.update((before[-1], i) for i in nodes if i not in before)
+            edges.update((i, nodes[0]) for i in before if i not in nodes)
+    return edges
+
+
 def nodes_of(text: str, spans: list[tuple[int, int, int]]) -> Nodes:
     """A token keeps its place without the punctuation around it; neighbours stand one blank apart."""
     places = []
@@ -131,13 +176,14 @@ def nodes_of(text: str, spans: list[tuple[int, int, int]]) -> Nodes:
             end -= 1
         if start < end:
             places.append((start, end))
-    ordered, at, observed = sorted(spans, key=lambda s: s[1]), 0, []
+    ordered, at, longest = sorted(spans, key=lambda s: s[1]), 0, []
     for start, end in places:
         while at < len(ordered) and ordered[at][2] <= start:
             at += 1
         # Spans of different kinds may overlap; the longest one over the token counts.
         over = [s for s in ordered[at : at + 4] if s[1] < end and s[2] > start]
-        observed.append(max(over, key=lambda s: s[2] - s[1])[0] if over else -1)
+        longest.append(max(over, key=lambda s: s[2] - s[1]) if over else None)
+    observed = [s[0] if s else -1 for s in longest]
     chain = [(i, i + 1) for i in range(len(places) - 1) if places[i + 1][0] - places[i][1] == 1]
     linked_left, linked_right = {j for _, j in chain}, {i for i, _ in chain}
     features, skip, last = [], [], {}
@@ -151,7 +197,7 @@ def nodes_of(text: str, spans: list[tuple[int, int, int]]) -> Nodes:
             if key in last:
                 skip.append((last[key], i))
             last[key] = i
-    return Nodes(places, features, observed, chain, skip)
+    return Nodes(places, features, observed, chain, skip, sorted(repeated_edges(text, places, longest, linked_left)))
 
 
 @dataclass
@@ -171,10 +217,10 @@ class Field:
         seen = np.flatnonzero(observed >= 0)
         single[seen] -= 50.0
         single[seen, observed[seen]] += 100.0
-        edges = [(a + at, b + at, kind) for g, at in zip(graphs, offsets) for kind, es in enumerate((g.chain, g.skip)) for a, b in es]
+        edges = [(a + at, b + at, kind) for g, at in zip(graphs, offsets) for kind, es in enumerate((g.chain, g.skip, g.same)) for a, b in es]
         if edges:
             a, b, kind = np.array(edges, dtype=np.int64).T
-            tables = np.stack([self.chain, self.skip])[kind]
+            tables = np.stack([self.chain, self.skip, SAME * np.eye(k)])[kind]
             source, target = np.concatenate([a, b]), np.concatenate([b, a])
             tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
             back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])

@@ -62,6 +62,19 @@ def test_labels_are_consistent_across_a_document(field):
     assert run(field, f"no card at all {filler}, only {CARD_CUT[:9]} once and 2024 or 17.5") == []
 
 
+@pytest.mark.parametrize("first, again", [
+    ("+1 (743) 555-3824", "743-555-3824"), ("+1 (743) 555-3824", "17435553824"), ("+1 (743) 555-3824", "743 555 3824"),
+    ("+49 30 5557 3824", "030/55573824"), ("4465 7583 8288 9437", CARD_CUT),
+])
+def test_numbers_in_groups_are_found_again(field, first, again):
+    filler = "plain words " * 500
+    kind = "card" if again == CARD_CUT else "phone"
+    assert pd_.base_spans(again) == []
+    assert run(field, f"call {first} or so {filler} then {again} once more") == [(kind, again)]
+    assert run(field, f"then {again} once more {filler} call {first} or so") == [(kind, again)]
+    assert run(field, f"no {again[:-1]}5 of these {filler} call {first} or so") == []
+
+
 def test_skip_edges_carry_labels():
     field = pd_.Field(np.zeros((pd_.FEATURES, 5)), np.zeros((5, 5)), 4 * np.eye(5))
     texts = ["x 1234567 y", "tell +12345678 z 12345678 q 555"]
