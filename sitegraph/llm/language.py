@@ -225,6 +225,10 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
 
 
 def drop_unidentified(docs: DataFrame, text: str = "text", label: str = "lang") -> DataFrame:
-    """The documents whose text has a language, with their columns: texts without a letter go."""
-    found = identify(docs.select("*", F.col(text).alias("__text")), fit(docs, text, label), "__text")
+    """The documents whose text has a language, with their columns: texts without a letter go, and no others, also if there is
+    no labelled text to learn from."""
+    net = fit(docs, text, label)
+    if net is None:
+        return docs.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    found = identify(docs.select("*", F.col(text).alias("__text")), net, "__text")
     return found.where(F.col("lang_pred") != NONE).select(*docs.columns)

@@ -59,3 +59,9 @@ def test_nothing_to_learn_from(spark, frame):
     kept = lg.drop_unidentified(frame)
     assert kept.columns == frame.columns and kept.count() == frame.count() - 3
     assert lg.drop_unidentified(frame.where(F.lit(False))).count() == 0
+
+
+def test_unlabelled_documents_stay(spark, frame):
+    unlabelled = frame.withColumn("lang", F.lit(None).cast("string"))
+    kept = lg.drop_unidentified(unlabelled)
+    assert kept.columns == frame.columns and kept.count() == lg.drop_unidentified(frame).count() == frame.count() - 3
