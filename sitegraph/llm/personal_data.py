@@ -291,10 +291,11 @@ def training_rows(text: str) -> list[tuple[list[int], int, list[int], list[int]]
 
 
 def fit(docs: DataFrame, text: str = "text", sample_documents: int = SAMPLE_DOCUMENTS) -> Field:
-    """The field, trained on about ``sample_documents`` documents with a digit or an at sign, drawn by a hash of their text."""
+    """The field, trained on about ``sample_documents`` different texts with a digit or an at sign, drawn by a hash of their text."""
     clues = docs.where(F.col(text).rlike(CLUE.pattern)).select(F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    share = min(1.0, sample_documents / max(1, clues.count()))
-    drawn = clues.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003)
+    # Copies of a text are counted and drawn once, so that a hot text is one document of the sample.
+    share = min(1.0, sample_documents / max(1, clues.select("h").distinct().count()))
+    drawn = clues.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).dropDuplicates(["h"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.int32())

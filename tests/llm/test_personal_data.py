@@ -112,3 +112,14 @@ def test_documents(spark):
 def test_masks_of_overlapping_spans():
     assert pd_.masked("ab 1234 cd", [(3, 3, 6), (4, 5, 7)]) == "ab [card] cd"
     assert pd_.masked("none", []) == "none"
+
+
+def test_copies_of_a_text_are_sampled_once(spark, monkeypatch):
+    trained = []
+    monkeypatch.setattr(pd_, "train", trained.append)
+    texts = [f"call +1 (743) 555-{i:04d} at once" for i in range(20)] + ["a hot text 1234567"] * 400
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    pd_.fit(frame)
+    assert len(trained[0]) == 20 * 3 + 1
+    pd_.fit(frame, sample_documents=7)
+    assert len(trained[1]) < 20 * 3
