@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from sitegraph.session import write_stage
 BLOCK_TOKENS = 1 << 16
 # Tokens after which a writer closes a file; a file ends after a document.
 FILE_TOKENS = 1 << 21
+# Of listed files: bytes that a task reads, about, bytes that stay together, and blocks whose places are held at once.
+TASK_BYTES, STRETCH_BYTES, READ_ROWS = 1 << 26, 1 << 23, 64
 
 
 class RankEncoder:
@@ -69,8 +72,37 @@ def token_files(docs: DataFrame, ranks: bytes, pattern: str, separator: int, tex
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the token files below a folder in any store that Spark reads; a file is a row until it is cut."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    """(path, length) of the token files below a folder: nothing is read but the listing. Tasks read the byte ranges of their
+    blocks from the store (local or mounted folders, HDFS, S3, Google Cloud Storage); a ``viewfs`` folder is resolved first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    resolved = folder.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(folder).toString()
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(resolved).select("path", "length")
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A listed file, opened for reading at any place."""
+    scheme, rest = path.split(":", 1) if ":" in path else ("file", path)
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    host, _, inner = rest.lstrip("/").partition("/")
+    if scheme in ("s3", "s3a", "s3n", "gs"):
+        scheme, inner = "gs" if scheme == "gs" else "s3", f"{host}/{inner}"
+    else:
+        inner = f"/{inner}"
+    return fs.FileSystem.from_uri(f"{scheme}://{host}/")[0].open_input_file(inner)
+
+
+def ranges_of(listed: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(path, block, offset, size): the byte ranges of the blocks of (path, length) files, spread over tasks of about ``TASK_BYTES``."""
+    tokens = F.floor(F.col("length") / 2)
+    last = F.ceil(tokens / block_tokens).cast("int") - 1
+    total = listed.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    cut = listed.select("path", tokens.alias("n"), F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("block"))
+    start = F.col("block").cast("long") * block_tokens
+    ranges = cut.select("path", "block", (start * 2).alias("offset"), (F.least(F.lit(block_tokens).cast("long"), F.col("n") - start) * 2).alias("size"))
+    # Neighbouring blocks of a file stay together, in stretches far smaller than what a task reads.
+    stretch = F.floor(F.col("offset") / STRETCH_BYTES)
+    return ranges.repartition(-(-total // TASK_BYTES) or 1, "path", stretch).sortWithinPartitions("path", "block")
 
 
 def blocks_of(files: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -86,34 +118,60 @@ def blocks_of(files: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     )
 
 
+def found_in(batch: pa.RecordBatch, bodies: Iterator, separator: int) -> pa.RecordBatch:
+    """The result rows of a batch whose first columns are path and block, with the bytes of the blocks."""
+    sizes, places = [], []
+    for body in bodies:
+        ids = np.frombuffer(body, dtype="<u2")
+        sizes.append(len(ids))
+        places.append(np.flatnonzero(ids == separator).astype(np.int32))
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in places])]), pa.int32())
+    values = pa.array(np.concatenate([np.zeros(0, np.int32), *places]), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, values)],
+        ["path", "block", "n_tokens", "at"],
+    )
+
+
 def find_separators(blocks: DataFrame, separator: int) -> DataFrame:
-    """(path, block, n_tokens, at): the number of tokens of each block and the places of its separators."""
+    """(path, block, n_tokens, at): the number of tokens of each block and the places of its separators. Blocks come with their
+    ``tokens`` or as the ``offset`` and ``size`` of a range."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, places = [], []
-            for body in batch.column(2):
-                ids = np.frombuffer(body.as_buffer(), dtype="<u2")
-                sizes.append(len(ids))
-                places.append(np.flatnonzero(ids == separator).astype(np.int32))
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in places])]), pa.int32())
-            values = pa.array(np.concatenate([np.zeros(0, np.int32), *places]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, values)],
-                ["path", "block", "n_tokens", "at"],
-            )
+            yield found_in(batch, (body.as_buffer() for body in batch.column(2)), separator)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, file = None, None
+
+        def body(path: str, offset: int, size: int) -> bytes:
+            nonlocal name, file
+            if path != name:
+                if file is not None:
+                    file.close()
+                name, file = path, opened(path)
+            data = file.read_at(size, offset)
+            if len(data) != size:
+                raise OSError(f"{path} has {len(data)} of {size} bytes at {offset}")
+            return data
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, READ_ROWS):
+                part = batch.slice(at, READ_ROWS)
+                yield found_in(part, (body(*r) for r in zip(*(part.column(k).to_pylist() for k in (0, 2, 3)))), separator)
 
-    return blocks.mapInArrow(find, "path string, block int, n_tokens long, at array<int>")
+    return blocks.mapInArrow(read if "offset" in blocks.columns else find, "path string, block int, n_tokens long, at array<int>")
 
 
 def document_lengths(files: DataFrame, separator: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(path, document, start, n_tokens, closed): one row per document of the (path, content) files.
+    """(path, document, start, n_tokens, closed): one row per document of files (path, content) or listed ones (path, length).
 
     ``document`` counts from 0 within a file, ``start`` is its first token, ``n_tokens`` leaves the separator out.
     Tokens after the last separator are a document that is not ``closed``. Two separators in a row enclose a document
     of no tokens. A null or empty file has no rows; files are told apart by path, so rows with the same path must not repeat.
     """
-    found = write_stage(find_separators(blocks_of(files, block_tokens), separator), "separators")
+    cut = blocks_of if "content" in files.columns else ranges_of
+    found = write_stage(find_separators(cut(files, block_tokens), separator), "separators")
     # The scan goes over two numbers per block, and a file is bounded; the places stay with their block.
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     narrow = found.select("path", "block", "n_tokens", F.size("at").alias("n_at"), F.try_element_at("at", F.lit(-1)).alias("last_at"))

@@ -133,6 +133,20 @@ def test_token_files_round_trip(spark, tmp_path):
         assert sorted(r.n_tokens for r in rows) == sorted(lengths) and all(r.closed for r in rows)
 
 
+def test_token_file_beyond_the_limit_of_a_row(spark, tmp_path):
+    length, ends = (1 << 31) + (1 << 20) + 1, [5, 1 << 20, (1 << 30) + 7]
+    with open(tmp_path / "long name%20.bin", "wb") as file:
+        for end in ends:
+            file.seek(2 * end)
+            file.write((3).to_bytes(2, "little"))
+        file.truncate(length)  # the rest is a hole
+    listed = separator_scan.read_token_files(spark, str(tmp_path))
+    assert separator_scan.ranges_of(listed).rdd.getNumPartitions() == 33
+    got = sorted((r.start, r.n_tokens, r.closed) for r in separator_scan.document_lengths(listed, 3, 1 << 20).collect())
+    starts = [0, *(end + 1 for end in ends)]
+    assert got == [(a, b - a, b < length // 2) for a, b in zip(starts, [*ends, length // 2])]
+
+
 def test_url_lists(spark):
     draw = random.Random(3)
     hosts, start = ["a.org", "x.a.org", "y.x.a.org", "b.org", "hot.com"], datetime(2023, 11, 1)
