@@ -6,10 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType, VariantType
 
 # A side is broadcast only when a count has shown that it stays below both bounds.
 BROADCAST_ROWS = 200_000
@@ -51,7 +53,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
+    """A new path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -63,32 +65,50 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-_open_scopes: list[list[str]] = []
+class _Scope:
+    """Paths of the stage tables written inside a scope, and the scope around it."""
+
+    def __init__(self, outer: _Scope | None) -> None:
+        self.outer = outer
+        self.paths: list[str] = []
+
+
+# Of the present thread: streams run their batches in threads, and each has stages of its own.
+_scope: ContextVar[_Scope | None] = ContextVar("stage_scope", default=None)
 
 
 @contextmanager
 def stage_scope(spark: SparkSession) -> Iterator[None]:
-    """Stage tables written inside are deleted at the end: for work whose result is stored elsewhere by then."""
-    paths: list[str] = []
-    _open_scopes.append(paths)
+    """Stage tables written inside are deleted at the end, but for those that are kept: for work whose result is stored by then."""
+    scope = _Scope(_scope.get())
+    token = _scope.set(scope)
     try:
         yield
     finally:
-        _open_scopes.remove(paths)
-        for path in paths:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _scope.reset(token)
+        for path in scope.paths:
+            drop_stage(spark, path)
+
 
+def drop_stage(spark: SparkSession, path: str) -> None:
+    """Deletes a stage table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
-def write_stage(df: DataFrame, name: str) -> DataFrame:
+
+def write_stage(df: DataFrame, name: str, path: str | None = None, keep: bool = False) -> DataFrame:
     """Writes a stage as a Parquet table in the shared folder and reads it back.
 
     Used instead of ``checkpoint`` for wide rows: later reads stay columnar, so a job that needs two
-    narrow columns does not read the page bodies again.
+    narrow columns does not read the page bodies again. ``keep``: the table outlives the scope it is written in and
+    belongs to the scope around it, as the result of a job does.
     """
-    path = scratch_path(df.sparkSession, name)
-    if _open_scopes:
-        _open_scopes[-1].append(path)
+    path = path or scratch_path(df.sparkSession, name)
+    scope = _scope.get()
+    if scope and keep:
+        scope = scope.outer
+    if scope:
+        scope.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -104,12 +124,26 @@ def sized_side(stored: DataFrame) -> DataFrame:
     Beyond the bounds both sides of the join are shuffled. Since a stored side is shuffled as it is,
     without an aggregate or another join in between, AQE can then split a hot key of the other side.
     """
-    sizes = [F.lit(16 * len(stored.columns))]
-    for field in stored.schema.fields:
-        if field.dataType.typeName() == "string":
-            sizes.append(F.coalesce(F.octet_length(F.col(field.name)), F.lit(0)))
-        elif field.dataType.typeName() == "array":
-            sizes.append(F.coalesce(F.size(F.col(field.name)) * 8, F.lit(0)))
+    sizes = [_bytes_of(F.col(f"`{field.name}`"), field.dataType) for field in stored.schema.fields]
     rows, size = stored.agg(F.count("*"), F.coalesce(F.sum(reduce(Column.__add__, sizes)), F.lit(0))).first()
     small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     return F.broadcast(stored) if small else stored
+
+
+def _bytes_of(value: Column, kind: DataType) -> Column:
+    """About the bytes of a value in a row, with all that is nested in it."""
+    fixed = F.lit(16).cast("long")
+    if isinstance(kind, (StringType, BinaryType)):
+        return fixed + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, VariantType):
+        return fixed + F.coalesce(F.octet_length(F.to_json(value)), F.lit(0))
+    if isinstance(kind, StructType):
+        return reduce(Column.__add__, [_bytes_of(value.getField(f.name), f.dataType) for f in kind.fields], fixed)
+    if isinstance(kind, MapType):
+        return fixed + _bytes_of(F.map_keys(value), ArrayType(kind.keyType)) + _bytes_of(F.map_values(value), ArrayType(kind.valueType))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, VariantType, StructType, MapType, ArrayType)):
+            inner = F.aggregate(value, F.lit(0).cast("long"), lambda total, x: total + _bytes_of(x, kind.elementType))
+            return fixed + F.coalesce(inner, F.lit(0))
+        return fixed + F.coalesce(F.greatest(F.size(value), F.lit(0)) * 8, F.lit(0))
+    return fixed
