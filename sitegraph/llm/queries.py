@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm import bpe, language, license_scan, nn_descent, personal_data, separator_scan, sharding, spaced_seeds, url_lists, weighted_dedup
+from sitegraph.llm import (
+    bpe, drift_clusters, harmonic_packing, language, license_scan, nn_descent, personal_data, separator_scan, sharding, spaced_seeds, spelling_variants,
+    url_lists, weighted_dedup,
+)
 from sitegraph.session import write_stage
 
 
@@ -127,6 +130,25 @@ def op10_streaming_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None
     )
 
 
+def op11_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces in sequences of 1024."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        ranks = file.read()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = harmonic_packing.pack_documents(docs, ranks, public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, separator=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_drift_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every embedding of 64 components, of 40 clusters after five rounds."""
+    return drift_clusters.cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("n_scans")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with the frequent words that they are variants of."""
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_url_lists": op2_url_lists,
@@ -138,4 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_skip_chain_field": op8_skip_chain_field,
     "op9_vector_packing": op9_vector_packing,
     "op10_streaming_bpe": op10_streaming_bpe,
+    "op11_harmonic_packing": op11_harmonic_packing,
+    "op12_drift_clusters": op12_drift_clusters,
+    "op13_spelling_variants": op13_spelling_variants,
 }

@@ -98,5 +98,81 @@ FROM captures c LEFT JOIN best USING (row)
 """
 
 
+def drift_clusters(k: int = 40, rounds: int = 5) -> str:
+    """Every round compares all vectors with all centroids."""
+    steps = ["""
+    points AS MATERIALIZED (
+      SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    )""", f"""
+    c0 AS MATERIALIZED (
+      SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS INTEGER) AS cluster, v AS c FROM points
+      QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id), v) <= {k}
+    )"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+    a{i} AS MATERIALIZED (
+      SELECT row, vec_id, v, min(struct_pack(d := d, cluster := cluster)) AS best
+      FROM (SELECT row, vec_id, v, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM points, c{i})
+      GROUP BY row, vec_id, v
+    )""")
+        if i < rounds:
+            steps.append(f"""
+    c{i + 1} AS MATERIALIZED (
+      SELECT cluster, coalesce(m, c) AS c FROM c{i} LEFT JOIN (
+        SELECT cluster, list(m ORDER BY j) AS m FROM (
+          SELECT cluster, j, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m
+          FROM (SELECT best.cluster AS cluster, unnest(v) AS x, unnest(range(64)) AS j FROM a{i}) GROUP BY cluster, j
+        ) GROUP BY cluster
+      ) USING (cluster)
+    )""")
+    return f"""
+    WITH {",".join(steps)}
+    SELECT vec_id, cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+           CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM (SELECT *, best.cluster AS cluster FROM a{rounds}) JOIN c{rounds} USING (cluster)
+    """
+
+
+def spelling_variants() -> str:
+    """Near words by deleting one character, CRC-32 byte by byte, roots by recursion."""
+    letters = "[A-Za-z\u00C0-\u00FF]+"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+    WITH RECURSIVE crc_table AS (
+      SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+      FROM range(256) r(i)
+    ), runs AS (
+      SELECT doc_id, translate(unnest(regexp_extract_all(text, {quoted(letters)})), '{upper}', '{upper.lower()}') AS run FROM documents WHERE text IS NOT NULL
+    ), counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+    hashed AS (
+      SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS h
+      FROM (SELECT run, n, list_transform(range(1, octet_length(encode(doc_id || ':' || run)) + 1),
+                                          lambda i: CAST('0x' || substr(hex(encode(doc_id || ':' || run)), 2 * i - 1, 2) AS BIGINT)) AS bytes FROM counted), crc_table
+    ), words AS MATERIALIZED (
+      SELECT word, CAST(sum(n) AS BIGINT) AS n
+      FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+      WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+    ), less AS MATERIALIZED (
+      SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+    ), near AS (
+      SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT l.word, w.word, w.n FROM less l JOIN words w ON w.word = l.rest
+      UNION SELECT w.word, l.word, l.n FROM less l JOIN words w ON w.word = l.rest
+    ), best AS (
+      SELECT word, n, count(other) AS n_near, min(struct_pack(less := -other_n, other := encode(other))) AS b FROM words LEFT JOIN near USING (word) GROUP BY word, n
+    ), formed AS MATERIALIZED (
+      SELECT word, n, n_near, CASE WHEN -b.less >= 10 * n THEN decode(b.other) END AS form, CASE WHEN -b.less >= 10 * n THEN -b.less END AS form_n FROM best
+    ), chain AS (
+      SELECT word, word AS root FROM formed
+      UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NOT NULL
+    )
+    SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN (
+      SELECT chain.word, root FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NULL
+    ) c USING (word)
+    """
+
+
 def oracle() -> dict[str, str]:
-    return {"op1_spaced_seeds": spaced_seeds(), "op2_url_lists": URL_LISTS, "op3_license_scan": license_scan()}
+    return {"op1_spaced_seeds": spaced_seeds(), "op2_url_lists": URL_LISTS, "op3_license_scan": license_scan(),
+            "op12_drift_clusters": drift_clusters(), "op13_spelling_variants": spelling_variants()}
