@@ -17,6 +17,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,8 @@ DROP_ONE_IN = 31
 FORM_RATIO = 10
 # Members of a bucket beyond which its windows are cut again.
 BUCKET = 64
+# Windows of more characters are cut again too, as comparing them takes the square of their length.
+WINDOW = 16
 # Bytes of distinct words that a task counts before it hands them on.
 HELD_BYTES = 16 << 20
 
@@ -93,13 +96,17 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", outside(F.col("word"), size, F.col("first"), F.col("last"), F.col("shift")))
 
 
-def halves(first: Column, last: Column) -> Column:
-    """The two windows that the cut of [first, last) into two chunks leaves; a single place has an empty window at each of its ends."""
+def halves(first: Column, last: Column, size: Column) -> Column:
+    """The two windows that the cut of [first, last) into two chunks leaves.
+
+    A window holds the places from its first one up to its last, where the next window begins. A single place has the empty window
+    before it, and the one behind it only at the end of a word of ``size``, where no other window begins.
+    """
     middle = F.floor((first + last) / 2).cast("int")
     single = last - first == 1
     lower = F.struct(first.alias("first"), F.when(single, first).otherwise(middle).alias("last"))
     upper = F.struct(F.when(single, last).otherwise(middle).alias("first"), last.alias("last"))
-    return F.array(lower, upper)
+    return F.when(single & (last < size), F.array(lower)).otherwise(F.array(lower, upper))
 
 
 def chunks_and_grams(words: DataFrame) -> DataFrame:
@@ -107,15 +114,31 @@ def chunks_and_grams(words: DataFrame) -> DataFrame:
     one shorter (``shift`` 1). At equal length the gram at a chunk's place is the chunk, so one row serves as both."""
     size = F.length("word") - F.col("shift")
     rows = words.select("word", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("shift"))
-    return rows.select("word", "n", "shift", F.inline(halves(F.lit(0), size)))
+    return rows.select("word", "n", "shift", F.inline(halves(F.lit(0), size, size)))
 
 
 def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (word, other, n, other_n) of each bucket: chunk words with each other, and with gram words."""
-    chunk = rows.where("shift = 0").select("key", "word", "n")
+    """Pairs (word, other, n, other_n) of each bucket: chunk words with each other, and with gram words.
+
+    A pair is taken in one bucket only. Two words of one length differ in one window. An inserted character may
+    have several places, as in a run of equal ones; the window that holds the last of them, where the common beginning ends, has the pair.
+    """
+    chunk = rows.where("shift = 0").select("key", "word", "n", "first", "last")
     gram = rows.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"), "shift")
-    pairs = chunk.join(gram, "key").where((F.col("shift") == 1) | (F.col("word") < F.col("other")))
-    return pairs.where(F.levenshtein("word", "other", 1) == 1).select("word", "other", "n", "other_n")
+    end = F.greatest(F.col("last"), F.col("first") + 1)
+    begins = F.substring(F.col("word"), F.lit(1), end) == F.substring(F.col("other"), F.lit(1), end)
+    inserted = (F.col("shift") == 1) & ((F.col("last") == F.length("word")) | ~begins)
+    pairs = chunk.join(gram, "key").where(inserted | ((F.col("shift") == 0) & (F.col("word") < F.col("other"))))
+
+    def part(word: str, first: Column, size: Column) -> Column:
+        return F.substring(F.col(word), first + 1, size)
+
+    # Equal keys are made sure of; then the words are as far apart as their windows are.
+    size = F.col("last") - F.col("first")
+    before = part("word", F.lit(0), F.col("first")) == part("other", F.lit(0), F.col("first"))
+    after = part("word", F.col("last"), F.length("word")) == part("other", F.col("last") + F.col("shift"), F.length("other"))
+    apart = F.levenshtein(part("word", F.col("first"), size), part("other", F.col("first"), size + F.col("shift")), 1)
+    return pairs.where(before & after & (apart == 1)).select("word", "other", "n", "other_n")
 
 
 def near_pairs(words: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -124,22 +147,21 @@ def near_pairs(words: DataFrame, bucket: int = BUCKET) -> DataFrame:
     rows = write_stage(keyed(chunks_and_grams(words)), "chunks")
     while True:
         sizes = rows.groupBy("key").agg(F.count("*").alias("members"), F.count_if(F.col("shift") == 0).alias("chunk_words"))
-        # A bucket of one word, or of grams alone, has no pair. An empty window is not cut: what meets there is one word and its variants.
-        sizes = write_stage(sizes.where("members > 1 AND chunk_words > 0"), "buckets")
-        large = F.col("members") > bucket
-        met = write_stage(rows.join(sizes, "key"), "bucket-words")
-        cut = met.where(large & (F.col("last") > F.col("first"))).select(*rows.columns)
+        # A bucket of one word, or of grams alone, has no pair.
+        sizes = write_stage(sizes.where("members > 1 AND chunk_words > 0").select("key", (F.col("members") > bucket).alias("large")), "buckets")
+        met = write_stage(rows.join(sized_side(sizes), "key"), "bucket-words")
+        # An empty window is not cut: what meets there is one word and its variants.
+        size = F.col("last") - F.col("first")
+        large = F.col("large") | (size > WINDOW)
+        cut = met.where(large & (size > 0)).select(*rows.columns)
         # At a single place, chunk words of one length differ there and nowhere else: all their pairs are variants.
-        whole = ~large | (F.col("last") == F.col("first")) | ((F.col("last") - F.col("first") == 1) & (F.col("shift") == 0))
+        whole = ~large | (size == 0) | ((size == 1) & (F.col("shift") == 0))
         found.append(write_stage(bucket_pairs(met.where(whole).select(*rows.columns)), "near-words"))
         if cut.isEmpty():
             break
-        windows = cut.select("word", "n", "shift", F.inline(halves(F.col("first"), F.col("last"))))
+        windows = cut.select("word", "n", "shift", F.inline(halves(F.col("first"), F.col("last"), F.length("word") - F.col("shift"))))
         rows = write_stage(keyed(windows), "chunks")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.distinct()
+    return reduce(DataFrame.unionByName, found)
 
 
 def last_forms(forms: DataFrame) -> DataFrame:
@@ -168,7 +190,7 @@ def spelling_variants(docs: DataFrame, text: str = "text", ratio: int = FORM_RAT
     """
     with stage_scope(docs.sparkSession):
         words = write_stage(word_counts(docs, text).where(F.col("n") >= LEAST_COUNT), "words")
-        pairs = write_stage(near_pairs(words, bucket), "pairs")
+        pairs = near_pairs(words, bucket)
         both = pairs.select("word", "n", "other", "other_n").unionByName(
             pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))
         )
