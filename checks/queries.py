@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from sitegraph.operators import changes, chunks, crawl, links, pages, search
+from sitegraph.operators import cells, changes, chunks, crawl, links, pages, search
 from sitegraph.plans import search as search_plans
 from sitegraph.plans.crawl import crawl_site
 from sitegraph.plans.embed import embed_due_pages
@@ -14,6 +14,7 @@ from sitegraph.session import scratch_path, write_stage
 from sitegraph.sources import captures as cap
 from sitegraph.sources import store
 from sitegraph.streaming import pages as streaming
+from sitegraph.streaming import states
 
 
 def load_fetches(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,6 +264,31 @@ def search_recall(spark, sf):
     return report.withColumn("recall", F.round("recall", 6))
 
 
+def _cell_index(spark, sf):
+    """Clustered vectors with an index of learnt cells."""
+    vectors = write_stage(fx.clustered_vectors(spark, sf), "clustered")
+    path = scratch_path(spark, "cell-index")
+    cells.write_cell_index(vectors, path)
+    return vectors, cells.read_cell_index(spark, path)
+
+
+def search_cells(spark, sf):
+    """Every clustered vector among the vectors of its nearest learnt cells."""
+    vectors, index = _cell_index(spark, sf)
+    hits = cells.search_cells(_self_queries(vectors), index)
+    return hits.select("query_id", "rank", "page_id", F.round("score", 6).alias("score"))
+
+
+def search_cells_recall(spark, sf):
+    """Recall of the learnt cells against the exact search, and the share of all pairs that is compared for it."""
+    vectors, index = _cell_index(spark, sf)
+    queries = _self_queries(vectors)
+    report = search.recall(cells.search_cells(queries, index), search.search_batch(queries, vectors))
+    every = vectors.agg((F.count("*") * F.count("*")).alias("all_pairs"))
+    report = report.crossJoin(cells.compared_pairs(queries, index)).crossJoin(every)  # one row each
+    return report.select("exact_hits", "found_hits", F.round("recall", 6).alias("recall"), "compared_pairs", F.round(F.col("compared_pairs") / F.col("all_pairs"), 6).alias("pair_share"))
+
+
 def format_hits(spark, sf):
     return search.format_hits(_batch_hits(spark, sf), fx.doc_pages(spark, sf))
 
@@ -348,6 +374,70 @@ def stream_embeddings(spark, sf):
     return found.select("page_url", "chunk_index", "text", fx.micros(F.col("vec")).alias("vec"))
 
 
+def _appended_feed(spark, sf):
+    """The feed in two parts, each drained into the table that a stream with keyed state appends to."""
+    path, feed, progress = (scratch_path(spark, name) for name in ("appended-pages", "feed", "progress"))
+    captures = fx.shop_captures(spark, sf)
+    for part in (fx.is_first_crawl(), ~fx.is_first_crawl()):
+        captures.filter(part).write.mode("append").parquet(feed)
+        states.append(states.changed_pages(cap.stream_captures(spark, feed)), path, progress).awaitTermination()
+    return path
+
+
+def stream_state_pages(spark, sf):
+    """The page store of the feed, from appended rows and Spark's keyed state."""
+    pages = states.current_pages(spark.read.parquet(_appended_feed(spark, sf)))
+    return pages.withColumn("embedded_at", F.lit(None).cast("timestamp")).select(*STORE_VIEW)
+
+
+def stream_state_chunks(spark, sf):
+    """Chunks with vectors of the feed, by a second stream over the appended pages."""
+    path = _appended_feed(spark, sf)
+    chunk_path, progress = scratch_path(spark, "appended-chunks"), scratch_path(spark, "progress")
+    states.append(states.changed_chunks(states.stream_pages(spark, path)), chunk_path, progress).awaitTermination()
+    pages = states.current_pages(spark.read.parquet(path))
+    found = states.current_chunks(spark.read.schema(states.CHUNKS).parquet(chunk_path), pages)
+    return found.select("page_url", "chunk_index", "text", fx.micros(F.col("vec")).alias("vec"))
+
+
+def crawl_resume(spark, sf):
+    """A crawl over half of the pages' links, then resumed with the other half, as a fresh crawl over all would find it."""
+    edges = fx.edges(spark, sf)
+    early = F.substring(F.md5("src"), 1, 1) < "8"
+    first = write_stage(edges.where(early), "first-edges")
+    state = write_stage(crawl.crawl_bfs(fx.seeds(spark, sf), first, max_depth=None, max_pages=None), "crawl-state")
+    return crawl.resume_crawl(state, write_stage(edges.where(~early), "new-edges"), edges)
+
+
+def crawl_states(spark, sf):
+    """Every reached URL with its status, as a stored crawl state has it."""
+    captures = fx.captures(spark, sf)
+    return crawl.crawl_state(crawl.crawl_bfs(fx.seeds(spark, sf), fx.edges(spark, sf)), cap.load_fetches(captures))
+
+
+def page_metadata_free(spark, sf):
+    """The event log's properties under changing names, as metadata with free keys and nested values."""
+    events = fx.table(spark, sf, "events")
+    kind = F.col("event_type")
+    nested = F.concat(F.lit('{"page_type":"'), kind, F.lit('","'), kind, F.lit('":{"of":['), F.col("user_id").cast("string"), F.lit(',"x"]},"props":'), "props", F.lit("}"))
+    metadata = F.when(kind == "error", F.lit("{broken")).when(kind == "signup", F.lit("[1]")).when(kind == "view", F.col("props")).otherwise(nested)
+    found = pages.page_metadata_free(events.select("event_id", kind.alias("kind"), metadata.alias("metadata")))
+    inner = F.coalesce(*[F.try_variant_get("free", f"$.{name}.of[0]", "bigint") for name in ("purchase", "click")])
+    return found.select(
+        "event_id", "page_type", F.array_join("keys", " ").alias("keys"), inner.alias("first_of"),
+        F.coalesce(F.try_variant_get("free", "$.props.k", "bigint"), F.try_variant_get("free", "$.k", "bigint")).alias("k"),
+    )
+
+
+def chunk_tokens(spark, sf):
+    """Chunks of every document by the ranks of an installed byte-level vocabulary."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        chunker = chunks.rank_file_chunker(file.read(), public_tokenizers.PATTERN)
+    return chunks.chunk_pages(fx.doc_pages(spark, sf), chunker=chunker)
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -355,8 +445,10 @@ QUERIES = {
         html_links, page_edges, crawl_bfs, crawl_bfs_limited, crawl_bfs_whole, crawl_frontier, crawl_progress, page_titles, main_text,
         quality_lines, markdown_to_text, scrub_volatile, page_documents, page_metadata, pages_per_type, detect_changes,
         upsert_pages, crawl_report, embedding_targets, chunk_pages, embed_chunks, embed_pages, mean_page_vectors,
-        unit_vectors, search_pages, search_chunks, search_batch, search_approx, search_recall, format_hits, search_text,
+        unit_vectors, search_pages, search_chunks, search_batch, search_approx, search_recall, search_cells, search_cells_recall,
+        format_hits, search_text,
         response_captures, crawl_run, crawl_rows,
-        embed_run, stream_pages, stream_embeddings,
+        embed_run, stream_pages, stream_embeddings, stream_state_pages, stream_state_chunks, crawl_resume, crawl_states,
+        page_metadata_free, chunk_tokens,
     ]
 }

@@ -333,6 +333,31 @@ pairs AS (SELECT q.page_id AS query_id, p.page_id, {zero_safe('q.vec', 'p.vec')}
 approx AS ({top_k('SELECT * FROM pairs WHERE near')}),
 exact AS ({top_k('SELECT * FROM pairs')})"""
 
+def learnt_cells(rounds: int = 6) -> str:
+    """k-means in whole numbers, two lists per vector and two cells per query, over the clustered vectors; hits and all pairs' hits."""
+    distance = "CAST(list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    steps = [f"""own AS (SELECT vec_id AS page_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings),
+signed AS (SELECT *, list_transform(vec[1:5], lambda x: x > 0) AS signs FROM own),
+centres AS (SELECT signs, arg_min(vec, page_id) AS centre FROM signed GROUP BY signs),
+clustered AS MATERIALIZED (SELECT page_id, list_transform(list_zip(vec, centre), lambda z: z[1] + 2 * z[2]) AS vec FROM signed JOIN centres USING (signs)),
+size AS (SELECT count(*) AS n, CAST(round(3 * sqrt(count(*))) AS BIGINT) AS k FROM clustered),
+points AS MATERIALIZED (SELECT page_id, vec, list_transform(vec, lambda x: CAST(floor(x / sqrt(list_inner_product(vec, vec)) * 1024) AS BIGINT)) AS p,
+  CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296 AS place FROM clustered),
+sample AS MATERIALIZED (SELECT page_id, place, p FROM points, size WHERE place <= k * 256 / n),
+c0 AS MATERIALIZED (SELECT r - 1 AS cell, p AS c FROM (SELECT p, row_number() OVER (ORDER BY place, page_id) AS r FROM sample), size WHERE r <= k)"""]
+    for i in range(rounds):
+        steps.append(f"""n{i} AS MATERIALIZED (SELECT page_id, any_value(p) AS p, min(struct_pack(d := d, cell := cell)).cell AS cell
+  FROM (SELECT page_id, p, cell, {distance} AS d FROM sample, c{i}) GROUP BY page_id),
+c{i + 1} AS MATERIALIZED (SELECT cell, coalesce(m, c) AS c FROM c{i} LEFT JOIN (SELECT cell, list(m ORDER BY j) AS m FROM (
+  SELECT cell, j, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM (SELECT cell, unnest(p) AS x, unnest(range(len(p))) AS j FROM n{i}) GROUP BY cell, j) GROUP BY cell) USING (cell))""")
+    steps.append(f"""listed AS MATERIALIZED (SELECT page_id, vec, cell FROM (SELECT page_id, vec, cell, {distance} AS d FROM points, c{rounds})
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY d, cell) <= 2),
+compared AS (SELECT q.page_id AS query_id, v.page_id, any_value(q.vec) AS q, any_value(v.vec) AS v FROM listed q JOIN listed v USING (cell) GROUP BY ALL),
+found AS ({top_k(f"SELECT query_id, page_id, {zero_safe('q', 'v')} AS score FROM compared")}),
+exact AS ({top_k(f"SELECT q.page_id AS query_id, v.page_id, {zero_safe('q.vec', 'v.vec')} AS score FROM clustered q, clustered v")})""")
+    return ",\n".join(steps)
+
+
 EMBEDDED_STORE = f"""{STORES},
 embedded AS (SELECT *, embedded_at IS NULL OR markdown_changed > embedded_at AS due FROM second_store)"""
 
@@ -344,7 +369,7 @@ def oracle() -> dict[str, str]:
     doc_chunks = f"{DOC_PAGES}, chunks AS ({chunk_rows('doc_pages', rules.CHUNK_TOKENS)})"
     small_chunks = f"{DOC_PAGES}, chunks AS ({chunk_rows('doc_pages', small)})"
     with_recursive = "WITH RECURSIVE "
-    return {
+    found = {
         "load_fetches": f"""WITH {FETCHES} SELECT page_id, url, status_code, content_type, error, has_links, fetched_at,
             md5(content) AS content_md5, md5(markdown) AS markdown_md5, array_to_string(links, ' ') AS links,
             CAST((meta_title IS NOT NULL)::INT + (meta_type IS NOT NULL)::INT AS INTEGER) AS n_metadata FROM fetches""",
@@ -366,6 +391,9 @@ def oracle() -> dict[str, str]:
         "crawl_bfs": f"{with_recursive}{bfs()} SELECT * FROM reached",
         "crawl_bfs_limited": f"{with_recursive}{bfs(max_pages=100)} SELECT * FROM reached",
         "crawl_bfs_whole": f"{with_recursive}{WHOLE_WALK} SELECT * FROM reached",
+        "crawl_resume": f"{with_recursive}{WHOLE_WALK} SELECT * FROM reached",
+        "crawl_states": f"""{with_recursive}{bfs()}, outcomes AS (SELECT {canonical('url')} AS url, bool_or(error IS NULL) AS good FROM fetches GROUP BY ALL)
+            SELECT seed, r.url, depth, CASE WHEN good THEN 'fetched' WHEN NOT good THEN 'failed' ELSE 'pending' END AS status FROM reached r LEFT JOIN outcomes o ON o.url = r.url""",
         "crawl_frontier": f"{with_recursive}{bfs(max_depth=2)} SELECT * FROM reached WHERE depth = 2",
         "crawl_progress": f"""{with_recursive}{bfs()}, good AS (SELECT DISTINCT {canonical('url')} AS url FROM fetches WHERE error IS NULL),
             counts AS (SELECT depth, count(*) AS reached, count(g.url) AS fetched, count(*) - count(g.url) AS failed
@@ -392,6 +420,10 @@ def oracle() -> dict[str, str]:
             FROM page_documents""",
         "page_metadata": f"""SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE -1 END AS k,
             CASE WHEN event_type = 'click' THEN 'product' ELSE 'other' END AS page_type FROM events""",
+        "page_metadata_free": """SELECT event_id, CASE WHEN event_type IN ('purchase', 'click') THEN event_type ELSE 'other' END AS page_type,
+            CASE event_type WHEN 'purchase' THEN 'page_type props purchase' WHEN 'click' THEN 'click page_type props' WHEN 'view' THEN 'k' ELSE '' END AS keys,
+            CASE WHEN event_type IN ('purchase', 'click') THEN CAST(user_id AS BIGINT) END AS first_of,
+            CASE WHEN event_type IN ('purchase', 'click', 'view') THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""",
         "pages_per_type": "SELECT CASE WHEN event_type = 'click' THEN 'product' ELSE 'other' END AS page_type, count(*) AS pages FROM events GROUP BY ALL",
         "detect_changes": f"WITH {CHANGES} SELECT * FROM changes",
         "upsert_pages": f"WITH {STORES} SELECT {STORE_VIEW} FROM second_store",
@@ -424,6 +456,11 @@ def oracle() -> dict[str, str]:
         "search_approx": f"WITH {SELF} SELECT * FROM approx",
         "search_recall": f"""WITH {SELF} SELECT count(*) AS exact_hits, count(a.page_id) AS found_hits, round(count(a.page_id) / count(*), 6) AS recall
             FROM exact e LEFT JOIN approx a ON a.query_id = e.query_id AND a.page_id = e.page_id""",
+        "search_cells": f"WITH {learnt_cells()} SELECT * FROM found",
+        "search_cells_recall": f"""WITH {learnt_cells()} SELECT count(*) AS exact_hits, count(f.page_id) AS found_hits, round(count(f.page_id) / count(*), 6) AS recall,
+            any_value(pairs) AS compared_pairs, round(any_value(pairs) / any_value(n * n), 6) AS pair_share
+            FROM exact e LEFT JOIN found f ON f.query_id = e.query_id AND f.page_id = e.page_id, size,
+              (SELECT CAST(sum(m * m) AS BIGINT) AS pairs FROM (SELECT count(*) AS m FROM listed GROUP BY cell))""",
         "format_hits": f"""WITH {BATCH_HITS} SELECT query_id, rank, url, CASE WHEN split_part(url, '/', -1) <> '' THEN split_part(url, '/', -1) ELSE url END AS title,
             substring(clean_text, 1, {rules.SNIPPET_CHARS}) AS snippet, round(score, 3) AS score, count(*) OVER (PARTITION BY query_id) AS total
             FROM hits JOIN doc_pages USING (page_id)""",
@@ -464,3 +501,5 @@ def oracle() -> dict[str, str]:
         "stream_embeddings": f"""WITH {SHOP}, {stored('s')}, c AS ({chunk_rows('s', rules.CHUNK_TOKENS)})
             SELECT page_url, chunk_index, text, {micros('vec')} AS vec FROM ({hash_vectors('c', 'page_url, chunk_index, text', 'text')})""",
     }
+    found["stream_state_pages"], found["stream_state_chunks"] = found["stream_pages"], found["stream_embeddings"]
+    return found

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 from html.entities import html5
 from string import ascii_lowercase, ascii_uppercase
 
@@ -78,12 +79,23 @@ def _without_blocks(page: Column) -> Column:
     tag, so the one pass over the page never looks for an end that is not there: linear in the page.
     """
     opens = [("<!--", "-->", "(?=!--)")] + [(f"<{tag}", f"</{tag}", rf"(?={tag}[\s/>])") for tag in DROPPED_TAGS] + [("<div", "</div", r"(?=div\s)")]
-    for tag in opens:
-        page = _mark_unclosed(page, *tag)
-    dropped = F.regexp_replace(page, DROPPED_BLOCKS, "")
+    marked = reduce(lambda value, tag: _mark_unclosed(value, *tag), opens, page)
+    # Most pages close all they open: one look at the lowered page spares them the marks.
+    unclosed = let(F.lower(page), lambda low: reduce(Column.__or__, [_is_unclosed(low, *tag) for tag in opens]))
+    dropped = F.regexp_replace(F.when(unclosed, marked).otherwise(page), DROPPED_BLOCKS, "")
     return F.replace(dropped, F.lit(CLOSED), F.lit(""))
 
 
+def _is_unclosed(low: Column, start: str, end: str, ahead: str) -> Column:
+    """Whether an opening tag stands behind the last closing one of its name."""
+
+    def opens(value: Column) -> Column:
+        return F.contains(value, F.lit(start)) & F.rlike(value, F.lit(f"<{ahead}"))
+
+    # Without an end the whole page is looked at, as the tail is the page then.
+    return F.contains(low, F.lit(start)) & let(F.substring_index(low, end, -1), opens)
+
+
 def _mark_unclosed(page: Column, start: str, end: str, ahead: str) -> Column:
     return let(page, lambda value: _marked(value, start, end, ahead))
 

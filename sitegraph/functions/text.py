@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from sitegraph import rules
 
-# The characters a regex calls blank in Unicode text, as a class body and as plain characters.
-BLANKS = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# The characters a regex calls blank in Unicode text, as a class body and as plain characters. The property is one test per
+# character; a class of all the ranges would be tried range by range.
+BLANKS = r"\p{IsWhite_Space}\x1C-\x1F"
 BLANK_CHARS = "".join(
     map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
               0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
 # Line blanks: the same without the line feed.
-LINE_BLANKS = BLANKS.replace(r"\t\n", r"\t")
+LINE_BLANKS = BLANKS + r"&&[^\n]"
 WORD = r"\p{L}\p{N}_"
 
 

@@ -134,7 +134,10 @@ def _newest_documents(documents: DataFrame, newest: DataFrame) -> DataFrame:
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"n.newest.{c}")) for c in ("fetched_at", "checksum", "metadata_checksum")]
     found = documents.alias("d").join(newest.alias("n"), [F.col("d.url") == F.col("n.url"), *same])
     one, several = (found.filter(f"n.newest.n {test} 1").select("d.*", "n.first_id") for test in ("=", ">"))
-    return one.unionByName(several.dropDuplicates(["url"]))
+    # Captures alike in time and checksums may still differ in what the checksums leave out: the largest hash of it stays.
+    rest = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("")) for c in ("raw_html", "markdown", "title")]), 256)
+    kept = several.groupBy(F.col("url").alias("url_")).agg(F.max_by(F.struct(*several.columns), rest).alias("row_"))
+    return one.unionByName(kept.select("row_.*"))
 
 
 def _refresh_rows(store: DataFrame, documents: DataFrame, newest: DataFrame) -> DataFrame:

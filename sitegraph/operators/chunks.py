@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
 from itertools import batched, islice
 
@@ -44,6 +45,45 @@ def tokenizer_chunker(load: Callable[[], object]) -> Chunker:
     return chunker
 
 
+def rank_file_chunker(ranks: bytes, pattern: str) -> Chunker:
+    """Chunks by a byte-level rank file; a chunk ends before the token that would make it longer than allowed.
+
+    A token may be part of a character. Then the chunk ends at the last token before it that ends a character; a character of more
+    tokens than a chunk may have is kept whole. So chunks put together are the text. The encoder is built once per task from the file's bytes.
+    """
+
+    def chunker(column: Column, max_tokens: int) -> Column:
+        @F.pandas_udf(T.ArrayType(T.StringType()))
+        def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            import tiktoken
+
+            pairs = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+            encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=pairs, special_tokens={})
+            for texts in batches:
+                yield pd.Series([whole_character_chunks(encoding.decode_tokens_bytes(encoding.encode_ordinary(value or "")), max_tokens) for value in texts])
+
+        return split(column)
+
+    return chunker
+
+
+def whole_character_chunks(tokens: list[bytes], max_tokens: int) -> list[str]:
+    """Consecutive texts of at most ``max_tokens`` tokens that end where a character ends."""
+    chunks, first = [], 0
+    while first < len(tokens):
+        end = min(first + max_tokens, len(tokens))
+        # A byte 10xxxxxx goes on with a character.
+        back = end
+        while back > first and back < len(tokens) and tokens[back][0] & 0xC0 == 0x80:
+            back -= 1
+        while back == first and end < len(tokens) and tokens[end][0] & 0xC0 == 0x80:
+            end += 1
+        end = end if back == first else back
+        chunks.append(b"".join(tokens[first:end]).decode("utf-8", "replace"))
+        first = end
+    return chunks
+
+
 def chunk_pages(
     pages: DataFrame,
     max_tokens: int = rules.CHUNK_TOKENS,
@@ -99,10 +139,10 @@ def replace_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
 def attach_page_vectors(pages: DataFrame, vectors: DataFrame) -> DataFrame:
     """Sets ``page_vector`` and ``embedded_at`` on the pages that have a row in ``vectors``, the newest one per URL.
 
-    Pages stay one row each. The vectors are one narrow row per URL, so page bodies are shuffled only
+    A row without a vector sets nothing. Pages stay one row each. The vectors are one narrow row per URL, so page bodies are shuffled only
     where there are too many of them to broadcast.
     """
-    newest = vectors.groupBy("url").agg(F.max(F.struct("embedded_at", "page_vector")).alias("new_"))
+    newest = vectors.where(F.col("page_vector").isNotNull()).groupBy("url").agg(F.max(F.struct("embedded_at", "page_vector")).alias("new_"))
     return (
         pages.join(join_side(newest), "url", "left")
         .withColumn("page_vector", F.coalesce("new_.page_vector", "page_vector"))

@@ -71,6 +71,63 @@ def crawl_bfs(
     return _cut_at_limit(seen, max_pages) if strict and max_pages is not None else seen
 
 
+def crawl_state(reached: DataFrame, fetches: DataFrame) -> DataFrame:
+    """(seed, url, depth, status) to store between crawls: ``fetched`` if any capture is good, ``failed`` if all are bad, else ``pending``."""
+    outcome = fetches.groupBy(urls.canonical_url(F.col("url")).alias("url")).agg(F.max(F.col("error").isNull()).alias("good"))
+    status = F.when(F.col("good"), "fetched").when(~F.col("good"), "failed").otherwise("pending")
+    return reached.join(outcome, "url", "left").select(*STATE, status.alias("status"))
+
+
+def resume_crawl(
+    state: DataFrame, new_edges: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | None = None
+) -> DataFrame:
+    """The state (seed, url, depth) of a fresh crawl over ``edges``, from a stored ``state`` over all but ``new_edges``.
+
+    New edges and seeds give URLs a lesser depth or a first one. That wave goes through the graph level by level, from its least
+    depth up, so a URL is walked on once at most, at its final depth, and what keeps its depth is never walked again. There is no page
+    limit; ``max_depth`` is that of the stored crawl. ``edges`` holds the new ones too and is read once per level: pass stored tables.
+    """
+    state = state.select(*STATE)
+    first = new_edges.join(state.select("seed", F.col("url").alias("src"), "depth"), "src").select("seed", F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth"))
+    if seeds is not None:
+        start = seeds.select(urls.canonical_url(F.col("url")).alias("url")).distinct()
+        first = first.unionByName(start.select(F.col("url").alias("seed"), "url", F.lit(0).alias("depth")))
+    if max_depth is not None:
+        first = first.where(F.col("depth") <= max_depth)
+    waiting = cut_lineage(_improving(first.groupBy("seed", "url").agg(F.min("depth").alias("depth")), state))
+    improved = level = waiting.limit(0)
+    starts = sorted(row["depth"] for row in waiting.select("depth").distinct().collect())  # depths, not URLs
+    depth = starts[0] if starts else None
+    rounds = 0
+    while depth is not None:
+        found = waiting.where(F.col("depth") == depth)
+        if rounds:
+            source = join_side(level.select("seed", F.col("url").alias("src")))
+            found = found.unionByName(edges.join(source, "src").select("seed", F.col("dst").alias("url"), F.lit(depth).alias("depth")))
+        found = found.distinct().join(improved.select("seed", "url"), ["seed", "url"], "left_anti")
+        level = cut_lineage(_improving(found, state))
+        improved = improved.unionByName(level)
+        rounds += 1
+        if rounds % LEVELS_IN_PLAN == 0:
+            improved = cut_lineage(improved)
+        later = [start for start in starts if start > depth]
+        if not level.isEmpty():
+            depth += 1
+        else:
+            depth = later[0] if later else None
+        if depth is not None and max_depth is not None and depth > max_depth:
+            depth = None
+    improved = cut_lineage(improved)
+    return state.join(join_side(improved.select("seed", "url")), ["seed", "url"], "left_anti").unionByName(improved)
+
+
+def _improving(found: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows that reach a URL for the first time or at a lesser depth than ``state`` does."""
+    known = state.select("seed", "url", F.col("depth").alias("known"))
+    joined = found.join(known, ["seed", "url"], "left")
+    return joined.where(F.col("known").isNull() | (F.col("depth") < F.col("known"))).select(*STATE)
+
+
 def _cut_at_limit(reached: DataFrame, max_pages: int) -> DataFrame:
     """Keeps the first ``max_pages`` rows of every seed by depth and URL.
 

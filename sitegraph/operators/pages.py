@@ -114,5 +114,19 @@ def page_metadata(pages: DataFrame, schema: str, column: str = "metadata") -> Da
     )
 
 
+def page_metadata_free(pages: DataFrame, column: str = "metadata", type_path: str = "$.page_type") -> DataFrame:
+    """Reads a metadata JSON column whole: ``free`` is a VARIANT with all its keys and nested values, null for bad or absent JSON.
+
+    ``page_type`` is the text at ``type_path`` or the default type, ``keys`` the sorted top-level keys (empty for what is no object).
+    """
+    free = F.try_parse_json(F.col(column))
+    kind = F.col("free").isNotNull() & F.startswith(F.schema_of_variant("free"), F.lit("OBJECT"))
+    keys = F.when(kind, F.array_sort(F.map_keys(F.expr("try_cast(free AS map<string, variant>)"))))
+    return pages.withColumn("free", free).withColumns({
+        "page_type": F.coalesce(F.try_variant_get("free", type_path, "string"), F.lit(rules.DEFAULT_PAGE_TYPE)),
+        "keys": F.coalesce(keys, F.array().cast("array<string>")),
+    })
+
+
 def pages_per_type(pages: DataFrame) -> DataFrame:
     return pages.groupBy("page_type").agg(F.count("*").alias("pages"))

@@ -61,6 +61,14 @@ def captures_of_responses(responses: DataFrame) -> DataFrame:
     )
 
 
+def free_metadata(responses: DataFrame) -> DataFrame:
+    """Adds ``metadata``, a VARIANT with the page's metadata of a scrape response as it came: nested values and numbers keep their kind.
+
+    Null where the response is no JSON or has no metadata.
+    """
+    return responses.withColumn("metadata", F.try_variant_get(F.try_parse_json("response"), "$.data.metadata", "variant"))
+
+
 def stream_captures(spark: SparkSession, path: str, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
     """The same folder as a stream of newly arrived files."""
     return (

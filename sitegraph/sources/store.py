@@ -1,7 +1,7 @@
 """Stored pages and chunks: Parquet partitioned by key bucket and version.
 
 A write adds a new version of the buckets it touches and then one row per bucket to a small commit
-table. Readers take the newest committed version of each bucket, so a crash between the two steps
+table, with the streaming query and micro-batch it comes from. Readers take the newest committed version of each bucket, so a crash between the two steps
 leaves the old state and folders that no one reads, and nothing being read is replaced. One writer at a
 time.
 """
@@ -14,10 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitegraph.session import drop_stage
+
 COMMIT_SCHEMA = T.StructType([
     T.StructField("version", T.LongType()),
     T.StructField("bucket", T.IntegerType()),
     T.StructField("filled", T.BooleanType()),
+    T.StructField("query", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
 ])
 
 
@@ -39,6 +43,12 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COMMIT_SCHEMA).parquet(log)
 
 
+def is_committed(spark: SparkSession, path: str, query: str, batch_id: int) -> bool:
+    """Whether a streaming query has committed this micro-batch, or a later one, to the store."""
+    newest = commits(spark, path).where(F.col("query") == query).agg(F.max("batch_id")).first()[0]
+    return newest is not None and newest >= batch_id
+
+
 def next_version(spark: SparkSession, path: str) -> int:
     """Larger than every committed version, and never one that a crashed write has used."""
     newest = commits(spark, path).agg(F.max("version")).first()[0]
@@ -80,8 +90,10 @@ def _check_buckets(spark: SparkSession, path: str, buckets: int) -> None:
         raise ValueError(f"the store at {path} has {known} buckets, not {buckets}")
 
 
-def write_version(rows: DataFrame, path: str, key: str, touched: list[int], buckets: int) -> None:
-    """Writes the full new content of the touched buckets, then commits them.
+def write_version(
+    rows: DataFrame, path: str, key: str, touched: list[int], buckets: int, query: str | None = None, batch_id: int | None = None
+) -> None:
+    """Writes the full new content of the touched buckets, then commits them, with the micro-batch they come from.
 
     Rows are shuffled by bucket, so that a bucket is written by one task, or by several where AQE
     splits a large one (the rebalance hint allows that), and not by every task.
@@ -103,4 +115,21 @@ def write_version(rows: DataFrame, path: str, key: str, touched: list[int], buck
     filled = {int(folder.split("/bucket=")[1].split("/")[0]) for folder in written}
     entries = F.array(*[F.struct(F.lit(bucket).alias("bucket"), F.lit(bucket in filled).alias("filled")) for bucket in touched])
     done = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.inline(entries))
+    done = done.withColumn("query", F.lit(query).cast("string")).withColumn("batch_id", F.lit(batch_id).cast("long"))
     done.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+
+def drop_superseded(spark: SparkSession, path: str, before: int) -> int:
+    """Deletes the folders of versions below ``before`` that a later one has replaced, and gives their number.
+
+    ``before`` is a version, that is, a time in milliseconds: choose one that no reader still uses.
+    """
+    log = commits(spark, path)
+    current = {(row["bucket"], row["newest"]) for row in log.groupBy("bucket").agg(F.max("version").alias("newest")).collect()}
+    dropped = 0
+    for folder in _found(spark, f"{path}/data/bucket=*/version=*"):
+        bucket, version = (int(part.split("=")[1]) for part in folder.split("/")[-2:])
+        if version < before and (bucket, version) not in current:
+            drop_stage(spark, folder)
+            dropped += 1
+    return dropped

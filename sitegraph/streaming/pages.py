@@ -1,7 +1,9 @@
 """A continuous feed of captures, upserted and optionally embedded per micro-batch.
 
-All state lives in the stored tables. An upsert ignores captures that are not newer than the stored
-row, so a replayed micro-batch, a late capture or a repeated file changes nothing.
+All state lives in the stored tables. A micro-batch is committed under its query and number, and one that is committed is not
+applied again, however its captures are dated. An upsert ignores captures that are not newer than the stored row, so a
+late capture or a repeated file changes nothing either. ``streaming.states`` keeps the state in Spark's own store instead
+and only appends.
 """
 
 from __future__ import annotations
@@ -34,12 +36,15 @@ def pages_writer(
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that upserts captures into the page store at ``path``."""
 
-    def write(batch: DataFrame, _batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        query = query_of(batch)
+        if store.is_committed(batch.sparkSession, path, query, batch_id):
+            return
         with stage_scope(batch.sparkSession):
             documents, touched = _batch_documents(batch, buckets, to_documents)
             if touched:
                 current = _stored(batch, path, changes.PAGE_STORE, touched)
-                store.write_version(changes.upsert_pages(current, documents), path, "url", touched, buckets)
+                store.write_version(changes.upsert_pages(current, documents), path, "url", touched, buckets, query, batch_id)
 
     return write
 
@@ -58,7 +63,10 @@ def embeddings_writer(
     replay replaces their chunks.
     """
 
-    def write(batch: DataFrame, _batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        query = query_of(batch)
+        if store.is_committed(batch.sparkSession, path, query, batch_id):
+            return
         with stage_scope(batch.sparkSession):
             documents, touched = _batch_documents(batch, buckets, to_documents)
             if touched:
@@ -67,12 +75,17 @@ def embeddings_writer(
                 pages = untouched.unionByName(write_stage(refreshed, "refreshed"))
                 chunks = _stored(batch, chunk_path, CHUNK_STORE, touched)
                 done = embed_due_pages(pages, chunks, now, encoder)
-                store.write_version(done.chunks, chunk_path, "page_url", touched, buckets)
-                store.write_version(done.pages, path, "url", touched, buckets)
+                store.write_version(done.chunks, chunk_path, "page_url", touched, buckets, query, batch_id)
+                store.write_version(done.pages, path, "url", touched, buckets, query, batch_id)
 
     return write
 
 
+def query_of(batch: DataFrame) -> str:
+    """The streaming query that a micro-batch belongs to: its id, which its checkpoint keeps; empty outside of a stream."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+
+
 def _batch_documents(batch, buckets, to_documents) -> tuple[DataFrame, list[int]]:
     documents = write_stage(to_documents(batch), "batch")
     return documents, store.touched_buckets(documents, "url", buckets)
