@@ -39,6 +39,8 @@ STAR_ROUNDS = 4
 RARE = 16
 # While more pairs are left for each candidate text, another round of stars is cheaper than comparing them.
 PAIRS_PER_CANDIDATE = 16
+# Bytes of shingles that a task remembers while it verifies pairs, and pairs that it looks at together.
+HELD_BYTES, STEP_PAIRS = 64 << 20, 64
 # Sums of weights may differ by this much with their order.
 SLACK = 1e-6
 
@@ -179,17 +181,29 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: fl
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, weigh = WordHasher(), Weights(shared.value)
-        last: dict[int, tuple] = {}  # of the leader of the pair before, which is often the same
+        held: dict[int, tuple] = {}  # shingles of nodes of the pairs before: nodes come back in many pairs
+        size = 0
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            members, leaders = batch.column(2), batch.column(3)
+            nodes = [batch.column(k).to_pylist() for k in (0, 1)]
+            place = {node: (k, i) for k in (0, 1) for i, node in enumerate(nodes[k]) if node not in held}
+            if size > HELD_BYTES:
+                held, size = {}, 0
+                place = {node: (k, i) for k in (0, 1) for i, node in enumerate(nodes[k])}
             found = []
-            for i, words in enumerate(hasher.each(members.to_pylist())):
-                if b[i] not in last:
-                    last = {b[i]: weigh.of(next(hasher.each([leaders[i].as_py()])))}
-                score = weighted_jaccard(weigh.of(words), last[b[i]])
-                if score >= similarity:
-                    found.append((a[i], b[i], score))
+            for start in range(0, batch.num_rows, STEP_PAIRS):
+                pairs = list(zip(nodes[0][start : start + STEP_PAIRS], nodes[1][start : start + STEP_PAIRS]))
+                new = [node for node in dict.fromkeys(node for pair in pairs for node in pair) if node not in held]
+                at = [place[node] for node in new]
+                for node, words in zip(new, hasher.each([batch.column(2 + k)[i].as_py() for k, i in at])):
+                    held[node] = weigh.of(words)
+                    size += 16 * len(held[node][0])
+                for a, b in pairs:
+                    score = weighted_jaccard(held[a], held[b])
+                    if score >= similarity:
+                        found.append((a, b, score))
+                if size > HELD_BYTES:
+                    held, size = {}, 0
+                    place = {node: (k, i) for k in (0, 1) for i, node in enumerate(nodes[k])}
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "score"]
             )
@@ -368,7 +382,8 @@ def open_buckets(members: DataFrame, components: DataFrame, led: bool = True) ->
     buckets = sizes.groupBy("band").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     buckets = write_stage(buckets.withColumn("pairs", open_pairs).where("pairs > 0"), "open-buckets")
     rest = buckets.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
-    return named.join(buckets.select("band"), "band", "left_semi"), int(rest)
+    # Stored, as several later steps read it.
+    return write_stage(named.join(sized_side(buckets.select("band")), "band", "left_semi"), "open-buckets-members"), int(rest)
 
 
 def near_duplicate_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
