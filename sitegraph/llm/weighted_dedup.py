@@ -247,7 +247,8 @@ def near_duplicate_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, text
         return star, write_stage(verified(star, texts, idf, similarity), "star-links")
 
     tested, links = star_links(members, 0, None)
-    open_, rest = open_buckets(members, connected_components(links))
+    components, links = joined(links)
+    open_, rest = open_buckets(members, components)
     if rest == 0:
         return links
     # What the open members have in common decides which of them can still be linked, by exact bounds.
@@ -261,12 +262,19 @@ def near_duplicate_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, text
     alive = write_stage(alive.where(F.col("shared") >= similarity * F.col("weight") - SLACK), "open-members")
     who = write_stage(alive.select("node", "weight", "shared").distinct(), "open-nodes")
     for turn in range(1, STAR_ROUNDS + 1):
-        open_, _ = open_buckets(alive, connected_components(links), led=False)
+        open_, _ = open_buckets(alive, components, led=False)
         rest = write_stage(remaining_pairs(open_, who, spread, tested, near, similarity), "other-pairs")
         if turn == STAR_ROUNDS or rest.count() <= PAIRS_PER_CANDIDATE * candidates:
             return links.unionByName(write_stage(verified(rest, texts, idf, similarity), "other-links"))
         star, found = star_links(open_, turn, tested)
         tested, links = tested.unionByName(star), links.unionByName(found)
+        components, links = joined(links)
+
+
+def joined(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The components of the links, and the components as links, which are fewer and say the same."""
+    components = write_stage(connected_components(links), "components")
+    return components, components.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"), F.lit(None).cast("double").alias("score"))
 
 
 def remaining_pairs(open_: DataFrame, who: DataFrame, spread: DataFrame, tested: DataFrame, near: Column, similarity: float) -> DataFrame:
@@ -374,7 +382,7 @@ def open_buckets(members: DataFrame, components: DataFrame, led: bool = True) ->
     """Members (with component) of the buckets with pairs across components that no leader has met, and the number of those pairs.
 
     ``led``: one member of each bucket has met all others; not so where members were taken out since."""
-    named = members.join(write_stage(components, "components"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = write_stage(named, "named-members")
     sizes = named.groupBy("band", "component").agg(F.count("*").alias("n"))
     # Pairs across components, less those that a leader has met already.
