@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
+from sitegraph.functions import html_tree
 from sitegraph.operators import cells, changes, chunks, crawl, links, pages, search
 from sitegraph.plans import search as search_plans
 from sitegraph.plans.crawl import crawl_site
@@ -109,6 +110,12 @@ def main_text(spark, sf):
     return pages.main_text(web).select("page_id", "main_text", "n_lines")
 
 
+def main_text_tree(spark, sf):
+    """The main text of every page by the extractor that keeps open elements, inside the job that takes any extractor."""
+    found = pages.main_text(fx.table(spark, sf, "pages").select("page_id", F.col("html").alias("content")), extract=html_tree.main_text_tree)
+    return found.select("page_id", "main_text", "n_lines")
+
+
 def quality_lines(spark, sf):
     docs = fx.table(spark, sf, "documents").select(
         "doc_id",
@@ -449,6 +456,6 @@ QUERIES = {
         format_hits, search_text,
         response_captures, crawl_run, crawl_rows,
         embed_run, stream_pages, stream_embeddings, stream_state_pages, stream_state_chunks, crawl_resume, crawl_states,
-        page_metadata_free, chunk_tokens,
+        page_metadata_free, chunk_tokens, main_text_tree,
     ]
 }

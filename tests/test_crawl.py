@@ -74,13 +74,14 @@ def test_frontier_leaves_out_what_is_known(spark):
 
 def test_links_of_a_page(spark):
     page = """
-    <a href="/about">About</a><a href="https://example.com/contact">C</a><a href="https://other.com">X</a>
-    <a href="javascript:void(0)">JS</a><a href="mailto:a@b.c">M</a><a href="#top">T</a><a href="/about#x">again</a>
+    <ul><li><a href="/garden/roses">Roses</a></li><li><a href='https://plants.test/garden/herbs/'>Herbs</a></li>
+    <li><a href=https://seeds.test/shop>Shop</a></li></ul><a href="javascript:open()">o</a><a href="tel:55">t</a>
+    <a href="mailto:x@plants.test">m</a><a href="#list">l</a><a href="/garden/roses#red">red</a>
     """
-    for base in ("https://example.com", "https://www.example.com/"):
+    for base in ("https://plants.test", "https://www.plants.test/"):
         rows = links.html_links(spark.createDataFrame([(base, page)], "url string, content string")).collect()
-        assert {r.dst for r in rows} == {"https://example.com/about", "https://example.com/contact"}
-        assert {r.src for r in rows} == {"https://example.com"}
+        assert {r.dst for r in rows} == {"https://plants.test/garden/roses", "https://plants.test/garden/herbs"}
+        assert {r.src for r in rows} == {"https://plants.test"}
 
 
 def test_edges_prefer_the_captured_list(spark):
@@ -120,3 +121,43 @@ def test_whole_chain_without_limits(spark):
     seeds = spark.createDataFrame([(steps[0],)], "url string")
     reached = crawl.crawl_bfs(seeds, edges, max_depth=None, max_pages=None)
     assert {(r.url, r.depth) for r in reached.collect()} == {(url, i) for i, url in enumerate(steps)}
+
+
+def test_resumed_crawl_is_a_fresh_one(spark):
+    """New links lower depths far away, open new parts and close cycles; new seeds join."""
+    for seed, max_depth in [(1, None), (2, 4), (3, 2), (4, None)]:
+        draw = random.Random(seed)
+        names = [f"{SITE}{i}" for i in range(90)]
+        chain = list(zip(names[:30], names[1:31]))
+        old = chain + [(draw.choice(names), draw.choice(names)) for _ in range(60)]
+        new = [(draw.choice(names), draw.choice(names)) for _ in range(12)] + [(names[2], names[25]), (names[25], names[0])]
+        frames = [spark.createDataFrame(rows, "src string, dst string").distinct() for rows in (old, new, old + new)]
+        seeds = [spark.createDataFrame([(n,) for n in some], "url string") for some in (names[:2], names[40:41], [*names[:2], names[40]])]
+        state = crawl.crawl_bfs(seeds[0], frames[0], max_depth=max_depth, max_pages=None)
+        resumed = crawl.resume_crawl(state, frames[1], frames[2], seeds[1], max_depth)
+        fresh = crawl.crawl_bfs(seeds[2], frames[2], max_depth=max_depth, max_pages=None)
+        got, want = (sorted(map(tuple, df.select("seed", "url", "depth").collect())) for df in (resumed, fresh))
+        assert got == want
+
+
+def test_resumed_crawl_walks_only_what_changed(spark, monkeypatch):
+    steps = [f"https://a.com/{i}" for i in range(40)]
+    edges = spark.createDataFrame(list(zip(steps, steps[1:])), "src string, dst string").cache()
+    state = crawl.crawl_bfs(spark.createDataFrame([(steps[0],)], "url string"), edges, max_depth=None, max_pages=None)
+    new = spark.createDataFrame([(steps[30], "https://a.com/new"), (steps[39], steps[0])], "src string, dst string")
+    walked = []
+    real = crawl.join_side
+    monkeypatch.setattr(crawl, "join_side", lambda df: (walked.append(df.count()), real(df))[1])
+    got = crawl.resume_crawl(state, new, edges.unionByName(new)).collect()
+    assert {(r.url, r.depth) for r in got} == {*((u, i) for i, u in enumerate(steps)), ("https://a.com/new", 31)}
+    assert sum(walked) <= 2
+
+
+def test_resume_without_news_and_stored_states(spark):
+    edges = spark.createDataFrame([("https://a.com/1", "https://a.com/2")], "src string, dst string")
+    state = crawl.crawl_bfs(spark.createDataFrame([("https://a.com/1",)], "url string"), edges)
+    same = crawl.resume_crawl(state, edges.limit(0), edges)
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, state.collect()))
+    fetches = spark.createDataFrame([("https://a.com/1", None), ("https://a.com/1", "boom")], "url string, error string")
+    rows = {r.url: r.status for r in crawl.crawl_state(state, fetches).collect()}
+    assert rows == {"https://a.com/1": "fetched", "https://a.com/2": "pending"}

@@ -1,3 +1,4 @@
+import hashlib
 import re
 from datetime import datetime
 
@@ -7,6 +8,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from sitegraph.functions import text, vectors
+from sitegraph.operators import cells as learnt
 from sitegraph.operators import chunks, search
 
 
@@ -49,7 +51,8 @@ def collected(df, chunk=False):
 
 @pytest.mark.parametrize("block_values", [4_000_000, 40])
 def test_batch_equals_brute_force(spark, monkeypatch, block_values):
-    monkeypatch.setattr(search, "BLOCK_VALUES", block_values)  # 40: several blocks of queries
+    monkeypatch.setattr(search, "BLOCK_VALUES", block_values)  # 40: several blocks of queries and of vectors
+    monkeypatch.setattr(search, "BROADCAST_VALUES", min(block_values, search.BROADCAST_VALUES))
     rows = made(60, copies=30)
     found = collected(search.search_batch(as_queries(spark, rows[:12]), as_pages(spark, rows), 5))
     assert found == cosine_hits([(i, v) for i, _, v in rows[:12]], rows, 5)
@@ -98,6 +101,85 @@ def test_approximate_search(spark, tmp_path, capsys):
     assert re.search(r"PartitionFilters: \[[^\]]*cell", capsys.readouterr().out)
 
 
+def test_many_queries_meet_the_vectors_in_the_tasks(spark, monkeypatch, tmp_path):
+    """Beyond one block no query comes to the driver, and the plan does not grow with the number of blocks."""
+    rows = made(90, copies=60, seed=4)
+    queries, pages = as_queries(spark, rows[:40]), as_pages(spark, rows)
+    monkeypatch.setattr(search, "BROADCAST_VALUES", 0)
+    plans = []
+    for block_values in (10_000, 24):
+        monkeypatch.setattr(search, "BLOCK_VALUES", block_values)
+        found = search.search_batch(queries, pages, 5)
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+        assert collected(found) == cosine_hits([(i, v) for i, _, v in rows[:40]], rows, 5)
+    assert all(plan.count("FlatMapCoGroupsInArrow") == 1 and "Union" not in plan for plan in plans)
+    cells = search.Cells(bits=5, radius=2)
+    search.write_index(pages, str(tmp_path / "index"), cells)
+    near = collected(search.search_approx(queries, spark.read.parquet(str(tmp_path / "index")), 3, cells))
+    assert near == collected(search.search_approx(queries, pages, 3, cells))
+    monkeypatch.setattr(search, "BROADCAST_VALUES", 1_000_000)
+    assert near == collected(search.search_approx(queries, pages, 3, cells))
+
+
+def clustered(n, centres, seed=0):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, 8)) * 3
+    return [(i, 0, (middle[i % centres] + rng.normal(size=8)).tolist()) for i in range(n)]
+
+
+def plain_cells(rows, k, rounds):
+    """k-means in whole numbers over all rows, each against each centroid."""
+    points = {i: np.floor(np.array(v) / np.linalg.norm(v) * learnt.SCALE).astype(int) for i, _, v in rows}
+    order = sorted(points, key=lambda i: (int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16), i))
+    centroids = [points[i] for i in order[:k]]
+    for _ in range(rounds):
+        groups = {}
+        for p in points.values():
+            groups.setdefault(int(np.argmin([((p - c) ** 2).sum() for c in centroids])), []).append(p)
+        for c, members in groups.items():
+            centroids[c] = np.sum(members, axis=0) // len(members)
+    return np.array(centroids)
+
+
+def test_learnt_cells_are_those_of_a_plain_run(spark):
+    rows = clustered(150, 9)
+    got = learnt.train_cells(as_pages(spark, rows), cells=12, rounds=4)
+    assert (got.centroids.astype(int) == plain_cells(rows, 12, 4)).all()
+
+
+def test_search_by_learnt_cells(spark, tmp_path, monkeypatch):
+    rows = clustered(600, 20, seed=2)
+    # A third of all rows are one vector, and some have no direction.
+    rows += [(1000 + i, 0, rows[7][2]) for i in range(300)] + [(2000, 0, None), (2001, 0, [0.0] * 8), (2002, 0, [float("nan")] * 8)]
+    pages, queries = as_pages(spark, rows), as_queries(spark, rows[:100])
+    learnt.write_cell_index(pages, str(tmp_path / "index"))
+    index = learnt.read_cell_index(spark, str(tmp_path / "index"))
+    assert len(index.cells.centroids) == round(3 * 900**0.5) and index.lists.count() == 2 * 900
+    usable = [r for r in rows if r[0] < 2000]
+    exact = cosine_hits([(i, v) for i, _, v in rows[:100]], usable, 5)
+    every = learnt.search_cells(queries, index, 5, probes=len(index.cells.centroids))
+    assert collected(every) == exact
+    monkeypatch.setattr(search, "BLOCK_VALUES", 160)  # the hot cell is cut into blocks of 20 vectors
+    near = collected(learnt.search_cells(queries, index, 5))
+    found = sum(len({h[0] for h in near.get(i, [])} & {h[0] for h in exact[i]}) for i in exact)
+    assert found / (5 * len(exact)) > 0.9
+    pairs = learnt.compared_pairs(queries, index).first()[0]
+    assert pairs < 0.25 * 100 * 900
+    none = spark.createDataFrame([(1, [0.0] * 8)], "query_id long, query_vector array<double>")
+    assert learnt.search_cells(none, index, 5).collect() == []
+    with pytest.raises(ValueError, match="no vector"):
+        learnt.train_cells(pages.where("page_id >= 2000"))
+
+
+def test_a_sample_trains_the_cells(spark, monkeypatch):
+    monkeypatch.setattr(learnt, "SAMPLE_PER_CELL", 8)
+    rows = clustered(2000, 10, seed=5)
+    few = learnt.train_cells(as_pages(spark, rows), cells=10)
+    share = 10 * 8 / 2000
+    kept = [r for r in rows if int(hashlib.md5(str(r[0]).encode()).hexdigest()[:8], 16) / 2**32 <= share]
+    assert 30 < len(kept) < 150 and (few.centroids.astype(int) == plain_cells(kept, 10, learnt.ROUNDS)).all()
+
+
 def test_format_hits(spark):
     pages = spark.createDataFrame([(1, "https://a.com/x/title", "t" * 400), (2, "https://a.com/", "s")], "page_id long, url string, clean_text string")
     hits = spark.createDataFrame([(7, 1, 1, 0.98765), (7, 2, 2, 0.5)], "query_id long, rank int, page_id long, score double")
@@ -178,3 +260,11 @@ def test_unusable_queries_and_vectors(spark, tmp_path):
             search.search_batch(spark.createDataFrame(rows, "query_id long, query_vector array<double>"), pages)
     search.write_index(pages, str(tmp_path / "index"))
     assert spark.read.parquet(str(tmp_path / "index")).count() == 1
+
+
+def test_vectors_that_are_null_set_nothing(spark):
+    pages = spark.createDataFrame([("u", [1.0], datetime(2024, 1, 1))], "url string, page_vector array<float>, embedded_at timestamp")
+    rows = spark.createDataFrame([("u", [2.0], datetime(2024, 2, 1)), ("u", None, datetime(2024, 3, 1))], "url string, page_vector array<float>, embedded_at timestamp")
+    assert [tuple(r) for r in chunks.attach_page_vectors(pages, rows).collect()] == [("u", [2.0], datetime(2024, 2, 1))]
+    nothing = chunks.attach_page_vectors(pages, rows.where("page_vector IS NULL")).collect()
+    assert [tuple(r) for r in nothing] == [("u", [1.0], datetime(2024, 1, 1))]

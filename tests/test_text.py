@@ -1,12 +1,13 @@
 import random
 import re
 import time
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
 from sitegraph import rules
-from sitegraph.functions import html, text
+from sitegraph.functions import html, html_tree, text
 from sitegraph.operators import pages
 
 
@@ -127,6 +128,16 @@ def test_metadata(spark):
     assert [r.fields and r.fields.k for r in rows] == [1, None, None, None, 2]
 
 
+def test_free_metadata(spark):
+    rows = [('{"page_type":"blog","a":{"b":[1,{"c":"x"}]},"n":1.5}',), ("[1,2]",), ("{bad",), (None,), ("",), ('"text"',), ("{}",), ('{"page_type":7}',)]
+    found = pages.page_metadata_free(spark.createDataFrame(rows, "metadata string"))
+    got = found.select("page_type", "keys", F.try_variant_get("free", "$.a.b[1].c", "string").alias("c"), F.col("free").isNull().alias("lost"), F.to_json("free").alias("whole")).collect()
+    assert [r.page_type for r in got] == ["blog", "other", "other", "other", "other", "other", "other", "7"]
+    assert [r["keys"] for r in got] == [["a", "n", "page_type"], [], [], [], [], [], [], ["page_type"]]
+    assert got[0].c == "x" and [r.lost for r in got] == [False, False, True, True, True, False, False, False]
+    assert got[0].whole == '{"a":{"b":[1,{"c":"x"}]},"n":1.5,"page_type":"blog"}'
+
+
 PIECES = ["<nav>", "<nav ", "</nav>", "</NAV >", "<!--", "-->", "<table>", "</table>", "<div class='ad'>", "<div>", "</div>", "text ", "\n", " ", ">",
           "<p>", "<b", "İ", "<script", "</script>", "<", "<navx>"]
 
@@ -174,3 +185,68 @@ def test_time_grows_with_the_text(spark, unit):
 def test_entities(spark):
     page = "<title>Caf&eacute; &times; M&uuml;ller &rarr; &#000000065; &#x0041; &amp;lt; &#38;lt; &bogus; &amp x&nbsp;y &#xD800;</title>"
     assert run(spark, page, html.html_title) == "Café × Müller → A A &lt; &lt; &bogus; &amp x\xa0y &#xD800;".replace("\xa0", "\xa0")
+
+
+class Plain(HTMLParser):
+    """The same rule by the standard library's parser, as a tree of elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.stack, self.parts = [], []
+
+    def handle_starttag(self, tag, attributes):
+        if tag in html_tree.BLOCKS and not any(d for _, d in self.stack):
+            self.parts.append("\n")
+        if tag not in html_tree.VOID:
+            self.stack.append((tag, tag in html_tree.DROPPED or (tag == "div" and (dict(attributes).get("class") or "").strip().lower() == "ad")))
+
+    def handle_endtag(self, tag):
+        if tag in [name for name, _ in self.stack]:
+            while self.stack.pop()[0] != tag:
+                pass
+        if tag in html_tree.BLOCKS and not any(d for _, d in self.stack):
+            self.parts.append("\n")
+
+    def put(self, value):
+        if not any(d for _, d in self.stack):
+            self.parts.append(" ".join(re.split(r"\s+", value)))
+
+    handle_data = put
+
+    def handle_entityref(self, name):
+        self.put({"amp": "&", "lt": "<"}.get(name, f"&{name};"))
+
+
+def plain_tree(page):
+    parser = Plain()
+    parser.feed(page)
+    parser.close()
+    return "\n".join(line for line in (" ".join(part.split()) for part in "".join(parser.parts).split("\n")) if line)
+
+
+def test_tree_text_of_nested_and_unclosed_blocks(spark):
+    pages_of = {
+        "<div class='ad'>x<div>inner</div>still ad</div>kept": "kept",
+        "<table><tr><td><table><tr><td>a</td></tr></table>b</td></tr></table><p>c": "c",
+        "<div><nav>open<p>gone</div>after": "after", "<nav>all is gone": "", "a</nav>b": "ab", "<p>1 < 2 and 3 > 2": "1 < 2 and 3 > 2",
+        "<script>if (a<b) x='<p>';</script>y": "y", "<style>p{}": "", "a<!-- <nav> -->b<!-- open": "ab", "<DIV CLASS=\"ad\">x</DIV>y<br/>z": "y\nz",
+        "<form>a<form>b</form>c</form>d &amp;lt; &bogus;": "d &lt; &bogus;", "<h2>T</h2>\u0130<P>x": "T\n\u0130\nx",
+    }
+    frame = spark.createDataFrame([*((p,) for p in pages_of), (None,)], "h string")
+    got = {r.h: r.t for r in frame.select("h", html_tree.main_text_tree(F.col("h")).alias("t")).collect()}
+    assert got == {**pages_of, None: None}
+
+
+def test_tree_text_as_a_plain_parser_has_it():
+    draw = random.Random(8)
+    pieces = ["<nav>", "</nav>", "<table>", "</table>", "<div class='ad'>", "<div>", "</div>", "text ", "\n", "<p>", "</p>", "<br>", "<form>", "</form>", "&amp;", "<b>", "</b>", "<!-- x -->", "word", "<li>"]
+    for _ in range(4000):
+        page = "".join(draw.choices(pieces, k=draw.randint(1, 30)))
+        assert html_tree.tree_text(page) == plain_tree(page), page
+
+
+@pytest.mark.parametrize("unit", ["<nav>", "<!-- ", "<p ", "<", "</div>", "<div>", "<script>", "&amp;", "<a></b>"])
+def test_tree_text_is_linear(unit):
+    start = time.perf_counter()
+    html_tree.tree_text(unit * (2_000_000 // len(unit)))
+    assert time.perf_counter() - start < 20
