@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from functools import reduce
 from html.entities import html5
 from string import ascii_lowercase, ascii_uppercase
 
@@ -78,38 +77,41 @@ def _without_blocks(page: Column) -> Column:
     An opening tag behind the last closing one of its name opens no block. Such tags are marked first, tag by
     tag, so the one pass over the page never looks for an end that is not there: linear in the page.
     """
-    opens = [("<!--", "-->", "(?=!--)")] + [(f"<{tag}", f"</{tag}", rf"(?={tag}[\s/>])") for tag in DROPPED_TAGS] + [("<div", "</div", r"(?=div\s)")]
-    marked = reduce(lambda value, tag: _mark_unclosed(value, *tag), opens, page)
+    rows = [("<!--", "-->", "(?=!--)")] + [(f"<{tag}", f"</{tag}", rf"(?={tag}[\s/>])") for tag in DROPPED_TAGS] + [("<div", "</div", r"(?=div\s)")]
+    # One expression for all tags, so that the plan stays small.
+    tags = F.array(*[F.struct(*[F.lit(part).alias(name) for name, part in zip(("start", "end", "ahead"), row)]) for row in rows])
     # Most pages close all they open: one look at the lowered page spares them the marks.
-    unclosed = let(F.lower(page), lambda low: reduce(Column.__or__, [_is_unclosed(low, *tag) for tag in opens]))
+    unclosed = let(F.lower(page), lambda low: F.exists(tags, lambda tag: _is_unclosed(low, tag["start"], tag["end"], tag["ahead"])))
+    marked = F.aggregate(tags, page, lambda value, tag: let(value, lambda text: _marked(text, tag["start"], tag["end"], tag["ahead"])))
     dropped = F.regexp_replace(F.when(unclosed, marked).otherwise(page), DROPPED_BLOCKS, "")
     return F.replace(dropped, F.lit(CLOSED), F.lit(""))
 
 
-def _is_unclosed(low: Column, start: str, end: str, ahead: str) -> Column:
-    """Whether an opening tag stands behind the last closing one of its name."""
+def _after_last(text: Column, end: Column) -> Column:
+    """What stands behind the last ``end``; the whole text if there is none."""
+    return F.call_function("substring_index", text, end, F.lit(-1))
 
-    def opens(value: Column) -> Column:
-        return F.contains(value, F.lit(start)) & F.rlike(value, F.lit(f"<{ahead}"))
 
-    # Without an end the whole page is looked at, as the tail is the page then.
-    return F.contains(low, F.lit(start)) & let(F.substring_index(low, end, -1), opens)
+def _is_unclosed(low: Column, start: Column, end: Column, ahead: Column) -> Column:
+    """Whether an opening tag stands behind the last closing one of its name."""
 
+    def opens(tail: Column) -> Column:
+        return F.contains(tail, start) & F.rlike(tail, F.concat(F.lit("<"), ahead))
 
-def _mark_unclosed(page: Column, start: str, end: str, ahead: str) -> Column:
-    return let(page, lambda value: _marked(value, start, end, ahead))
+    return F.contains(low, start) & let(_after_last(low, end), opens)
 
 
-def _marked(page: Column, start: str, end: str, ahead: str) -> Column:
+def _marked(page: Column, start: Column, end: Column, ahead: Column) -> Column:
     # Only ASCII letters are lowered, so that places stay the same.
     low = F.translate(page, ascii_uppercase, ascii_lowercase)
     # From here on there is no end; a longer name that starts alike only makes the marked part shorter.
-    tail = F.when(F.contains(low, F.lit(end)), F.char_length(F.substring_index(low, end, -1))).otherwise(F.char_length(page))
-    marked = F.concat(
-        F.substring(page, F.lit(1), F.char_length(page) - tail),
-        F.regexp_replace(F.substring(page, F.char_length(page) - tail + 1, tail), f"(?i)<{ahead}", f"<{CLOSED}"),
-    )
-    return F.when(F.contains(F.substring(low, F.char_length(page) - tail + 1, tail), F.lit(start)), marked).otherwise(page)
+    tail = F.char_length(_after_last(low, end))
+
+    def with_marks(size: Column) -> Column:
+        behind = F.regexp_replace(F.substring(page, F.char_length(page) - size + 1, size), F.concat(F.lit("(?i)<"), ahead), F.lit(f"<{CLOSED}"))
+        return F.concat(F.substring(page, F.lit(1), F.char_length(page) - size), behind)
+
+    return F.when(F.contains(low, start), let(tail, with_marks)).otherwise(page)
 
 
 def main_text(html: Column) -> Column:

@@ -44,15 +44,20 @@ def _replace(text: Column, step: tuple[str, ...]) -> Column:
     pattern, replacement, *literal = step
 
     def replaced(value: Column) -> Column:
+        plain = F.regexp_replace(value, F.lit(to_java(pattern)), F.lit(replacement.replace("\\1", "$1")))
         if pattern.startswith(r"^\s*"):
-            return _replace_at_line_starts(value, pattern.removeprefix(r"^\s*"), replacement)
-        return F.regexp_replace(value, F.lit(to_java(pattern)), F.lit(replacement.replace("\\1", "$1")))
+            marked = _replace_at_line_starts(value, pattern.removeprefix(r"^\s*"), replacement)
+            return F.when(F.rlike(value, F.lit(f"[{BLANKS}]{{{LONG_RUN}}}")), marked).otherwise(plain)
+        return plain
 
     if not literal:
-        return replaced(text)
+        return let(text, replaced) if pattern.startswith(r"^\s*") else replaced(text)
     return let(text, lambda value: F.when(F.contains(value, F.lit(literal[0])), replaced(value)).otherwise(value))
 
 
+# Up to so many blanks in a row, reading a run again from each of its lines is still linear in the text, and cheaper than marks.
+LONG_RUN = 64
+
 # Two characters that no text holds.
 MARK, INDENTED = "\uffff", "\ufffe"
 

@@ -159,7 +159,7 @@ def test_broken_pages_as_the_patterns_say(spark):
 
 def test_markdown_as_the_patterns_say(spark):
     draw = random.Random(5)
-    made = ["".join(draw.choices(["- ", "* ", "1. ", "> ", "\n", " ", "x", "12.", "-", "\n\n", "+ ", "a b", "# "], k=draw.randint(1, 20))) for _ in range(3000)]
+    made = ["".join(draw.choices(["\n" * text.LONG_RUN, " " * text.LONG_RUN, "- ", "* ", "1. ", "> ", "\n", " ", "x", "12.", "-", "\n\n", "+ ", "a b", "# "], k=draw.randint(1, 20))) for _ in range(3000)]
     rows = spark.createDataFrame([(m,) for m in made], "m string").select("m", text.markdown_to_text(F.col("m")).alias("t")).collect()
 
     def plain(value):
