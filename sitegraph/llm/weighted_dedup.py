@@ -40,7 +40,7 @@ RARE = 16
 # While more pairs are left for each candidate text, another round of stars is cheaper than comparing them.
 PAIRS_PER_CANDIDATE = 16
 # Bytes of shingles that a task remembers while it verifies pairs, and pairs that it looks at together.
-HELD_BYTES, STEP_PAIRS = 64 << 20, 64
+HELD_BYTES, STEP_PAIRS = 8 << 20, 64
 # Sums of weights may differ by this much with their order.
 SLACK = 1e-6
 
