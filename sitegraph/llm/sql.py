@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from sitegraph.llm import spaced_seeds as seeds
-from sitegraph.llm.license_rules import CUES, RULES, SENTENCES
-from sitegraph.llm.license_scan import sentence_pattern
+from sitegraph.llm import license_scan as licenses
+from sitegraph.llm.license_rules import CUES, LAST, PLAIN_NAMES, RULES, SENTENCES
 
 
 def quoted(text: str) -> str:
@@ -12,30 +12,53 @@ def quoted(text: str) -> str:
 
 
 def license_scan() -> str:
-    cue = "(?i)(" + "|".join(cue.replace(".", "\\.") for cue in CUES) + ")"
-    known = " ".join(f"WHEN regexp_full_match(n, {quoted(sentence_pattern(text)[1:-1])}) THEN {quoted(name)}" for name, text in SENTENCES)
-    steps = ["""s0 AS (SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS l, []::VARCHAR[] AS f FROM ids)"""]
-    for k, (name, sequence) in enumerate(RULES):
-        wanted = quoted("".join(f" {part} " for part in sequence))
-        steps.append(
-            f"s{k + 1} AS (SELECT doc_id, ids, replace(l, {wanted}, ' | ') AS l, "
-            f"CASE WHEN contains(l, {wanted}) THEN list_append(f, {quoted(name)}) ELSE f END AS f FROM s{k})"
-        )
+    normal = "l"
+    for pattern, new in licenses.NORMAL:
+        normal = f"regexp_replace({normal}, {quoted(pattern)}, {quoted(new)}, 'g')"
+    version, later = f" (?:{licenses.VERSION}) ", f" (?:{licenses.LATER}) $"
+
+    def looked_up(keys: dict[str, str], key: str) -> str:
+        return f"CASE {key} " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in keys.items()) + " END"
+
+    def version_of(part: str) -> str:
+        major, minor = (f"regexp_extract({part}, {quoted(licenses.NUMBER)}, {i})" for i in (1, 2))
+        return f"CASE WHEN {major} = '' THEN '' ELSE {major} || '.' || CASE WHEN {minor} = '' THEN '0' ELSE {minor} END END"
+
+    plain = looked_up({key: family for key, family in licenses.name_keys().items() if family in PLAIN_NAMES}, "n")
+    core = f"regexp_replace(n, {quoted(f' (?:{licenses.LATER}|only) $')}, '')"
+    family = looked_up(licenses.name_keys(), f"regexp_replace({core}, {quoted(version + '$')}, '')")
+    number = version_of(f"regexp_extract({core}, {quoted(version + '$')}, 0)")
+    suffix = f"CASE WHEN regexp_matches(n, {quoted(later)}) THEN '-or-later' WHEN regexp_matches(n, ' only $') THEN '-only' ELSE '' END"
+    name = f"coalesce({plain}, {family} || CASE WHEN {number} = '' THEN '' ELSE '-' || {number} END || {suffix})"
+    key = looked_up(licenses.sentence_keys(SENTENCES), f"regexp_replace(p, {quoted(version)}, ' # ', 'g')")
+    part = f"""CASE WHEN {key} IS NOT NULL THEN [replace({key}, '#', {version_of('p')})]
+               ELSE list_transform(regexp_extract_all(p, {quoted(f" {licenses.name_pattern()} ")}), lambda n: {name}) END"""
+    matched = "' ' || array_to_string(ids, '  ') || ' '"
+    for rule, sequence in RULES:
+        matched = f"replace({matched}, {quoted(''.join(f' {x} ' for x in sequence))}, {quoted(f' |{rule}| ')})"
+    cue = "|".join(c.replace(" ", "  ") for c in CUES)
     return f"""
-    WITH spots AS (
-      SELECT doc_id, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '[.!?;]\\s', '\\0' || chr(10), 'g'), '\\s*[\\r\\n]+[\\s*#/>-]*'),
-                                 lambda s: regexp_matches(s, {quoted(cue)})) AS s
-      FROM documents
-    ), normal AS (
-      SELECT doc_id, list_transform(s, lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS ns FROM spots
+    WITH low AS (SELECT doc_id, lower(coalesce(text, '')) AS l FROM documents),
+    sentences AS (
+      SELECT doc_id, CASE WHEN regexp_matches(l, {quoted(licenses.cue_pattern(SENTENCES))})
+                     THEN list_transform(string_split({normal}, '|'), lambda s: ' ' || trim(s) || ' ') ELSE []::VARCHAR[] END AS ss
+      FROM low
+    ), parts AS (
+      SELECT doc_id, list_transform(ss, lambda s: {{'cue': regexp_matches(s, {quoted(cue)}), 'ps': regexp_extract_all(s, {quoted(licenses.known_pattern(SENTENCES))})}}) AS ss
+      FROM sentences
+    ), named AS (
+      SELECT doc_id, list_transform(ss, lambda s: {{'cue': s.cue, 'ids': flatten(list_transform(s.ps, lambda p: {part}))}}) AS ss FROM parts
     ), ids AS (
-      SELECT doc_id, list_transform(ns, lambda n: CASE {known} ELSE '?' END) AS ids
-      FROM normal
-    ), {", ".join(steps)}
+      SELECT doc_id, flatten(list_transform(ss, lambda s: CASE WHEN len(s.ids) > 0 THEN s.ids WHEN s.cue THEN ['?'] ELSE []::VARCHAR[] END)) AS ids FROM named
+    ), matched AS (
+      SELECT doc_id, ids, list_filter(string_split(CASE WHEN len(ids) > 0 THEN {matched} ELSE '' END, ' '), lambda p: p <> '') AS items FROM ids
+    ), found AS (
+      SELECT *, list_distinct(list_transform(list_filter(items, lambda p: starts_with(p, '|')), lambda p: replace(p, '|', ''))) AS f FROM matched
+    )
     SELECT doc_id, array_to_string(ids, ',') AS sentence_ids,
-           array_to_string(list_sort(list_distinct(f)), ',') AS licenses,
-           CAST(len(list_filter(string_split(l, ' '), lambda p: p <> '' AND p <> '|')) AS BIGINT) AS n_unmatched
-    FROM s{len(RULES)}
+           array_to_string(list_sort(list_filter(f, lambda x: len(f) = 1 OR x <> {quoted(LAST)})), ',') AS licenses,
+           CAST(len(list_filter(items, lambda p: NOT starts_with(p, '|'))) AS BIGINT) AS n_unmatched
+    FROM found
     """
 
 
