@@ -27,11 +27,14 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 # Bounds of the sample the field is trained on.
 SAMPLE_DOCUMENTS, SAMPLE_TOKENS = 5_000, 64
-# Tokens and digits of a number that is found again in another form.
-RUN_TOKENS, LEAST_DIGITS, MOST_DIGITS = 8, 7, 19
+# Digits of a number that is found again in another form, in however many pieces.
+LEAST_DIGITS, MOST_DIGITS = 7, 19
 # Potential of equal labels for occurrences of a whole number. It is fixed: patterns find each form of a number or none, so a
 # sample labelled by them cannot show that a number in another form is the same.
 SAME = 12.0
+# Graphs of a batch are taken together up to this many nodes; edges are worked on in blocks of this size.
+PACK_NODES = 65_536
+EDGE_BLOCK = 16_384
 CERTAIN = 0.9
 ROUNDS = 30
 
@@ -134,8 +137,8 @@ def span_keys(label: int, digits: str) -> set[str]:
 
 
 def repeated_edges(text: str, places: list[tuple[int, int]], over: list[tuple[int, int, int] | None], linked: set[int]) -> set[tuple[int, int]]:
-    """Edges between occurrences of the whole digits of card and phone spans: runs of up to ``RUN_TOKENS`` neighbouring
-    tokens outside of spans, and the spans themselves. Each node is linked with the occurrences before and after, along a path per key."""
+    """Edges between occurrences of the whole digits of card and phone spans: runs of neighbouring tokens
+    with digits outside of spans, up to ``MOST_DIGITS`` digits, and the spans themselves. Each node is linked with the occurrences before and after, along a path per key."""
     occurrences: dict[str, list[list[int]]] = {}
     of_span: dict[tuple[int, int, int], list[int]] = {}
     for i, span in enumerate(over):
@@ -148,10 +151,11 @@ def repeated_edges(text: str, places: list[tuple[int, int]], over: list[tuple[in
         return set()
     for i in range(len(places)):
         digits = ""
-        for j in range(i, min(len(places), i + RUN_TOKENS)):
-            if over[j] or (j > i and j not in linked) or len(digits) > MOST_DIGITS:
+        for j in range(i, len(places)):
+            more = "" if over[j] or (j > i and j not in linked) else NO_DIGIT.sub("", text[places[j][0] : places[j][1]])
+            if not more or len(digits) > MOST_DIGITS:
                 break
-            digits += NO_DIGIT.sub("", text[places[j][0] : places[j][1]])
+            digits += more
             # A number may be written with the zeros that stand for the country or the region.
             for key in {digits, digits.lstrip("0")}:
                 if key in occurrences:
@@ -209,7 +213,20 @@ class Field:
     skip: np.ndarray
 
     def marginals(self, graphs: list[Nodes]) -> np.ndarray:
-        """Marginals of all nodes, the graphs one after the other, by loopy message passing."""
+        """Marginals of all nodes, the graphs one after the other; those of a graph do not depend on the others."""
+        packs: list[list[Nodes]] = []
+        held = PACK_NODES
+        for graph in graphs:
+            held += len(graph.spans)
+            if held > PACK_NODES:
+                packs.append([])
+                held = len(graph.spans)
+            packs[-1].append(graph)
+        return np.concatenate([np.zeros((0, len(LABELS))), *map(self.marginals_of_pack, packs)])
+
+    def marginals_of_pack(self, graphs: list[Nodes]) -> np.ndarray:
+        """Loopy message passing on a few graphs at once. A graph rests once its own messages have settled. Messages are worked
+        out for ``EDGE_BLOCK`` edges at a time, so that only the messages themselves are held for all edges."""
         k = len(LABELS)
         offsets = np.cumsum([0] + [len(g.spans) for g in graphs])
         single = np.array([self.single[f].sum(axis=0) for g in graphs for f in g.features]).reshape(-1, k)
@@ -217,24 +234,43 @@ class Field:
         seen = np.flatnonzero(observed >= 0)
         single[seen] -= 50.0
         single[seen, observed[seen]] += 100.0
-        edges = [(a + at, b + at, kind) for g, at in zip(graphs, offsets) for kind, es in enumerate((g.chain, g.skip, g.same)) for a, b in es]
-        if edges:
-            a, b, kind = np.array(edges, dtype=np.int64).T
-            tables = np.stack([self.chain, self.skip, SAME * np.eye(k)])[kind]
-            source, target = np.concatenate([a, b]), np.concatenate([b, a])
-            tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
-            back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-            messages = np.zeros((len(source), k))
+        parts = [
+            (np.array(edges, dtype=np.int32).reshape(-1, 2) + np.int32(at), i, kind)
+            for i, (g, at) in enumerate(zip(graphs, offsets)) for kind, edges in enumerate((g.chain, g.skip, g.same)) if edges
+        ]
+        if parts:
+            ends = np.concatenate([part for part, _, _ in parts])
+            sizes = [len(part) for part, _, _ in parts]
+            # Edge e is walked from a to b as e, and from b to a as e + m.
+            m = len(ends)
+            kind = np.repeat(np.array([kind for _, _, kind in parts], dtype=np.int8), sizes)
+            graph = np.tile(np.repeat(np.array([i for _, i, _ in parts], dtype=np.int32), sizes), 2)
+            source, target = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
+            potentials = np.stack([self.chain, self.skip, SAME * np.eye(k)])
+            potentials = np.stack([potentials, potentials.transpose(0, 2, 1)])
+            messages, new = np.zeros((2 * m, k)), np.empty((2 * m, k))
+            active = np.arange(2 * m, dtype=np.int32)
             for _ in range(ROUNDS):
                 belief = single.copy()
-                np.add.at(belief, target, messages)
-                new = np.logaddexp.reduce((belief[source] - messages[back])[:, :, None] + tables, axis=1)
-                new -= new.max(axis=1, keepdims=True)
-                change = np.abs(new - messages).max()
-                messages = 0.5 * messages + 0.5 * new
-                if change < 1e-3:
+                for label in range(k):
+                    belief[:, label] += np.bincount(target, messages[:, label], minlength=len(belief))
+                change = np.zeros(len(graphs))
+                for at in range(0, len(active), EDGE_BLOCK):
+                    e = active[at : at + EDGE_BLOCK]
+                    back = np.where(e < m, e + m, e - m)
+                    tables = potentials[(e >= m).astype(np.int8), kind[np.minimum(e, back)]]
+                    out = np.logaddexp.reduce((belief[source[e]] - messages[back])[:, :, None] + tables, axis=1)
+                    out -= out.max(axis=1, keepdims=True)
+                    np.maximum.at(change, graph[e], np.abs(out - messages[e]).max(axis=1))
+                    new[e] = out
+                for at in range(0, len(active), EDGE_BLOCK):
+                    e = active[at : at + EDGE_BLOCK]
+                    messages[e] = 0.5 * messages[e] + 0.5 * new[e]
+                active = active[change[graph[active]] >= 1e-3]
+                if not len(active):
                     break
-            np.add.at(single, target, messages)
+            for label in range(k):
+                single[:, label] += np.bincount(target, messages[:, label], minlength=len(single))
         single -= single.max(axis=1, keepdims=True)
         np.exp(single, out=single)
         return single / single.sum(axis=1, keepdims=True)

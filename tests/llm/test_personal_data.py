@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -94,6 +95,27 @@ def test_marginals_of_trees_are_exact():
     assert np.allclose(field.marginals([nodes]), want, atol=1e-2)
 
 
+def test_graphs_do_not_change_each_other(field, monkeypatch):
+    texts = ["call +1 (743) 555-3824 or 743-555-3824", "1 2 3", "no. 17435553824 " * 40, "a@b.org and a@b.org", " ".join(map(str, range(900)))]
+    graphs = [pd_.nodes_of(t, pd_.base_spans(t)) for t in texts]
+    alone = np.concatenate([field.marginals([g]) for g in graphs])
+    assert np.allclose(field.marginals(graphs), alone, atol=1e-12)
+    monkeypatch.setattr(pd_, "PACK_NODES", 50)
+    monkeypatch.setattr(pd_, "EDGE_BLOCK", 7)
+    assert np.allclose(field.marginals(graphs), alone, atol=1e-12)
+    assert field.marginals([]).shape == (0, 5)
+
+
+def test_memory_of_a_text_of_numbers(field):
+    text = " ".join(str(i % 10_007) for i in range(200_000))
+    nodes = pd_.nodes_of(text, pd_.base_spans(text))
+    tracemalloc.start()
+    field.marginals([nodes])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 900 * len(nodes.spans)
+
+
 def test_documents(spark):
     rows = [(1, f"mail a.b@x.org or {CARD}, not {CARD_CUT}", "k"), (1, f"mail a.b@x.org or {CARD}, not {CARD_CUT}", "k"), (2, None, None), (3, "", "e"),
             (None, "call +1 (743) 555-3824", "p"), (4, "clean text 12", "c"), (5, "x" * 2_000_000 + "@" + "1." * 200_000, "long")]
