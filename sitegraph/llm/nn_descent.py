@@ -8,7 +8,7 @@
    one for all others, so that a dense group never fills the places of what lies beside it. Planes are drawn and lists
    refined again until no groups are joined any more.
 4. Inside a group the links are worked out exactly, in double precision, in blocks of rows, so a group of any size is
-   never gathered.
+   never gathered. Blocks follow the angle to a pivot: pairs of blocks that hold no link, or nothing but links, are not compared.
 5. Recall is audited: vectors drawn from groups of every size are compared with all others. While too few of their true
    links lie inside groups, more planes are drawn; a run that stays below ``RECALL`` fails.
 
@@ -35,7 +35,14 @@ MARGIN = 0.01
 NEIGHBOURS = 10
 GROUP = 64
 TREES = 3
-BLOCK = 256
+# Rows of a block of exact comparisons, members that a pivot is the mean of, steps in which angles (0 to 4) are counted.
+BLOCK = 1024
+PIVOT_OF = 8
+STEPS = 1 << 16
+# Angles are trusted up to this much; pairs nearer to a bound are compared.
+GUARD = 1e-6
+# The angle of a vector of a group whose drawn members have no mean: no two of them are near or apart by it.
+NO_PIVOT = 3.9
 # Lists are settled when less than this share of their entries is new.
 SETTLED = 0.01
 # Nodes audited of the groups of each size class, about.
@@ -207,12 +214,49 @@ def in_groups(lists: DataFrame, groups: DataFrame) -> DataFrame:
     return ends.select("src", "dst", "sim", (F.col("c_src") == F.col("c_dst")).alias("own"))
 
 
+def pivot_angles(members: DataFrame) -> DataFrame:
+    """``members`` (component, row, g, unit, copies) with ``angle``, that between the vector and a pivot of its group: the mean of
+    a few members drawn by a hash. Any pivot is right; one in the middle of a group leaves fewer pairs to compare."""
+    drawn = members.groupBy("component").agg(F.array(*[F.min_by("unit", F.xxhash64("row", F.lit(k))) for k in range(PIVOT_OF)]).alias("drawn"))
+    stored = write_stage(drawn, "pivots")
+
+    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(batch.num_rows)
+            for i, (unit, drawn) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())):
+                x = np.frombuffer(unit)
+                # A group key may stand for vectors of two lengths; those of another length do not link anyway.
+                pivot = sum((y for y in map(np.frombuffer, drawn) if len(y) == len(x)), np.zeros(len(x)))
+                size = np.sqrt(pivot @ pivot)
+                out[i] = np.arccos(np.clip(x @ pivot / size, -1.0, 1.0)) if size > 1e-6 else np.nan
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.where(np.isnan(out), NO_PIVOT, out))], ["component", "row", "g", "unit", "copies", "angle"])
+
+    placed = members.join(stored, "component").select("component", "row", "g", "unit", "copies", "drawn")
+    return placed.mapInArrow(angles, "component long, row long, g long, unit binary, copies long, angle double")
+
+
+def blocks_of(placed: DataFrame) -> DataFrame:
+    """``placed`` with ``block``: about ``BLOCK`` neighbours in the order of angles, without sorting a group in one place.
+
+    Angles are counted in steps; a step's rows start at the sum of the counts before it, and the rows of a full step are spread by
+    a hash. A group has at most ``STEPS`` counts, so their running sum is bounded."""
+    step = F.floor(F.col("angle") * (STEPS / 4)).cast("int")
+    counts = placed.groupBy("component", "g", step.alias("step")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("component").orderBy("g", "step").rowsBetween(Window.unboundedPreceding, -1)
+    starts = write_stage(counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))), "angle-steps")
+    spread = F.pmod(F.xxhash64("row", F.lit(3)), F.col("n"))
+    joined = placed.withColumn("step", step).join(starts, ["component", "g", "step"])
+    return joined.withColumn("block", F.floor((F.col("start") + spread) / BLOCK).cast("int")).drop("step", "n", "start")
+
+
 def exact_links(vectors: DataFrame, groups: DataFrame, cosine: float) -> DataFrame:
     """(row, n_links, root) per node and block pair of the candidate ``groups`` (node, component); only nodes with links.
     ``n_links`` counts the copies of the other nodes.
 
-    A group is cut into blocks, and each pair of blocks is compared in one place; ``root`` is the smallest row that the
-    links of this pair of blocks lead to.
+    A group is cut into blocks by the angle to its pivot. By the triangle inequality two blocks hold no link if their angles are
+    too far apart, and nothing but links if their largest angles sum up to less than the threshold: those are counted without a
+    comparison. All other pairs of blocks are compared, each in one place. ``root`` is the smallest row that the links of
+    this pair of blocks lead to.
     """
 
     def compare(table: pa.Table) -> Iterator[tuple]:
@@ -241,14 +285,36 @@ def exact_links(vectors: DataFrame, groups: DataFrame, cosine: float) -> DataFra
         for rows, counts, roots in by_group(batches, 3, compare):
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(counts.astype(np.int64)), pa.array(roots)], ["row", "n_links", "root"])
 
-    sizes = write_stage(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "candidate-sizes")
-    placed = groups.withColumnRenamed("node", "row").join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "row"
+    members = groups.withColumnRenamed("node", "row").join(vectors.select("row", "g", "unit", "copies"), "row").select("component", "row", "g", "unit", "copies")
+    placed = write_stage(blocks_of(write_stage(pivot_angles(write_stage(members, "candidates")), "candidate-angles")), "candidate-blocks")
+    limit = float(np.arccos(cosine))
+    bounds = placed.groupBy("component", "block").agg(
+        F.min("angle").alias("low"), F.max("angle").alias("high"), F.sum("copies").alias("copies"), F.min("row").alias("least"),
+        F.min("g").alias("g"), (F.min("g") == F.max("g")).alias("one"),
+        (F.min(F.octet_length("unit")) == F.max(F.octet_length("unit"))).alias("even"), F.min(F.octet_length("unit")).alias("size"),
+    )
+    bounds = write_stage(bounds, "candidate-bounds")
+    a, b = bounds.alias("a"), bounds.alias("b")
+    # Two blocks may meet if their ranges of angles come near enough; without a pivot a group's angles say nothing.
+    apart = F.abs(F.greatest("a.low", "b.low") - F.least("a.high", "b.high"))
+    near = (F.least("a.high", "b.high") >= F.greatest("a.low", "b.low")) | (apart <= limit + GUARD)
+    alike = F.col("a.one") & F.col("b.one") & (F.col("a.g") == F.col("b.g")) & F.col("a.even") & F.col("b.even") & (F.col("a.size") == F.col("b.size"))
+    pairs = a.join(b, F.col("a.component") == F.col("b.component")).where(near).select(
+        F.col("a.component").alias("component"), F.col("a.block").alias("block"), F.col("b.block").alias("other"),
+        (alike & (F.col("a.high") + F.col("b.high") < limit - GUARD)).alias("all"), F.col("b.copies").alias("others"), F.col("b.least").alias("least"), F.col("a.least").alias("own_least"),
     )
-    full = paired.join(vectors.select("row", "g", "unit", "copies"), "row").select("component", "first", "second", "block", "row", "g", "unit", "copies")
+    pairs = write_stage(pairs, "block-pairs")
+    itself = F.max(F.when(F.col("block") == F.col("other"), 1).otherwise(0))
+    whole = pairs.where("all").groupBy("component", "block").agg(F.sum("others").alias("others"), itself.alias("itself"), F.min("own_least").alias("least"))
+    # All rows of a block that is linked as a whole are joined, by the rows that they share as neighbours.
+    counted = placed.select("component", "block", "row", "copies").join(whole, ["component", "block"]).select(
+        "row", (F.col("others") - F.col("copies") * F.col("itself")).alias("n_links"), F.col("least").alias("root")
+    ).where("n_links > 0")
+    met = pairs.where("all AND block < other").select(F.col("own_least").alias("row"), F.lit(0).cast("long").alias("n_links"), F.col("least").alias("root"))
+    open_pairs = pairs.where("NOT all").select("component", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    full = placed.join(open_pairs, ["component", "block"]).select("component", "first", "second", "block", "row", "g", "unit", "copies")
     grouped = full.repartition("component", "first", "second").sortWithinPartitions("component", "first", "second", "row")
-    return grouped.mapInArrow(run, "row long, n_links long, root long")
+    return counted.unionByName(met).unionByName(grouped.mapInArrow(run, "row long, n_links long, root long"))
 
 
 def audited_recall(vectors: DataFrame, members: DataFrame, cosine: float) -> float:

@@ -94,3 +94,50 @@ def test_low_recall_fails_the_run(spark, vectors, monkeypatch):
     frame = spark.createDataFrame(vectors[:40], "vec_id long, embedding array<float>, label int")
     with pytest.raises(RuntimeError, match="recall"):
         nn_descent.embedding_duplicates(frame)
+
+
+@pytest.mark.parametrize("spread", [0.005, 0.014, 0.03])
+def test_blocks_are_cut_by_angle(spark, monkeypatch, spread):
+    """Small blocks: some are linked as a whole, some are too far apart, some are compared."""
+    monkeypatch.setattr(nn_descent, "BLOCK", 16)
+    draw = np.random.default_rng(3)
+    line = np.linspace(0, 1.2, 300)[:, None]
+    start, end = np.linalg.qr(draw.normal(size=(24, 2)))[0].T
+    x = np.cos(line) * start + np.sin(line) * end + draw.normal(size=(300, 24)) * spread
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    copies = draw.integers(1, 4, 300)
+    vectors = spark.createDataFrame([(*row, int(n)) for row, n in zip(units_of(x), copies)], "row long, g long, unit binary, copies long").repartition(3)
+    groups = vectors.select(F.col("row").alias("node"), F.lit(0).cast("long").alias("component"))
+    parts = nn_descent.exact_links(vectors, groups, nn_descent.COSINE).collect()
+    linked = x @ x.T >= nn_descent.COSINE
+    np.fill_diagonal(linked, False)
+    got, near = np.zeros(300, dtype=int), list(range(300))
+
+    def top(i):
+        while near[i] != i:
+            i = near[i]
+        return i
+
+    for part in parts:
+        got[part.row] += part.n_links
+        near[max(top(part.row), top(part.root))] = min(top(part.row), top(part.root))
+    assert (got == linked @ copies).all()
+    reach = np.linalg.matrix_power(np.eye(300) + linked > 0, 1)
+    while True:
+        wider = (reach.astype(float) @ reach) > 0
+        if (wider == reach).all():
+            break
+        reach = wider
+    assert [top(i) for i in range(300)] == reach.argmax(axis=1).tolist()
+
+
+def test_a_dense_group_is_counted_without_comparing_all_blocks(spark):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=24) + draw.normal(size=(20_000, 24)) * 0.01
+    vectors = spark.createDataFrame([(*row, 1) for row in units_of(x)], "row long, g long, unit binary, copies long").repartition(4)
+    groups = vectors.select(F.col("row").alias("node"), F.lit(0).cast("long").alias("component"))
+    parts = nn_descent.exact_links(vectors, groups, nn_descent.COSINE)
+    rows = parts.groupBy("row").agg(F.sum("n_links").alias("n")).agg(F.count("*"), F.min("n"), F.max("n")).first()
+    assert tuple(rows) == (20_000, 19_999, 19_999)
+    # One row per vector and one per pair of blocks: nothing was compared, so no vector was written again.
+    assert parts.count() <= 20_000 + 21 * 21
