@@ -1,13 +1,14 @@
 """A continuous feed of captures with its state in Spark's own store: what is written does not depend on what is stored.
 
 The stream keeps a narrow state per canonical URL (the page's id, the time and checksums of its newest capture, the time of its last
-change) and appends one page row for each URL that a micro-batch brings something newer of. Spark's file sink commits each
+change), keyed by buckets of URLs, and appends one page row for each URL that a micro-batch brings something newer of. Spark's file sink commits each
 micro-batch once, and the state goes back with it, so a replay gives the same rows. Readers take the newest row of a URL.
 Chunks with vectors are a second stream over the appended pages.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,9 +25,11 @@ from sitegraph.operators.changes import dated_documents
 from sitegraph.sources.captures import load_fetches
 
 BODY = ["title", "clean_text", "raw_html", "markdown", "metadata", "page_type"]
-# Times are microseconds, so that no time zone has a say in them.
-STATE = "page_id long, seen long, checksum string, metadata_checksum string, changed long"
-ROWS = "page_id long, url string, title string, clean_text string, raw_html string, markdown string, metadata string, page_type string, checksum string, metadata_checksum string, changed long, seen long, content_changed boolean"
+# Groups of the keyed state, and rows of a bucket that are given at once.
+BUCKETS, OUT_ROWS = 1 << 12, 1024
+# Per URL (page_id, seen, checksum, metadata_checksum, changed), as JSON. Times are microseconds, so that no time zone has a say in them.
+STATE = "urls string"
+ROWS = "url string, page_id long, seen long, changed long, content_changed boolean, texts array<string>"
 CHUNKS = "page_url string, page_id long, chunk_index int, text string, vec array<float>, changed timestamp"
 
 
@@ -37,43 +40,64 @@ def documents_of(captures: DataFrame) -> DataFrame:
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Takes the captures of one URL in time order, as ``changes.upsert_pages`` does, and gives the page row if one is newer.
+    """Takes the captures of a bucket's URLs in time order, as ``changes.upsert_pages`` does, and gives the page row of each URL that
+    has a newer one.
 
-    Of the captures narrow columns are held, and the body of the newest one only.
+    Of the captures narrow columns are held, and the body of the newest one of a URL only.
     """
-    page_id, seen, checksum, metadata_checksum, changed = state.get if state.exists else (None, None, None, None, None)
-    narrow, newest, body = [], None, None
+    stored = json.loads(state.get[0]) if state.exists else {}
+    narrow, newest, texts = {}, {}, {}
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            if seen is not None and row.seen <= seen:
+        for url, page_id, seen, found in zip(batch["url"], batch["page_id"].tolist(), batch["seen"].tolist(), batch["texts"]):
+            if url in stored and seen <= stored[url][1]:
                 continue
-            place = (row.seen, row.checksum, row.metadata_checksum)
-            narrow.append((*place, row.page_id))
-            if newest is None or (place, row.body_hash) > newest:
-                newest, body = (place, row.body_hash), row
-    if body is None:
+            place = (seen, *found[:3])
+            narrow.setdefault(url, []).append((*place[:3], page_id))
+            if url not in newest or place > newest[url]:
+                newest[url], texts[url] = place, found
+    if not newest:
         return
-    narrow.sort()
-    if page_id is None:
-        page_id = int(narrow[0][3])
-    before = changed
-    for time, found, _, _ in narrow:
-        if found != checksum:
-            checksum, changed = found, int(time)
-    seen, metadata_checksum = int(newest[0][0]), newest[0][2]
-    state.update((page_id, seen, checksum, metadata_checksum, changed))
-    yield pd.DataFrame([[page_id, key[0], *[getattr(body, name) for name in BODY], checksum, metadata_checksum, changed, seen, changed != before]], columns=[part.split()[0] for part in ROWS.split(", ")])
-
-
-def changed_pages(captures: DataFrame, to_documents: Callable[[DataFrame], DataFrame] = documents_of) -> DataFrame:
+    for url, rows in narrow.items():
+        rows.sort()
+        page_id, _, checksum, _, before = stored.get(url, (rows[0][3], None, None, None, None))
+        changed = before
+        for time, found, _, _ in rows:
+            if found != checksum:
+                checksum, changed = found, time
+        seen, _, metadata_checksum, _ = newest[url]
+        stored[url] = (page_id, seen, checksum, metadata_checksum, changed)
+        narrow[url] = changed != before
+    state.update((json.dumps(stored, ensure_ascii=False),))
+    urls_ = list(newest)
+    for at in range(0, len(urls_), OUT_ROWS):
+        some = urls_[at : at + OUT_ROWS]
+        kept = [stored[url] for url in some]
+        yield pd.DataFrame({
+            "url": some, "page_id": [k[0] for k in kept], "seen": [k[1] for k in kept], "changed": [k[4] for k in kept],
+            "content_changed": [narrow[url] for url in some], "texts": [list(texts[url]) for url in some],
+        })
+
+
+def changed_pages(captures: DataFrame, to_documents: Callable[[DataFrame], DataFrame] = documents_of, buckets: int = BUCKETS) -> DataFrame:
     """A stream of page rows (those of the page store without vectors, and ``content_changed``), one per URL and micro-batch with
-    a newer capture of it. Content has changed if any of those captures has another text than the one before it."""
+    a newer capture of it. Content has changed if any of those captures has another text than the one before it.
+
+    URLs are keyed in ``buckets`` groups by hash, as a group costs far more than a row: the state of a bucket is that of its URLs. The
+    number belongs to the checkpoint; another one needs a new checkpoint and table.
+    """
     documents = dated_documents(to_documents(captures))
     rest = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("")) for c in ("raw_html", "markdown", "title")]), 256)
-    rows = documents.select("page_id", "url", *BODY, "checksum", "metadata_checksum", F.unix_micros("fetched_at").alias("seen"), rest.alias("body_hash"))
-    folded = rows.groupBy("url").applyInPandasWithState(_fold, ROWS, STATE, "append", GroupStateTimeout.NoTimeout)
-    kept = [c for c in folded.columns if c not in ("changed", "seen")]
-    return folded.select(*kept, F.timestamp_micros("changed").alias("markdown_changed"), F.timestamp_micros("seen").alias("last_seen"))
+    rows = documents.select(
+        F.pmod(F.xxhash64("url"), F.lit(buckets)).alias("bucket"), "url", F.col("page_id").cast("long").alias("page_id"),
+        F.unix_micros("fetched_at").alias("seen"), F.array("checksum", "metadata_checksum", rest, *BODY).alias("texts"),
+    )
+    folded = rows.groupBy("bucket").applyInPandasWithState(_fold, ROWS, STATE, "append", GroupStateTimeout.NoTimeout)
+    # ``texts`` starts with the two checksums and the hash of the body.
+    kept = {name: F.col("texts")[i] for name, i in zip(("checksum", "metadata_checksum", *BODY), (0, 1, *range(3, 3 + len(BODY))))}
+    return folded.select(
+        "page_id", "url", *[kept[c].alias(c) for c in (*BODY, "checksum", "metadata_checksum")], "content_changed",
+        F.timestamp_micros("changed").alias("markdown_changed"), F.timestamp_micros("seen").alias("last_seen"),
+    )
 
 
 def changed_chunks(pages: DataFrame, encoder: Encoder | None = None, chunker: chunk_ops.Chunker = text.token_chunks, max_tokens: int = rules.CHUNK_TOKENS) -> DataFrame:

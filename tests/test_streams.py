@@ -144,3 +144,20 @@ def test_what_is_written_does_not_depend_on_what_is_stored(spark, tmp_path):
         written[size] = sum(p.stat().st_size for p in Path(base / "out").glob("*.parquet") if p not in before)
         assert states.current_pages(appended).count() == size and appended.count() == size + 100
     assert written[5000] < 1.2 * written[200]
+
+
+def test_state_is_kept_for_buckets_of_urls(spark, tmp_path):
+    """A group of the keyed state costs far more than a row, so there are as many as buckets, not as URLs."""
+    made = [(f"https://a.com/{i % 150}", f"text {i // 150} of page {i % 150}", i) for i in range(300)] + [("https://a.com/none", None, 1)]
+    for half in (made[:200], made[200:]):
+        captures(spark, half).write.mode("append").parquet(str(tmp_path / "feed"))
+        stream = states.changed_pages(cap.stream_captures(spark, str(tmp_path / "feed")), buckets=4)
+        query = states.append(stream, str(tmp_path / "out"), str(tmp_path / "progress"))
+        query.awaitTermination()
+        assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    current = {r.url: r for r in states.current_pages(rows).collect()}
+    assert len(current) == 151 and current["https://a.com/7"].markdown == "text 1 of page 7"
+    assert current["https://a.com/7"].page_id == 7 and current["https://a.com/none"].clean_text == ""
+    # 150 URLs of the first part (50 of them twice), 100 of the second.
+    assert rows.count() == 251
