@@ -227,6 +227,23 @@ def test_encoders(spark):
     assert with_null.filter("t is null").select(lengths(F.col("t")).alias("v")).first().v is None
 
 
+def test_encoder_looks_each_word_up(spark):
+    """One look-up per token in Arrow batches; the blanks are those of ``text.words``, and vectors those of a plain count."""
+    blanks = "".join(chr(c) for c in range(0x3100) if chr(c).isspace())
+    texts = [None, "", blanks, blanks.join(["a", "b", "a\u200bc", "é😀", "\ufeff"]), " ".join(str(i % 97) for i in range(5000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    made = df.select("i", vectors.hash_encoder(16)(F.col("t")).alias("v"), text.words(F.col("t")).alias("words"))
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()
+    for row in made.collect():
+        if texts[row.i] is None:
+            assert row.v is None
+            continue
+        counts = np.zeros(16)
+        for word in row.words:
+            counts[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 16] += 1
+        assert row.words == texts[row.i].split() and row.v == (counts / (np.linalg.norm(counts) or 1.0)).tolist()
+
+
 def test_mean_and_unit_vectors(spark):
     df = spark.createDataFrame([("p", 0, [0.1, 0.2]), ("p", 1, [0.3, 0.4]), ("p", 2, [0.5, 0.6])], "page_url string, chunk_index int, vec array<float>")
     row = chunks.mean_page_vectors(df).first()
