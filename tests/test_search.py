@@ -121,6 +121,45 @@ def test_many_queries_meet_the_vectors_in_the_tasks(spark, monkeypatch, tmp_path
     assert near == collected(search.search_approx(queries, pages, 3, cells))
 
 
+def test_a_stored_index_is_searched_by_blocks(spark, monkeypatch, tmp_path):
+    """The cells of a stored index are read as another type than those of the queries: what is near must still meet where partitions stay apart."""
+    rows = made(300, copies=10, seed=6)
+    queries, pages = as_queries(spark, rows), as_pages(spark, rows)
+    cells = search.Cells(bits=5, radius=2)
+    search.write_index(pages, str(tmp_path / "index"), cells)
+    index = spark.read.parquet(str(tmp_path / "index"))
+    wanted = collected(search.search_approx(queries, index, 3, cells))
+    monkeypatch.setattr(search, "BROADCAST_VALUES", 0)
+    monkeypatch.setattr(search, "BLOCK_VALUES", 1200)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert collected(search.search_approx(queries, index, 3, cells)) == wanted
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_hits_order_only_what_may_be_new():
+    """Of equal scores at the floor only smaller pages go in, and each page counts once: as a plain search finds it."""
+    rng = np.random.default_rng(5)
+    block = search.unit_rows(np.vstack([rng.integers(0, 3, (40, 6)).astype(float), np.zeros((2, 6))]))
+    found = search.unit_rows(rng.integers(0, 3, (900, 6)).astype(float))
+    pages, parts = rng.permutation(np.arange(900) // 3), np.arange(900) % 7
+    hits, taken = search._Hits(block, 4), []
+    monitored = hits._take
+    hits._take = lambda q, *rest: (taken.append(len(q)), monitored(q, *rest))
+    for at in range(0, 900, 100):
+        hits.add(np.arange(42), pages[at : at + 100], parts[at : at + 100], found[at : at + 100])
+    exact = np.round(block @ found.T, search.ORDER_DIGITS)
+    got = list(zip(*(c.to_pylist() for c in hits.rows(np.arange(42)))))
+    for query in range(42):
+        best = {}
+        for page, chunk, score in zip(pages.tolist(), parts.tolist(), exact[query].tolist()):
+            best[page] = min(best.get(page, (9.0, 0)), (-score, chunk))
+        wanted = sorted((score, page, chunk) for page, (score, chunk) in best.items())[:4]
+        assert [(-place, page, chunk) for q, page, chunk, _, place in got if q == query] == wanted
+    assert sum(taken) < 42 * 900
+
+
 def clustered(n, centres, seed=0):
     rng = np.random.default_rng(seed)
     middle = rng.normal(size=(centres, 8)) * 3
