@@ -250,3 +250,14 @@ def test_tree_text_is_linear(unit):
     start = time.perf_counter()
     html_tree.tree_text(unit * (2_000_000 // len(unit)))
     assert time.perf_counter() - start < 20
+
+
+def test_tree_text_is_made_in_small_steps(spark, monkeypatch):
+    """A batch of pages is worked through in steps, whose number does not show in the result."""
+    pages = [None, "", "no tag"] + [f"<p>page {i}</p><nav>gone</nav><p>end" for i in range(20)]
+    frame = spark.createDataFrame(list(enumerate(pages)), "i int, h string").coalesce(1)
+    for held in (1, 7, 64):
+        monkeypatch.setattr(html_tree, "HELD_PAGES", held)
+        got = dict(frame.select("i", html_tree.main_text_tree(F.col("h")).alias("t")).collect())
+        assert [got[i] for i in range(23)] == [None, "", "no tag"] + [f"page {i}\nend" for i in range(20)]
+    assert frame.where("i < 0").select(html_tree.main_text_tree(F.col("h"))).collect() == []
