@@ -11,7 +11,8 @@
    bucket meet its leader, the text that shares the most bands with others. What stars leave open are pairs of one
    bucket in different components of the links found so far. Of these, pairs go by exact bounds if what a member shares
    with others at all, or a pair by common shingles alone, weighs too little for a link; pairs with a rare shingle
-   in both are listed by it. The rest is verified one by one. So a group of similar copies costs about one comparison
+   in both are listed by it. What two members have in common is bounded part by part, the shingles being dealt into
+   ``PARTS`` by hash: copies with edits in different places do not pass. The rest is verified one by one. So a group of similar copies costs about one comparison
    each, and no link that could change a component is left out.
 5. The class of a document is the connected component of its node.
 """
@@ -37,6 +38,8 @@ TABLE_BITS = 16
 STAR_ROUNDS = 4
 # Shingles of at most so many open members name the pairs that have them.
 RARE = 16
+# Parts that shingles are dealt into by hash, to bound what two texts share (a power of two).
+PARTS = 64
 # While more pairs are left for each candidate text, another round of stars is cheaper than comparing them.
 PAIRS_PER_CANDIDATE = 16
 # Bytes of shingles that a task remembers while it verifies pairs, and pairs that it looks at together.
@@ -253,14 +256,23 @@ def near_duplicate_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, text
         return links
     # What the open members have in common decides which of them can still be linked, by exact bounds.
     spread = write_stage(rare_shingles(open_.select("node", "component").distinct(), texts, idf), "rare-shingles")
-    kinds = spread.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("own").alias("own"), F.sum("rare").alias("rare"))
+    kinds = spread.where("b IS NULL").groupBy(F.col("a").alias("node"), "part").agg(F.sum("own").alias("own"), F.sum("rare").alias("rare"))
+    kinds = kinds.groupBy("node").agg(
+        F.sum("own").alias("own"), F.sum("rare").alias("rare"),
+        # At most one entry per part.
+        F.map_from_entries(F.collect_list(F.struct("part", (F.col("own") + F.col("rare")).alias("few")))).alias("few"),
+    )
     kinds = write_stage(kinds, "rare-weights")
     open_nodes = sized_side(write_stage(open_.select("node").distinct(), "open-names"))
     all_bands = write_stage(nodes.select("node", "bands").join(open_nodes, "node", "left_semi"), "open-bands")
-    alive = open_.drop("component").join(kinds, "node", "left").join(all_bands, "node")
+    # Weights of the common shingles of each part: of all, less what the node has alone or with few.
+    common_parts = F.transform("parts", lambda total, at: total - F.coalesce(F.try_element_at("few", at), F.lit(0.0)))
+    parts = write_stage(part_weights(texts.join(open_nodes, "node", "left_semi"), idf), "open-parts")
+    parts = write_stage(parts.join(kinds.select("node", "few"), "node", "left").select("node", common_parts.alias("parts")), "common-parts")
+    alive = open_.drop("component").join(kinds.drop("few"), "node", "left").join(all_bands, "node").join(parts, "node")
     alive = alive.withColumn("shared", F.col("weight") - F.coalesce("own", F.lit(0.0))).withColumn("common", F.col("shared") - F.coalesce("rare", F.lit(0.0)))
     alive = write_stage(alive.where(F.col("shared") >= similarity * F.col("weight") - SLACK), "open-members")
-    who = write_stage(alive.select("node", "weight", "shared").distinct(), "open-nodes")
+    who = write_stage(alive.select("node", "weight", "shared", "common", "parts").dropDuplicates(["node"]), "open-nodes")
     for turn in range(1, STAR_ROUNDS + 1):
         open_, _ = open_buckets(alive, components, led=False)
         rest = write_stage(remaining_pairs(open_, who, spread, tested, near, similarity), "other-pairs")
@@ -280,33 +292,36 @@ def joined(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 def remaining_pairs(open_: DataFrame, who: DataFrame, spread: DataFrame, tested: DataFrame, near: Column, similarity: float) -> DataFrame:
     """Pairs (a, b) of one bucket and different components that may still be links: members outside the largest
     component of their bucket with members of other components. A pair without a rare shingle in both can only be
-    linked by common ones; pairs with one are listed by it."""
+    linked by common ones; pairs with one are listed by it, and share at most the smaller weight of such ones besides."""
     sizes = open_.groupBy("band", "component").agg(F.count("*").alias("n"))
     main = write_stage(sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m")).select("band", F.col("m.component").alias("main")), "main")
-    outside = write_stage(open_.join(main, "band").where("component <> main").select("band", "node", "weight", "common", "component", "bands", "main"), "outside")
-    others = open_.select("band", *[F.col(c).alias(f"other_{c}") for c in ("weight", "common", "component", "bands")], F.col("node").alias("other"))
+    outside = write_stage(open_.join(main, "band").where("component <> main").select("band", "node", "weight", "common", "component", "bands", "parts", "main"), "outside")
+    others = open_.select("band", *[F.col(c).alias(f"other_{c}") for c in ("weight", "common", "component", "bands", "parts")], F.col("node").alias("other"))
     needed = similarity / (1 + similarity) * (F.col("weight") + F.col("other_weight")) - SLACK
+    # No pair shares more common shingles of a part than the one with less of them has.
+    least = F.aggregate(F.zip_with("parts", "other_parts", lambda x, y: F.least(x, y)), F.lit(0.0), lambda total, x: total + x)
     by_common = outside.join(others, "band").where(
         (F.col("component") != F.col("other_component")) & ((F.col("other_component") == F.col("main")) | (F.col("node") > F.col("other")))
         & near & (F.least("common", "other_common") >= needed)
         # A pair is made in the first of the buckets that it shares, not in all of them.
-        & (F.col("band") == F.array_min(F.array_intersect("bands", "other_bands")))
+        & (F.col("band") == F.array_min(F.array_intersect("bands", "other_bands"))) & (least >= needed)
     ).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
     by_rare = (
         spread.where("b IS NOT NULL").select("a", "b").distinct()
-        .join(who.select(F.col("node").alias("a"), "weight", "shared"), "a")
-        .join(who.select(F.col("node").alias("b"), F.col("weight").alias("other_weight"), F.col("shared").alias("other_shared")), "b")
-        .where(near & (F.least("shared", "other_shared") >= needed)).select("a", "b")
+        .join(who.withColumnRenamed("node", "a"), "a")
+        .join(who.select(F.col("node").alias("b"), *[F.col(c).alias(f"other_{c}") for c in ("weight", "shared", "common", "parts")]), "b")
+        .where(near & (F.least("shared", "other_shared") >= needed))
+        .where(least + F.least(F.col("shared") - F.col("common"), F.col("other_shared") - F.col("other_common")) >= needed).select("a", "b")
     )
     done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     return by_common.unionByName(by_rare).distinct().join(done, ["a", "b"], "left_anti")
 
 
 def rare_shingles(nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(a, b, own, rare): what the shingles say that at most ``RARE`` of the ``nodes`` (node, component) have.
+    """(a, b, part, own, rare): what the shingles say that at most ``RARE`` of the ``nodes`` (node, component) have.
 
-    Rows with a null ``b`` hold for a node the weight of shingles that are its own alone, and of those it shares
-    with few others; a node may have several, and none where all its shingles are common. The other rows are pairs
+    Rows with a null ``b`` hold for a node and a part the weight of shingles that are its own alone, and of those it shares
+    with few others; a node may have several for a part, and none where all its shingles there are common. The other rows are pairs
     a > b of different components that share a rare shingle. A shingle of very many nodes sends at most ``RARE + 1`` rows per
     block of texts, which is enough to know it as common.
     """
@@ -345,7 +360,25 @@ def rare_shingles(nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFr
 
     some = texts.join(sized_side(write_stage(nodes, "nodes-to-compare")), "node").select("node", "component", "text")
     every = some.mapInArrow(shingles, "shingle long, node long, component long, weight double")
-    return every.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(compare, "a long, b long, own double, rare double")
+    return every.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(compare, "a long, b long, part int, own double, rare double")
+
+
+def part_of(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles) % np.uint64(PARTS)).astype(np.int64)
+
+
+def part_weights(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(node, parts) of ``texts`` (node, text): the weight of the shingles of each part."""
+    table = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, weigh = WordHasher(), Weights(table.value)
+        for batch in batches:
+            found = [weigh.of(words) for words in hasher.each(batch.column(1).to_pylist())]
+            sums = [np.bincount(part_of(shingles), each, minlength=PARTS) for shingles, each in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.list_(pa.float64()))], ["node", "parts"])
+
+    return texts.select("node", "text").mapInArrow(weights, "node long, parts array<double>")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -355,16 +388,18 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 def _rare_rows(keys: np.ndarray, nodes: np.ndarray, components: np.ndarray, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The result rows of whole runs of equal shingles."""
-    names = ["a", "b", "own", "rare"]
+    names = ["a", "b", "part", "own", "rare"]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
     size = np.repeat(sizes, sizes)
     few = size <= RARE
     if few.any():
         who, at = np.unique(nodes[few], return_inverse=True)
+        places, at = np.unique(at * PARTS + part_of(keys[few].view(np.uint64)), return_inverse=True)
         own = np.bincount(at, weights[few] * (size[few] == 1))
         rare = np.bincount(at, weights[few] * (size[few] > 1))
-        yield pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(own), pa.array(rare)], names)
+        columns = [pa.array(who[places // PARTS]), pa.nulls(len(places), pa.int64()), pa.array(places % PARTS, pa.int32()), pa.array(own), pa.array(rare)]
+        yield pa.RecordBatch.from_arrays(columns, names)
     pairs = []
     for n in range(2, RARE + 1):
         runs = starts[sizes == n][:, None] + np.arange(n)
@@ -375,7 +410,7 @@ def _rare_rows(keys: np.ndarray, nodes: np.ndarray, components: np.ndarray, weig
     found = np.unique(np.concatenate(pairs), axis=0)
     if len(found):
         nothing = pa.nulls(len(found), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), nothing, nothing], names)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), pa.nulls(len(found), pa.int32()), nothing, nothing], names)
 
 
 def open_buckets(members: DataFrame, components: DataFrame, led: bool = True) -> tuple[DataFrame, int]:

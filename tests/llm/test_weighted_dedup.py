@@ -99,3 +99,37 @@ def test_long_text(spark):
     words = prose(3, 200_000)
     frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-50])), (3, " ".join(words[:1000]))], "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in wd.near_duplicate_classes(frame).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_copies_with_edits_in_different_places_are_not_compared_pair_by_pair(spark, monkeypatch):
+    base, docs = prose(77, 300), []
+    for i in range(300):
+        draw, words = random.Random(i), list(base)
+        for at in draw.sample(range(300), 4):
+            words[at] = f"e{draw.randrange(10**6)}"
+        docs += [(2 * i, " ".join(words))] + [(2 * i + 1, " ".join(words[:-2]))] * (i % 10 == 0)
+    made, write = {}, wd.write_stage
+
+    def counted(df, name, *args, **kwargs):
+        stored = write(df, name, *args, **kwargs)
+        made.setdefault(name, []).append(stored.count() if name.startswith("other-") else 0)
+        return stored
+
+    monkeypatch.setattr(wd, "write_stage", counted)
+    got = {r.doc_id: r.class_id for r in wd.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(made["other-pairs"]) <= 2 * sum(made["other-links"]) + 10 * len(docs)
+    want, near = plain_classes(docs)
+    close = {x for a, b, s in near if abs(s - wd.SIMILARITY) < 0.01 for x in (a, b)}
+    assert sum(got[d] != want[d] for d in want if d not in close) == 0
+
+
+def test_weights_of_parts():
+    shingles = wd.mix(wd.np.arange(1, 500, dtype=wd.np.uint64))
+    weights = wd.np.linspace(1, 2, len(shingles))
+    at = wd.part_of(shingles)
+    assert at.min() >= 0 and at.max() < wd.PARTS
+    keys, nodes = wd.np.sort(shingles.view(wd.np.int64)), wd.np.zeros(len(shingles), wd.np.int64)
+    rows = wd.pa.Table.from_batches(wd._rare_rows(keys, nodes, nodes, weights)).to_pylist()
+    assert len({r["part"] for r in rows}) == len(rows) and all(r["a"] == 0 and r["rare"] == 0 for r in rows)
+    sums = wd.np.bincount(wd.part_of(keys.view(wd.np.uint64)), weights, minlength=wd.PARTS)
+    assert all(abs(r["own"] - sums[r["part"]]) < 1e-9 for r in rows)
