@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegraph.session import join_side
+from sitegraph.session import join_side, sized_side
 
 # Columns of the page store, in order.
 PAGE_STORE = (
@@ -129,15 +131,24 @@ def _newest_captures(documents: DataFrame) -> DataFrame:
     return alike.groupBy("url").agg(F.max(F.struct(*key, "n")).alias("newest"), F.min(F.struct(*key, "page_id"))["page_id"].alias("first_id"))
 
 
-def _newest_documents(documents: DataFrame, newest: DataFrame) -> DataFrame:
-    """The newest document of every URL. Older page bodies are filtered out before any shuffle of bodies."""
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"n.newest.{c}")) for c in ("fetched_at", "checksum", "metadata_checksum")]
-    found = documents.alias("d").join(newest.alias("n"), [F.col("d.url") == F.col("n.url"), *same])
-    one, several = (found.filter(f"n.newest.n {test} 1").select("d.*", "n.first_id") for test in ("=", ">"))
+def _newest_documents(documents: DataFrame, newest: DataFrame, add_known: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The newest document of every URL with what ``add_known`` adds to rows (url, time): older page bodies are filtered out
+    before any shuffle of bodies.
+
+    What is known of a URL meets on narrow rows first, so its body is joined, and beyond the broadcast bounds shuffled, once. Captures
+    that cannot be told apart are joined by themselves: they are few, so all bodies are not shuffled for them again.
+    """
+    def found(side: DataFrame) -> DataFrame:
+        same = [F.col(f"d.{c}").eqNullSafe(F.col(f"n.newest.{c}")) for c in ("fetched_at", "checksum", "metadata_checksum")]
+        added = [F.col(f"n.{c}") for c in side.columns if c not in ("url", "newest")]
+        return documents.alias("d").join(side.alias("n"), [F.col("d.url") == F.col("n.url"), *same]).select("d.*", *added)
+
+    one = found(add_known(newest.filter("newest.n = 1"), "newest.fetched_at"))
+    several = found(sized_side(newest.filter("newest.n > 1")))
     # Captures alike in time and checksums may still differ in what the checksums leave out: the largest hash of it stays.
     rest = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("")) for c in ("raw_html", "markdown", "title")]), 256)
     kept = several.groupBy(F.col("url").alias("url_")).agg(F.max_by(F.struct(*several.columns), rest).alias("row_"))
-    return one.unionByName(kept.select("row_.*"))
+    return one.unionByName(add_known(kept.select("row_.*"), "fetched_at"))
 
 
 def _refresh_rows(store: DataFrame, documents: DataFrame, newest: DataFrame) -> DataFrame:
@@ -153,17 +164,20 @@ def _refresh_rows(store: DataFrame, documents: DataFrame, newest: DataFrame) ->
             "embedded_at",
         ).join(newest, "url", "left_semi")
     )
-    is_newer = F.col("prior_seen").isNull() | (F.col("fetched_at") > F.col("prior_seen"))
+
+    def is_newer(seen: str) -> Column:
+        return F.col("prior_seen").isNull() | (F.col(seen) > F.col("prior_seen"))
 
     # The change times need every capture but narrow columns only; page bodies are read for the newest captures.
     narrow = documents.select("url", "fetched_at", "checksum", "metadata_checksum")
     state = prior.select("url", "prior_checksum", "prior_seen")
-    changes = _last_change(narrow.join(state, "url", "left").filter(is_newer))
+    changes = _last_change(narrow.join(state, "url", "left").filter(is_newer("fetched_at")))
+
+    def add_known(rows: DataFrame, seen: str) -> DataFrame:
+        return rows.join(prior.drop("prior_checksum"), "url", "left").filter(is_newer(seen)).drop("prior_seen").join(changes, "url", "left")
+
     return (
-        _newest_documents(documents, newest)
-        .join(prior, "url", "left")
-        .filter(is_newer)
-        .join(changes, "url", "left")
+        _newest_documents(documents, newest, add_known)
         # A page keeps the id it was first stored with.
         .withColumn("page_id", F.coalesce("prior_id", "first_id"))
         .withColumn("markdown_changed", F.coalesce("changed_at", "prior_changed"))

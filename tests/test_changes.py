@@ -173,3 +173,37 @@ def test_store_bucket_that_became_empty(spark, tmp_path):
     page_store.write_version(rows.filter("false"), path, "url", touched, 4)
     assert page_store.read_store(spark, path, schema).collect() == []
     assert page_store.read_store(spark, path, schema, buckets=[0]).schema == schema
+
+
+def shuffled_rows(node, column):
+    """Rows that the exchanges of a finished plan wrote with a column."""
+    kind = node.nodeName()
+    below = [node.executedPlan()] if kind == "AdaptiveSparkPlan" else [node.plan()] if kind.endswith("QueryStage") else []
+    children = node.children()
+    below += [children.apply(i) for i in range(children.size())]
+    own = kind == "Exchange" and column in node.output().mkString(",")
+    return (node.metrics().apply("shuffleRecordsWritten").value() if own else 0) + sum(shuffled_rows(child, column) for child in below)
+
+
+def test_upsert_joins_page_bodies_once(spark, monkeypatch):
+    """Also where nothing is small enough to be broadcast."""
+    from sitegraph import session
+
+    day = datetime(2024, 5, 1)
+    docs = [(i, f"https://a.org/{i % 40}", "t", f"text {i}", "<p>", f"body {i}", "{}", "page", f"c{i}", f"m{i % 3}", day + timedelta(minutes=i)) for i in range(80)]
+    docs.append((99, "https://a.org/1", "t", "text 41", "<p>", "body other", "{}", "page", "c41", "m2", day + timedelta(minutes=41)))
+    names = "page_id long, url string, title string, clean_text string, raw_html string, markdown string, metadata string, page_type string, checksum string, metadata_checksum string, fetched_at timestamp"
+    documents = session.write_stage(spark.createDataFrame(docs, names), "documents")
+    store = spark.createDataFrame([], changes.PAGE_STORE)
+    wanted = sorted(map(str, changes.upsert_pages(store, documents).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # Tables of up to two rows stay small: the captures that cannot be told apart.
+        monkeypatch.setattr(session, "BROADCAST_ROWS", 2)
+        result = changes.upsert_pages(store, documents)
+        assert sorted(map(str, result.collect())) == wanted
+        rows = shuffled_rows(result._jdf.queryExecution().executedPlan(), "raw_html")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < rows <= len(docs) + 2
+    assert len(wanted) == 40
