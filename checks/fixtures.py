@@ -90,6 +90,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_stage(links.page_edges(load_fetches(captures(spark, sf_dir))), "edges")
 
 
+def edges_in_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edge table with ``early``, whether the page belongs to the half that a first crawl knows; stored in two parts."""
+    found = links.page_edges(load_fetches(captures(spark, sf_dir)))
+    return write_stage(found.withColumn("early", F.substring(F.md5("src"), 1, 1) < "8"), "edges", parted_by="early")
+
+
 def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored URLs with their page id."""
     return links.duplicate_urls(captures(spark, sf_dir).select("page_id", "url")).select(

@@ -409,11 +409,10 @@ def stream_state_chunks(spark, sf):
 
 def crawl_resume(spark, sf):
     """A crawl over half of the pages' links, then resumed with the other half, as a fresh crawl over all would find it."""
-    edges = fx.edges(spark, sf)
-    early = F.substring(F.md5("src"), 1, 1) < "8"
-    first = write_stage(edges.where(early), "first-edges")
+    halves = fx.edges_in_halves(spark, sf)
+    first, new = (halves.where(part).drop("early") for part in (F.col("early"), ~F.col("early")))
     state = write_stage(crawl.crawl_bfs(fx.seeds(spark, sf), first, max_depth=None, max_pages=None), "crawl-state")
-    return crawl.resume_crawl(state, write_stage(edges.where(~early), "new-edges"), edges)
+    return crawl.resume_crawl(state, new, halves.drop("early"))
 
 
 def crawl_states(spark, sf):

@@ -19,6 +19,10 @@ URL = rf"(?s)^({SCHEME})?(//[^/?#]*)?([^?#]*)(\?[^#]*)?"
 
 CONTROL_OR_SPACE = "".join(map(chr, range(33)))
 
+# An absolute URL that is its own canonical form but for a leading "www." and a last slash: lower-case site, plain
+# non-empty segments, neither query nor fragment.
+PLAIN = r"\Ahttps?://(?:www\.)?+[a-z0-9.:-]++(?:/[A-Za-z0-9._~-]++)*+/?\z"
+
 
 def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, URL, group)
@@ -68,7 +72,25 @@ def canonical_query(query: Column) -> Column:
 def canonical_url(raw: Column) -> Column:
     """One spelling per page: lower-case site without ``www.``, ordered query, no fragment, no
     trailing slash."""
-    return let(clean_url(raw), _canonical)
+    return let(raw, lambda url: _if_plain(url, let(clean_url(url), _canonical)))
+
+
+def canonical_target(base: Column, href: Column) -> Column:
+    """``canonical_url`` of ``resolve``, which most absolute links do not need."""
+    return let(href, lambda ref: _if_plain(ref, let(clean_url(resolve(base, ref)), _canonical)))
+
+
+def _if_plain(url: Column, otherwise: Column) -> Column:
+    """A plain URL without ``www.`` and last slash, found with one pattern; any other takes the long way."""
+    plain = F.rlike(url, F.lit(PLAIN))
+    short = reduce(
+        lambda rest, scheme: F.when(
+            F.startswith(url, F.lit(f"{scheme}www.")), F.concat(F.lit(scheme), F.substring(url, len(scheme) + 5, 2**31 - 1))
+        ).otherwise(rest),
+        rules.CRAWLABLE_PREFIXES,
+        url,
+    )
+    return F.when(plain, F.rtrim(short, F.lit("/"))).otherwise(otherwise)
 
 
 def _canonical(url: Column) -> Column:

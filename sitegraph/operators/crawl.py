@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitegraph import rules
 from sitegraph.functions import urls
-from sitegraph.session import cut_lineage, join_side, sized_side
+from sitegraph.session import cut_lineage, join_side, sized_side, write_stage
 
 STATE = ["seed", "url", "depth"]
 # So many levels are united before what was seen becomes one checkpoint, so that deep walks keep small plans.
@@ -96,29 +96,33 @@ def resume_crawl(
         first = first.where(F.col("depth") <= max_depth)
     waiting = cut_lineage(_improving(first.groupBy("seed", "url").agg(F.min("depth").alias("depth")), state))
     improved = level = waiting.limit(0)
+    walked = False
     starts = sorted(row["depth"] for row in waiting.select("depth").distinct().collect())  # depths, not URLs
     depth = starts[0] if starts else None
     rounds = 0
     while depth is not None:
-        found = waiting.where(F.col("depth") == depth)
-        if rounds:
-            source = join_side(level.select("seed", F.col("url").alias("src")))
-            found = found.unionByName(edges.join(source, "src").select("seed", F.col("dst").alias("url"), F.lit(depth).alias("depth")))
+        found = waiting.where(F.col("depth") == depth).select("seed", "url")
+        if walked:
+            source = sized_side(level.select("seed", F.col("url").alias("src")))
+            found = found.unionByName(edges.join(source, "src").select("seed", F.col("dst").alias("url")))
+        # Without the depth, so that the rows stay where the joins on seed and URL need them.
         found = found.distinct().join(improved.select("seed", "url"), ["seed", "url"], "left_anti")
-        level = cut_lineage(_improving(found, state))
-        improved = improved.unionByName(level)
+        level = write_stage(_improving(found.withColumn("depth", F.lit(depth)), state), "level", keep=True)
+        walked = not level.isEmpty()
+        if walked:
+            improved = improved.unionByName(level)
         rounds += 1
         if rounds % LEVELS_IN_PLAN == 0:
             improved = cut_lineage(improved)
         later = [start for start in starts if start > depth]
-        if not level.isEmpty():
+        if walked:
             depth += 1
         else:
             depth = later[0] if later else None
         if depth is not None and max_depth is not None and depth > max_depth:
             depth = None
-    improved = cut_lineage(improved)
-    return state.join(join_side(improved.select("seed", "url")), ["seed", "url"], "left_anti").unionByName(improved)
+    # Every level is stored already: what improved is read from there, not written once more.
+    return state.join(sized_side(improved.select("seed", "url")), ["seed", "url"], "left_anti").unionByName(improved)
 
 
 def _improving(found: DataFrame, state: DataFrame) -> DataFrame:

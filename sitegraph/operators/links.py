@@ -64,14 +64,20 @@ def _edges(pages: DataFrame) -> DataFrame:
     """Canonical same-host edges.
 
     The URL rules and the host test run inside the page's array, so that each target is worked out
-    once; only edges that remain become rows, and equal ones are combined before the shuffle.
+    once, and the page's own URL once per page, not per edge; only edges that remain become rows, and
+    equal ones are combined before the shuffle.
     """
-    base = F.col("base")
-    targets = F.transform("targets", lambda href: urls.canonical_url(urls.resolve(base, href)))
-    same_host = F.filter(targets, lambda target: urls.host(target) == F.col("host"))
+    base, host = F.col("base"), F.col("host")
+    targets = F.transform("targets", lambda href: urls.canonical_target(base, href))
+    # Most targets begin with the page's own site, which needs no pattern; ``urls.host`` would drop a "www." that is left.
+    site = F.when(~F.startswith(host, F.lit("www.")), F.concat(F.col("base.scheme"), F.lit("//"), host, F.lit("/")))
+    same_host = F.filter(
+        targets, lambda target: F.when(F.startswith(target, F.col("site")), True).otherwise(urls.host(target) == host)
+    )
     return (
         pages.withColumn("base", urls.base_parts(F.col("url")))
         .withColumn("host", urls.host(F.col("base.origin")))
-        .select(urls.canonical_url(F.col("url")).alias("src"), F.explode(F.array_distinct(same_host)).alias("dst"))
+        .select(urls.canonical_url(F.col("url")).alias("src"), "targets", "base", "host", site.alias("site"))
+        .select("src", F.explode(F.array_distinct(same_host)).alias("dst"))
         .distinct()
     )

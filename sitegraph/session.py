@@ -96,12 +96,15 @@ def drop_stage(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def write_stage(df: DataFrame, name: str, path: str | None = None, keep: bool = False) -> DataFrame:
+def write_stage(
+    df: DataFrame, name: str, path: str | None = None, keep: bool = False, parted_by: str | None = None
+) -> DataFrame:
     """Writes a stage as a Parquet table in the shared folder and reads it back.
 
     Used instead of ``checkpoint`` for wide rows: later reads stay columnar, so a job that needs two
     narrow columns does not read the page bodies again. ``keep``: the table outlives the scope it is written in and
-    belongs to the scope around it, as the result of a job does.
+    belongs to the scope around it, as the result of a job does. ``parted_by``: a last column of few values, one folder per
+    value, so that a filter on it reads that part alone.
     """
     path = path or scratch_path(df.sparkSession, name)
     scope = _scope.get()
@@ -109,7 +112,7 @@ def write_stage(df: DataFrame, name: str, path: str | None = None, keep: bool =
         scope = scope.outer
     if scope:
         scope.paths.append(path)
-    df.write.parquet(path)
+    (df.write.partitionBy(parted_by) if parted_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

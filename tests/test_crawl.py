@@ -3,6 +3,8 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from sitegraph.functions import urls
+from sitegraph.functions.text import let
 from sitegraph.operators import crawl, links
 from sitegraph.sources import captures as cap
 
@@ -161,3 +163,56 @@ def test_resume_without_news_and_stored_states(spark):
     fetches = spark.createDataFrame([("https://a.com/1", None), ("https://a.com/1", "boom")], "url string, error string")
     rows = {r.url: r.status for r in crawl.crawl_state(state, fetches).collect()}
     assert rows == {"https://a.com/1": "fetched", "https://a.com/2": "pending"}
+
+
+def test_resumed_crawl_stores_what_it_finds_once(spark, monkeypatch):
+    steps = [f"https://a.com/{i}" for i in range(12)]
+    edges = spark.createDataFrame([*zip(steps, steps[1:]), (steps[0], steps[0])], "src string, dst string").cache()
+    old, new = edges.where("src = dst"), edges.where("src <> dst")
+    state = crawl.crawl_bfs(spark.createDataFrame([(steps[0],)], "url string"), old, max_depth=None, max_pages=None)
+    stored = []
+
+    def counted(real):
+        def store(df, *args, **kwargs):
+            stored.append(df.count())
+            return real(df, *args, **kwargs)
+        return store
+
+    for name in ("cut_lineage", "join_side", "write_stage"):
+        monkeypatch.setattr(crawl, name, counted(getattr(crawl, name, None)), raising=False)
+    got = crawl.resume_crawl(state, new, edges)
+    assert {(r.url, r.depth) for r in got.collect()} == {(u, i) for i, u in enumerate(steps)}
+    # What the new links reach from the state at once is one row; every other URL is stored with its level.
+    assert sum(stored) <= 1 + len(steps) - 1
+
+
+def test_url_of_a_page_is_worked_out_once_per_page(spark):
+    pages = spark.createDataFrame([("https://a.com/1/?b=1", ["https://a.com/2"])], "url string, targets array<string>").cache()
+    found = links._edges(pages)
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Generate explode", 1)[0]
+    assert "regexp" not in above
+    assert [tuple(r) for r in found.collect()] == [("https://a.com/1/?b=1", "https://a.com/2")]
+
+
+def test_plain_urls_take_the_short_way_to_the_same_form(spark):
+    sites = ["a.com", "www.a.com", "www.www.a.com", "www.", "www", "A.com", "a.com:80", "", ".", "u@a.com", "é.com", "a..com"]
+    paths = ["", "/", "//", "/x", "/x/", "/x//", "/x//y", "/X/y.html", "/x;", "/x;/", "/x?b=2&a=1", "/x#f", "/#f", "/x\n", "/x y", "/%7Ex", "/./x", "/../x", "/~x", "?q=1", "/x\n/"]
+    raw = [f"{scheme}{site}{path}" for scheme in ("https://", "http://", "HTTP://", "ftp://", "//", " https://", "") for site in sites for path in paths]
+    rows = [(u, ("https:", "https://www.b.com", "/d/e", "/d/", "?q=1")) for u in [*raw, None]]
+    df = spark.createDataFrame(rows, "u string, base struct<scheme: string, origin: string, path: string, folder: string, query: string>")
+    found = df.cache().select(
+        "u", urls.canonical_url(F.col("u")).alias("got"), let(urls.clean_url(F.col("u")), urls._canonical).alias("want"),
+        urls.canonical_target(F.col("base"), F.col("u")).alias("target"),
+        let(urls.clean_url(urls.resolve(F.col("base"), F.col("u"))), urls._canonical).alias("resolved"),
+    )
+    for row in found.collect():
+        assert (row.got, row.target) == (row.want, row.resolved), row.u
+
+
+def test_links_to_the_same_site_in_any_spelling(spark):
+    targets = [f"{scheme}://{site}/x" for scheme in ("http", "https") for site in ("a.com", "www.a.com", "www.www.a.com", "A.com", "a.com.b.com", "b.com")]
+    pages = spark.createDataFrame([(f"https://{site}/p", [*targets, "/y", "?q=1"]) for site in ("WWW.a.com", "www.www.a.com")], "url string, targets array<string>")
+    a, wwwa = "https://a.com", "https://www.a.com"
+    assert {tuple(r) for r in links._edges(pages.cache()).collect()} == {
+        *((f"{a}/p", u) for u in ("http://a.com/x", f"{a}/x", "http://www.a.com/x", f"{wwwa}/x", f"{a}/y", f"{a}/p?q=1")),
+    }
