@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from sitegraph.session import map_texts
+
 BLOCK = re.compile(r"(?s).{1,65536}[^\t-\r ]*[\t-\r ]*")
 OUT_BYTES = 8 << 20
 # Words and their tokens that a task remembers; beyond that it starts anew.
@@ -242,7 +244,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text: str = "text"
                     first, size, ids, decoded = i + 1, 0, [], []
 
     schema = docs.select(*kept).schema.add("token_ids", "binary").add("n_tokens", "long").add("decoded", "string")
-    return docs.select(*kept).mapInArrow(encode, schema)
+    return map_texts(docs.select(*kept), encode, schema)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", joined: bool = True) -> DataFrame:
@@ -257,4 +259,4 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "tok
             texts = [decoder.feed(x.as_py() or b"") + decoder.end() for x in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema=pa.schema([*batch.schema, pa.field("decoded", pa.string())]))
 
-    return encoded.select(*kept).mapInArrow(decode, encoded.select(*kept).schema.add("decoded", "string"))
+    return map_texts(encoded.select(*kept), decode, encoded.select(*kept).schema.add("decoded", "string"))

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegraph.session import map_texts
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12  # per width
@@ -221,7 +223,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=pa.schema([*batch.schema, pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]))
 
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*kept).mapInArrow(predict, schema)
+    return map_texts(docs.select(*kept), predict, schema)
 
 
 def drop_unidentified(docs: DataFrame, text: str = "text", label: str = "lang") -> DataFrame:

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sitegraph.session import map_texts
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 # Bounds of the sample the field is trained on.
@@ -340,7 +342,7 @@ def fit(docs: DataFrame, text: str = "text", sample_documents: int = SAMPLE_DOCU
             kinds = (pa.int64(), kind, pa.int32(), kind, kind)
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], ["h", "f", "y", "chain", "skip"])
 
-    sample = drawn.mapInArrow(rows, "h long, f array<int>, y int, chain array<int>, skip array<int>").collect()
+    sample = map_texts(drawn, rows, "h long, f array<int>, y int, chain array<int>, skip array<int>").collect()
     return train([tuple(row)[1:] for row in sorted(sample, key=lambda r: (r["h"], r["f"], r["y"]))])
 
 
@@ -416,4 +418,4 @@ def find_personal_data(docs: DataFrame, field: Field, text: str = "text", mask:
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*batch.schema, pa.field("pii", pa.list_(span))]))
 
     schema = docs.select(*kept).schema.add(StructType.fromDDL(SPAN_COLUMN).fields[0])
-    return docs.select(*kept).mapInArrow(find, schema)
+    return map_texts(docs.select(*kept), find, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.llm.words import WordHasher, position_factors, sequence_hash
-from sitegraph.session import sized_side, write_stage
+from sitegraph.session import map_texts, sized_side, write_stage
 
 WIDTH, SUBSTITUTIONS, SHORTEST = 13, 2, 5
 BLOCKS = [range(0, 3), range(3, 6), range(6, 9), range(9, 13)]
@@ -64,8 +64,8 @@ def benchmark_seeds(benchmark: DataFrame, item: str, text: str) -> DataFrame:
             )
 
     kind = benchmark.schema[item].dataType.simpleString()
-    return benchmark.select(item, text).mapInArrow(
-        seeds, f"key long, item {kind}, item_pos int, item_words int, width int, item_window array<long>"
+    return map_texts(
+        benchmark.select(item, text), seeds, f"key long, item {kind}, item_pos int, item_words int, width int, item_window array<long>"
     )
 
 
@@ -96,7 +96,7 @@ def seed_hits(docs: DataFrame, widths: list[int], table: np.ndarray, text: str)
                     )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return rows.mapInArrow(hits, "doc_id long, text_hash long, pos long, key long, window array<long>")
+    return map_texts(rows, hits, "doc_id long, text_hash long, pos long, key long, window array<long>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sitegraph.llm.components import connected_components
 from sitegraph.llm.words import WordHasher, mix, position_factors, sequence_hash
-from sitegraph.session import sized_side, write_stage
+from sitegraph.session import map_texts, sized_side, write_stage
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -140,7 +140,7 @@ def word_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         used = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used])], ["place", "n"])
 
-    counts = docs.select(text).mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    counts = map_texts(docs.select(text), count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
     table = np.zeros((1 << TABLE_BITS) + 1, dtype=np.int64)
     for row in counts:
         table[row["place"]] = row["n"]
@@ -175,7 +175,7 @@ def node_rows(docs: DataFrame, text: str, idf: np.ndarray) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return rows.mapInArrow(sample, "doc_id long, text_hash long, node long, weight double, bands array<long>")
+    return map_texts(rows, sample, "doc_id long, text_hash long, node long, weight double, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
@@ -213,7 +213,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: fl
 
     sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
     sides = sides.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-    return sides.select("a", "b", "a_text", "b_text").mapInArrow(score, "a long, b long, score double")
+    return map_texts(sides.select("a", "b", "a_text", "b_text"), score, "a long, b long, score double")
 
 
 def near_duplicate_links(docs: DataFrame, rows: DataFrame, idf: np.ndarray, text: str, similarity: float) -> DataFrame:
@@ -359,7 +359,7 @@ def rare_shingles(nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFr
                 yield from _rare_rows(*ready)
 
     some = texts.join(sized_side(write_stage(nodes, "nodes-to-compare")), "node").select("node", "component", "text")
-    every = some.mapInArrow(shingles, "shingle long, node long, component long, weight double")
+    every = map_texts(some, shingles, "shingle long, node long, component long, weight double")
     return every.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(compare, "a long, b long, part int, own double, rare double")
 
 
@@ -378,7 +378,7 @@ def part_weights(texts: DataFrame, idf: np.ndarray) -> DataFrame:
             sums = [np.bincount(part_of(shingles), each, minlength=PARTS) for shingles, each in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.list_(pa.float64()))], ["node", "parts"])
 
-    return texts.select("node", "text").mapInArrow(weights, "node long, parts array<double>")
+    return map_texts(texts.select("node", "text"), weights, "node long, parts array<double>")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

@@ -1,0 +1,75 @@
+"""Texts reach Python tasks of the pipeline in bounded batches."""
+
+import random
+
+import pytest
+from pyspark import AccumulatorParam
+
+import corpus_pipeline
+from sitegraph.llm import weighted_dedup
+from sitegraph.session import BATCH_BYTES, map_texts
+
+BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+class Largest(AccumulatorParam):
+    def zero(self, value):
+        return value
+
+    def addInPlace(self, value1, value2):
+        return max(value1, value2)
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """One row group of 7 MB, so one task reads it, in fewer rows than a batch may have."""
+    draw = random.Random(4)
+    rows = [(i, " ".join(f"{draw.choice(['the', 'und'])}{''.join(draw.choices('abcdef', k=6))}" for _ in range(1100)) + f" call +49 30 {i:07d}", "en", "s", 1) for i in range(700)]
+    path = tmp_path_factory.mktemp("texts")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(f"bench{i}" for i in range(30)))], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_no_stage_takes_a_partition_of_texts_as_one_batch(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stages = {name: stage for name, stage in corpus_pipeline.STAGES if name != "near_duplicates"}
+    # Its passes over all texts; the whole stage takes too long here.
+    stages["word_frequencies"] = lambda _, docs, __: docs.limit(weighted_dedup.word_frequencies(docs, "text")[1])
+    stages["node_rows"] = lambda _, docs, __: weighted_dedup.node_rows(docs, "text", weighted_dedup.scaled_idf(*weighted_dedup.word_frequencies(docs.limit(0), "text")))
+    for name, stage in stages.items():
+        largest = spark.sparkContext.accumulator(0, Largest())
+
+        def recorded(function, largest=largest):
+            def run(batches):
+                def seen():
+                    for batch in batches:
+                        largest.add(batch.nbytes)
+                        yield batch
+
+                yield from function(seen())
+
+            return run
+
+        with monkeypatch.context() as patch:
+            plain = type(docs).mapInArrow
+            patch.setattr(type(docs), "mapInArrow", lambda self, function, schema, *more, **named: plain(self, recorded(function), schema, *more, **named))
+            result = stage(spark, docs, folder)
+        assert result.count() == 700, name
+        result.write.mode("overwrite").format("noop").save()
+        # The row that passes the bound is the last one of its batch.
+        assert 0 < largest.value < 1.1 * BATCH_BYTES, (name, largest.value)
+
+
+def test_a_bound_of_the_session_stays(spark):
+    before = spark.conf.get(BOUND, None)
+    try:
+        spark.conf.set(BOUND, "1m")
+        map_texts(spark.range(3), lambda batches: batches, "id long")
+        assert spark.conf.get(BOUND) == "1m"
+        spark.conf.unset(BOUND)
+        map_texts(spark.range(3), lambda batches: batches, "id long")
+        assert int(spark.conf.get(BOUND)) == BATCH_BYTES
+    finally:
+        if before is not None:
+            spark.conf.set(BOUND, before)
