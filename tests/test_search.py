@@ -7,6 +7,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from sitegraph import session
 from sitegraph.functions import text, vectors
 from sitegraph.operators import cells as learnt
 from sitegraph.operators import chunks, search
@@ -160,6 +161,17 @@ def test_hits_order_only_what_may_be_new():
     assert sum(taken) < 42 * 900
 
 
+def test_report_rows_shuffle_no_whole_texts(spark, monkeypatch):
+    """Where the hits are too many to broadcast, texts are cut before the join."""
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    pages = spark.createDataFrame([(i, f"https://a.org/{i}", f"{i} " * 2000) for i in range(20)], "page_id long, url string, clean_text string")
+    hits = spark.createDataFrame([(7, 1, 3, 0.5), (7, 2, 4, 0.25), (8, 1, 3, 0.75)], "query_id long, rank int, page_id long, score double")
+    report = search.format_hits(hits, pages)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("substring(clean_text")
+    assert sorted((r.query_id, r.rank, r.title, len(r.snippet), r.total) for r in report.collect()) == [(7, 1, "3", 300, 2), (7, 2, "4", 300, 2), (8, 1, "3", 300, 1)]
+
+
 def clustered(n, centres, seed=0):
     rng = np.random.default_rng(seed)
     middle = rng.normal(size=(centres, 8)) * 3
