@@ -3,6 +3,7 @@ import re
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -161,6 +162,65 @@ def test_hits_order_only_what_may_be_new():
     assert sum(taken) < 42 * 900
 
 
+def test_words_are_hashed_many_at_a_time(monkeypatch):
+    """The buckets are those of MD5 for words of any length, and words are those of ``str.split``."""
+    rng = np.random.default_rng(11)
+    letters = list("abcé日z")
+    words = ["".join(rng.choice(letters, n)) for n in list(range(1, 70)) * 5]
+    bucket = lambda word: int.from_bytes(hashlib.md5(word.encode()).digest()[:4]) % 64
+    assert vectors.word_places(pa.array(words).slice(3), 64).tolist() == [bucket(word) for word in words[3:]]
+    blanks = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(0, 60, 40)] + [None, "", "".join(blanks), *(f"{b}a{b}{b}b" for b in blanks)]
+    monkeypatch.setattr(vectors, "ENCODED_BYTES", 500)
+    called = []
+    monkeypatch.setattr(vectors.hashlib, "md5", lambda *x, md5=hashlib.md5: (called.append(1), md5(*x))[1])
+    found = next(iter(vectors.hash_encoder().func(iter([pa.array(texts)])))).to_pylist()
+    assert len(called) < sum(len(word.encode()) > 55 for text in texts for word in (text or "").split()) + 1
+    for text, got in zip(texts, found):
+        counts = np.bincount([bucket(word) for word in (text or "").split()], minlength=64)
+        assert got is None if text is None else np.allclose(got, counts / max(1e-9, np.linalg.norm(counts)))
+
+
+def test_candidates_wait_for_each_other():
+    """The best are ordered again once a query has some candidates on the mean, not after every step of a task."""
+    rng = np.random.default_rng(8)
+    block, found = (search.unit_rows(rng.normal(size=(n, 8))) for n in (200, 6000))
+    pages, calls = rng.permutation(6000) // 2, []
+    hits = search._Hits(block, 5)
+    monitored, whole = hits._take, search.STEP_SCORES
+    hits._take = lambda *rows: (calls.append(1), monitored(*rows))
+    search.STEP_SCORES = 4000  # 20 vectors and 200 queries
+    try:
+        hits.add(np.arange(200), pages, np.arange(6000) % 2, found)
+    finally:
+        search.STEP_SCORES = whole
+    got = hits.rows(np.arange(200))
+    exact = np.round(block @ found.T, search.ORDER_DIGITS)
+    for query in range(200):
+        best = {}
+        for page, score in zip(pages.tolist(), exact[query].tolist()):
+            best[page] = max(best.get(page, -9.0), score)
+        wanted = sorted((-score, page) for page, score in best.items())[:5]
+        assert [(-place, page) for q, page, _, _, place in zip(*(c.to_pylist() for c in got)) if q == query] == wanted
+    assert len(calls) < 50  # of 300 steps
+
+
+def test_vectors_are_written_once_for_a_large_block_of_queries(spark, monkeypatch):
+    """Each side is written once for every block of the other: vectors in single precision are cut into a fourth of the blocks."""
+    rows, stages, written = made(500, copies=100, seed=9), {}, search.write_stage
+    monkeypatch.setattr(search, "write_stage", lambda df, name, *rest: stages.setdefault(name, written(df, name, *rest)))
+    vectors = as_pages(spark, rows).selectExpr("page_id", "0L AS chunk_index", "CAST(page_vector AS array<float>) AS v", "0 AS cell")
+    queries = as_queries(spark, rows[:100]).selectExpr("query_id", "query_vector", "0 AS cell")
+    dim = len(rows[0][2])
+    found = search.rank_hits(search.block_search(queries, vectors, 4, block_values=50 * dim), 4)
+    sizes = stages["cell-sizes"].first()
+    n = vectors.count()
+    assert sizes.q_blocks == 2 and sizes.v_blocks == -(-n // 200)
+    wanted = cosine_hits([(i, v) for i, _, v in rows[:100]], [(p, c, np.float32(v).astype(float).tolist()) for p, c, v in rows], 4)
+    pages_of = lambda hits: {query: [page for page, _, _ in ranked] for query, ranked in hits.items()}
+    assert pages_of(collected(found)) == pages_of(wanted)
+
+
 def test_report_rows_shuffle_no_whole_texts(spark, monkeypatch):
     """Where the hits are too many to broadcast, texts are cut before the join."""
     monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
