@@ -3,7 +3,8 @@
 1. Equal vectors of a label become one node that counts its copies. Every node gets a list of neighbours: the best of
    small groups of nodes on the same side of random planes.
 2. Lists are refined by joins of neighbours of neighbours: the neighbours of a node, either way, are compared with
-   each other, and whoever is better than the last of a list enters it, until hardly any list changes.
+   each other, and whoever is better than the last of a list enters it, until hardly any list changes. Nodes around which
+   nothing is new since the round before are left out, as all their pairs were compared then.
 3. List entries near the threshold join nodes to candidate groups. From then on a node has one list for its own group and
    one for all others, so that a dense group never fills the places of what lies beside it. Planes are drawn and lists
    refined again until no groups are joined any more.
@@ -43,6 +44,8 @@ STEPS = 1 << 16
 GUARD = 1e-6
 # The angle of a vector of a group whose drawn members have no mean: no two of them are near or apart by it.
 NO_PIVOT = 3.9
+# Values and similarities of groups that are worked out together.
+STEP_VALUES = 1 << 18
 # Lists are settled when less than this share of their entries is new.
 SETTLED = 0.01
 # Nodes audited of the groups of each size class, about.
@@ -83,65 +86,89 @@ def prepared(embeddings: DataFrame, vector: str, label: str, seed: int) -> DataF
     return rows.mapInArrow(prepare, "row long, vec_id long, g long, q binary, unit binary, same binary")
 
 
-def by_group(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[pa.Table], Iterator[tuple]]) -> Iterator[tuple]:
-    """Calls ``work`` for every run of rows with equal values in the first ``keys`` columns; runs may cross batches."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of rows with equal values in the first ``keys`` columns, with where the runs start; runs may cross batches."""
     rest: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
-        columns = [table.column(k).to_numpy() for k in range(keys)]
+        if not table.num_rows:
+            continue
         changes = np.zeros(max(0, table.num_rows - 1), dtype=bool)
-        for column in columns:
+        for column in (table.column(k).to_numpy() for k in range(keys)):
             changes |= column[1:] != column[:-1]
-        starts = [0, *(np.flatnonzero(changes) + 1).tolist()]
-        for start, end in zip(starts, starts[1:]):
-            yield from work(table.slice(start, end - start))
-        rest = table.slice(starts[-1]) if table.num_rows else rest
+        starts = np.append(0, np.flatnonzero(changes) + 1)
+        rest = table.slice(starts[-1])
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts[:-1]
     if rest is not None and rest.num_rows:
-        yield from work(rest)
+        yield rest, np.array([0])
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[pa.Table], Iterator[tuple]]) -> Iterator[tuple]:
+    """Calls ``work`` for every run of rows with equal values in the first ``keys`` columns; runs may cross batches."""
+    for table, starts in whole_groups(batches, keys):
+        for start, end in zip(starts, np.append(starts[1:], table.num_rows)):
+            yield from work(table.slice(start, end - start))
 
 
 def best_of_groups(members: DataFrame) -> DataFrame:
     """Better neighbours (src, dst, sim, own) inside groups of ``members`` (u, salt, row, g, q, c, worst_own, worst_other)."""
 
-    def compare(table: pa.Table) -> Iterator[tuple]:
-        n = table.num_rows
-        if n < 2:
-            return
-        rows, g = table.column(2).to_numpy(), table.column(3).to_numpy()
-        raw = table.column(4).to_pylist()
-        sizes = {len(x) for x in raw}
-        if len(sizes) > 1:  # rows of different labels whose group keys collide
-            for size in sizes:
-                part = table.filter(pa.array([len(x) == size for x in raw]))
-                if part.num_rows < n:
-                    yield from compare(part)
-            return
-        x = np.frombuffer(b"".join(raw), dtype=np.int8).reshape(n, -1).astype(np.float32)
-        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        sims = x @ x.T
-        sims[(g[:, None] != g[None, :]) | (rows[:, None] == rows[None, :])] = -2
-        c = table.column(5).to_numpy()
-        inside = c[:, None] == c[None, :]
-        for own, here, worst in ((True, inside, table.column(6).to_numpy()), (False, ~inside, table.column(7).to_numpy())):
+    def compare(x: np.ndarray, rows: np.ndarray, g: np.ndarray, c: np.ndarray, worst_own: np.ndarray, worst_other: np.ndarray) -> Iterator[tuple]:
+        """``x`` (groups, rows, components); the others (groups, rows)."""
+        # Sums of whole numbers are exact here, so a pair has the same similarity in every group.
+        lengths = 1 / np.sqrt(np.einsum("bij,bij->bi", x, x))
+        sims = np.matmul(x, x.transpose(0, 2, 1)) * (lengths[:, :, None] * lengths[:, None, :])
+        sims[(g[:, :, None] != g[:, None, :]) | (rows[:, :, None] == rows[:, None, :])] = -2
+        inside = c[:, :, None] == c[:, None, :]
+        for own, here, worst in ((True, inside, worst_own), (False, ~inside, worst_other)):
             part = np.where(here, sims, -2)
-            order = np.argsort(-part, axis=1, kind="stable")
-            rank = np.empty_like(order)
-            rank[np.arange(n)[:, None], order] = np.arange(n)
-            i, j = np.nonzero((rank < NEIGHBOURS) & (part > np.maximum(worst, -1.5)[:, None]))
-            yield rows[i], rows[j], part[i, j].astype(np.float64), np.full(len(i), own)
+            better = part > np.maximum(worst, -1.5)[:, :, None]
+            # Only where more of them are better than the last of a list is it asked which are the best.
+            b, i = np.nonzero(better.sum(axis=2) > NEIGHBOURS)
+            if len(b):
+                some, beyond = better[b, i], np.argsort(-part[b, i], axis=1, kind="stable")[:, NEIGHBOURS:]
+                some[np.arange(len(b))[:, None], beyond] = False
+                better[b, i] = some
+            b, i, j = np.nonzero(better)
+            yield rows[b, i], rows[b, j], part[b, i, j].astype(np.float64), np.full(len(b), own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for src, dst, sim, own in by_group(batches, 2, compare):
-            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(sim), pa.array(own)], ["src", "dst", "sim", "own"])
+        for table, starts in whole_groups(batches, 2):
+            rows, g, c, worst_own, worst_other = (table.column(k).to_numpy() for k in (2, 3, 5, 6, 7))
+            raw = table.column(4).cast(pa.large_binary()).combine_chunks()
+            places = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
+            data, widths = np.frombuffer(raw.buffers()[2], np.int8), np.diff(places)
+            # Only rows of one length are compared; a group holds more where the group keys of labels collide.
+            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+            order = np.lexsort((np.arange(len(rows)), widths, of))
+            parts = np.flatnonzero(np.append(True, (of[order][1:] != of[order][:-1]) | (widths[order][1:] != widths[order][:-1])))
+            sizes = np.diff(np.append(parts, len(rows)))
+            shapes = np.stack([sizes, widths[order[parts]]], axis=1)
+            for n, width in np.unique(shapes[sizes > 1], axis=0).tolist():
+                alike = parts[(shapes == (n, width)).all(axis=1)]
+                step = max(1, STEP_VALUES // (n * max(n, width)))
+                for at in range(0, len(alike), step):
+                    here = order[alike[at : at + step, None] + np.arange(n)]
+                    x = data[places[here][:, :, None] + np.arange(width)].astype(np.float32)
+                    for src, dst, sim, own in compare(x, *(values[here] for values in (rows, g, c, worst_own, worst_other))):
+                        if len(src):
+                            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(sim), pa.array(own)], ["src", "dst", "sim", "own"])
 
     grouped = members.select("u", "salt", "row", "g", "q", "c", "worst_own", "worst_other").repartition("u", "salt").sortWithinPartitions("u", "salt", "row")
     return grouped.mapInArrow(run, "src long, dst long, sim double, own boolean")
 
 
 def salted(members: DataFrame) -> DataFrame:
-    """Adds ``salt``, which cuts groups of more than ``GROUP`` rows into about equal parts by a hash of the row."""
-    sizes = write_stage(members.groupBy("u").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")), "group-sizes")
+    """Adds ``salt``, which cuts groups of more than ``GROUP`` rows into about equal parts by a hash of the row.
+
+    Where ``members`` have ``fresh``, groups without a fresh member are left out: all their pairs were compared before."""
+    open_group = F.max("fresh") if "fresh" in members.columns else F.lit(True)
+    counted = members.groupBy("u").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"), open_group.alias("open"))
+    # Cut groups are compared in any case: their parts may be others than before.
+    sizes = write_stage(counted.where("open OR parts > 1").drop("open"), "group-sizes")
+    members = members.select("u", "row")
     return members.join(sizes, "u").withColumn("salt", F.pmod(F.xxhash64("row", "u"), "parts").cast("int")).drop("parts")
 
 
@@ -171,8 +198,9 @@ def plane_groups(vectors: DataFrame, trees: int, seed: int) -> DataFrame:
 
 
 def merged_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """The best ``NEIGHBOURS`` entries of the own group and of all others, of old and found ones; ties go to the lower row."""
-    every = lists.select("src", "dst", "sim", "own").unionByName(found).groupBy("src", "dst", "own").agg(F.max("sim").alias("sim"))
+    """The best ``NEIGHBOURS`` entries of the own group and of all others, of old and found ones; ties go to the lower row. What was found is ``fresh``."""
+    both = lists.select("src", "dst", "sim", "own", F.lit(False).alias("fresh")).unionByName(found.withColumn("fresh", F.lit(True)))
+    every = both.groupBy("src", "dst", "own").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
     rank = F.row_number().over(Window.partitionBy("src", "own").orderBy(F.desc("sim"), "dst"))
     return every.withColumn("rank", rank).where(F.col("rank") <= NEIGHBOURS).drop("rank")
 
@@ -192,17 +220,17 @@ def refined(vectors: DataFrame, lists: DataFrame, seed: int) -> DataFrame:
     """Neighbour lists of ``vectors`` (row, g, q, c) after new plane groups and as many neighbour joins as it takes to settle."""
     bounds = write_stage(with_bounds(vectors, lists), "bounds")
     found = best_of_groups(salted(plane_groups(vectors, TREES, seed)).join(bounds, "row"))
-    lists = write_stage(merged_lists(lists, found), "lists")
+    # The bounds of ``lists`` may be others than when they were made, so all are fresh at first.
+    lists = write_stage(merged_lists(lists, found).withColumn("fresh", F.lit(True)), "lists")
     while True:
         bounds = write_stage(with_bounds(vectors, lists), "bounds")
-        both = lists.select(F.col("src").alias("u"), F.col("dst").alias("row")).unionByName(
-            lists.select(F.col("dst").alias("u"), F.col("src").alias("row"))
-        ).distinct()
+        both = lists.select(F.col("src").alias("u"), F.col("dst").alias("row"), "fresh").unionByName(
+            lists.select(F.col("dst").alias("u"), F.col("src").alias("row"), "fresh")
+        ).groupBy("u", "row").agg(F.min("fresh").alias("fresh"))
         found = best_of_groups(salted(both).join(bounds, "row"))
-        better = write_stage(merged_lists(lists, found), "lists")
-        changed = better.join(lists, ["src", "dst"], "left_anti").count()
-        lists = better
-        if changed <= SETTLED * max(1, better.count()):
+        lists = write_stage(merged_lists(lists, found), "lists")
+        changed, entries = lists.agg(F.count_if("fresh"), F.count("*")).first()
+        if changed <= SETTLED * max(1, entries):
             return lists
 
 

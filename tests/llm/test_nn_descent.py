@@ -141,3 +141,49 @@ def test_a_dense_group_is_counted_without_comparing_all_blocks(spark):
     assert tuple(rows) == (20_000, 19_999, 19_999)
     # One row per vector and one per pair of blocks: nothing was compared, so no vector was written again.
     assert parts.count() <= 20_000 + 21 * 21
+
+
+def test_groups_without_a_fresh_member_are_not_compared_again(spark):
+    rows = [(1, i, False) for i in range(5)] + [(2, i, i == 3) for i in range(6)] + [(3, i, False) for i in range(3 * nn_descent.GROUP)]
+    members = spark.createDataFrame(rows, "u long, row long, fresh boolean").repartition(3)
+    kept = nn_descent.salted(members).groupBy("u").agg(F.count("*").alias("n"), F.count_distinct("salt").alias("parts")).collect()
+    # The third group is cut, and its parts may be others than before.
+    assert sorted(tuple(r) for r in kept) == [(2, 6, 1), (3, 3 * nn_descent.GROUP, 3)]
+    found = spark.createDataFrame([(1, 2, 0.5, False), (1, 3, 0.75, False)], "src long, dst long, sim double, own boolean")
+    lists = nn_descent.merged_lists(spark.createDataFrame([(1, 2, 0.5, False)], found.schema), found)
+    assert sorted((r.dst, r.fresh) for r in lists.collect()) == [(2, False), (3, True)]
+
+
+def test_groups_are_compared_as_one_by_one(spark, monkeypatch):
+    """Groups of all sizes and of rows of two lengths, over several batches: the best of each row that beat its bounds."""
+    draw = np.random.default_rng(12)
+    rows, number = [], 0
+    for u in range(120):
+        for _ in range(int(draw.integers(1, 40))):
+            size = 8 if u % 9 or draw.random() < 0.5 else 12
+            q = draw.integers(-127, 128, size).astype(np.int8)
+            bounds = [float(x) for x in draw.choice([-2.0, 0.0, 0.4], 2)]
+            rows.append((u, 0, number, int(u % 7 == 0 and draw.integers(0, 2)), q.tobytes(), int(draw.integers(0, 3)), *bounds))
+            number += 1
+    names = "u long, salt int, row long, g long, q binary, c long, worst_own double, worst_other double"
+    monkeypatch.setattr(nn_descent, "STEP_VALUES", 3000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = nn_descent.best_of_groups(spark.createDataFrame(rows, names)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    got = {(r.src, r.dst, r.own): r.sim for r in found}
+    wanted = {}
+    for u, _, row, g, q, c, *bounds in rows:
+        x = np.frombuffer(q, np.int8).astype(float)
+        for own in (True, False):
+            near = []
+            for other in rows[:]:
+                y = np.frombuffer(other[4], np.int8).astype(float)
+                if other[0] == u and other[2] != row and other[3] == g and len(y) == len(x) and (other[5] == c) == own:
+                    near.append((-(x @ y) / np.sqrt(x @ x) / np.sqrt(y @ y), other[2]))
+            for sim, other in sorted(near)[: nn_descent.NEIGHBOURS]:
+                if -sim > max(bounds[not own], -1.5):
+                    wanted[row, other, own] = -sim
+    assert len(found) == len(got) and got.keys() == wanted.keys()
+    assert all(abs(got[key] - wanted[key]) < 1e-6 for key in wanted)
